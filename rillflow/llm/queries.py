@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rillflow.llm import oracles
+from rillflow.llm.repeats import op6_recompression
 from rillflow.llm.sharding import op10_jump_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_recompression": op6_recompression,
         "op10_jump_shards": op10_jump_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_recompression": oracles.REPEATS,
+    }
