@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from rillflow.llm import oracles
 from rillflow.llm.repeats import op6_recompression
 from rillflow.llm.sharding import op10_jump_shards
+from rillflow.llm.simhash import op8_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_recompression": op6_recompression,
+        "op8_simhash": op8_simhash,
         "op10_jump_shards": op10_jump_shards,
     }
 
