@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rillflow.llm import oracles
 from rillflow.llm.repeats import op6_recompression
+from rillflow.llm.secrets import op5_secrets
 from rillflow.llm.sharding import op10_jump_shards
 from rillflow.llm.simhash import op8_simhash
+from rillflow.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_toxicity": op4_toxicity,
+        "op5_secrets": op5_secrets,
         "op6_recompression": op6_recompression,
         "op8_simhash": op8_simhash,
         "op10_jump_shards": op10_jump_shards,
