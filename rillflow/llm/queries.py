@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rillflow.llm import oracles
+from rillflow.llm.neighbours import op2_neighbours
 from rillflow.llm.repeats import op6_recompression
 from rillflow.llm.secrets import op5_secrets
 from rillflow.llm.sharding import op10_jump_shards
@@ -16,6 +17,7 @@ from rillflow.llm.toxicity import op4_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_neighbours": op2_neighbours,
         "op4_toxicity": op4_toxicity,
         "op5_secrets": op5_secrets,
         "op6_recompression": op6_recompression,
