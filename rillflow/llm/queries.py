@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rillflow.llm import oracles
+from rillflow.llm.html import op9_main_text
 from rillflow.llm.neighbours import op2_neighbours
 from rillflow.llm.repeats import op6_recompression
 from rillflow.llm.secrets import op5_secrets
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secrets": op5_secrets,
         "op6_recompression": op6_recompression,
         "op8_simhash": op8_simhash,
+        "op9_main_text": op9_main_text,
         "op10_jump_shards": op10_jump_shards,
     }
 
