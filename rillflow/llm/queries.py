@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rillflow.llm import oracles
+from rillflow.llm.decontaminate import op1_decontaminate
 from rillflow.llm.html import op9_main_text
 from rillflow.llm.neighbours import op2_neighbours
 from rillflow.llm.repeats import op6_recompression
@@ -18,6 +19,7 @@ from rillflow.llm.toxicity import op4_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op2_neighbours": op2_neighbours,
         "op4_toxicity": op4_toxicity,
         "op5_secrets": op5_secrets,
