@@ -10,6 +10,7 @@ from rillflow.llm import oracles
 from rillflow.llm.decontaminate import op1_decontaminate
 from rillflow.llm.html import op9_main_text
 from rillflow.llm.neighbours import op2_neighbours
+from rillflow.llm.packing import op3_packing
 from rillflow.llm.repeats import op6_recompression
 from rillflow.llm.secrets import op5_secrets
 from rillflow.llm.sharding import op10_jump_shards
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_neighbours": op2_neighbours,
+        "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
         "op5_secrets": op5_secrets,
         "op6_recompression": op6_recompression,
