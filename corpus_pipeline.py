@@ -3,16 +3,60 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rillflow.llm.common import table
+from rillflow.llm.common import cut, table
+from rillflow.llm.decontaminate import contaminated
+from rillflow.llm.packing import pack
+from rillflow.llm.secrets import scan_secrets
+from rillflow.llm.simhash import near_duplicates
+from rillflow.llm.toxicity import score_toxicity
 
-STAGES: list = []
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    return docs.join(near_duplicates(docs).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; their secrets are replaced by a mark, and n_chars follows."""
+    found = scan_secrets(docs)
+    new = {"text": F.col("redacted"), "n_chars": F.when(F.col("spans") == "", F.col("row.n_chars")).otherwise(F.char_length("redacted").cast("long"))}
+    return found.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their place in a sequence."""
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
+
+#: Training a classifier and packing are no SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents; each result but the last is written to the shared
+    checkpoint folder, since the next stage reads it more than once."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

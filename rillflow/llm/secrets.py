@@ -17,6 +17,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillflow.llm.common import table
 
@@ -99,7 +100,7 @@ def _scan(raw, limit: float, mark: str):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = [spans(t, enc, limit) if t else [] for t in texts]
-            columns = {"doc_id": batch.column("doc_id")}
+            columns = {"row": batch.column("row")}
             for k, kind in enumerate(KINDS[:3]):
                 columns[f"n_{kind}"] = pa.array([sum(s[1] == k for s in f) for f in found], pa.int64())
             columns["base"] = pa.array([written([s for s in f if s[1] < 3]) for f in found], pa.string())
@@ -119,7 +120,7 @@ def read_vocabulary(path: str = VOCABULARY) -> bytes:
 
 
 def scan_secrets(df: DataFrame, vocabulary: str = VOCABULARY, limit: float = CHARS_PER_TOKEN, mark: str = "<secret>") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base, spans, redacted) for each row of (doc_id, text).
+    """(row, n_assign, n_access, n_hex, base, spans, redacted) for each row of ``df``; ``row`` is the whole row, a struct.
 
     Base kinds are leftmost and non-overlapping within their kind; a match that fails its
     length is dropped and its characters are spent. ``random`` spans overlap no base span.
@@ -127,11 +128,11 @@ def scan_secrets(df: DataFrame, vocabulary: str = VOCABULARY, limit: float = CHA
     ids are kept. Texts are read once and nothing is shuffled.
     """
     raw = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    rows = df.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_scan(raw, limit, mark), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base string, spans string, redacted string")
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    found = [*((f"n_{k}", T.LongType()) for k in KINDS[:3]), *((c, T.StringType()) for c in ("base", "spans", "redacted"))]
+    return rows.mapInArrow(_scan(raw, limit, mark), T.StructType([rows.schema["row"], *(T.StructField(*f) for f in found)]))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")

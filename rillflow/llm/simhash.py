@@ -71,15 +71,16 @@ def _print_texts(width: int):
             texts = [t.encode() if t is not None else b"" for t in batch.column("text").to_pylist()]
             for part in slices([len(t) for t in texts], CHUNK):
                 prints = fingerprints([shingle_hashes(t, width) for t in texts[part]])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.start, part.stop - part.start), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+                whole = np.array([xxhash.xxh3_64_intdigest(t) for t in texts[part]], np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.start, part.stop - part.start), pa.array(prints.view(np.int64)), pa.array(whole.view(np.int64))], ["doc_id", "fp", "whole"])
 
     return run
 
 
 def simhash(df: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp long) for each row of (doc_id, text); a null text has no words: zero."""
+    """(doc_id, fp, whole) for each row of (doc_id, text): its fingerprint, zero without words, and a hash of the text as it is."""
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_print_texts(width), "doc_id long, fp long")
+    return rows.mapInArrow(_print_texts(width), "doc_id long, fp long, whole long")
 
 
 def bit_parts(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -256,7 +257,7 @@ def simhash_components(df: DataFrame, width: int = WIDTH, radius: int = RADIUS)
     Rows without doc_id keep a fingerprint and link others, and get the component's smallest
     doc_id. Copies meet as one fingerprint before any comparison.
     """
-    rows = cut(simhash(df, width))
+    rows = cut(simhash(df, width).select("doc_id", "fp"))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(prints.select("fp"), radius))
     classes = prints.join(roots, prints.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -265,6 +266,67 @@ def simhash_components(df: DataFrame, width: int = WIDTH, radius: int = RADIUS)
     return rows.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Of near duplicates that are dropped: words of a shingle, bits searched, similarity of the texts.
+NEAR_WIDTH, NEAR_RADIUS, SIMILARITY = 5, 10, 0.8
+
+
+def _shingle_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes((t or "").encode(), width).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("doc_id"), pa.array(sets, pa.binary())], ["root", "doc_id", "shingles"])
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for a, b in zip(batch.column("shingles").to_pylist(), batch.column("led").to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                found.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("leader"), pa.array(found)], ["doc_id", "leader", "alike"])
+
+    return run
+
+
+def near_duplicates(df: DataFrame, width: int = NEAR_WIDTH, radius: int = NEAR_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, leader) for each doc_id of (doc_id, text) that repeats another: drop these.
+
+    Equal texts repeat the smallest doc_id. Others are first linked by fingerprints of
+    ``width``-word shingles within ``radius`` bits; in each component the smallest doc_id leads
+    and whoever shares ``similarity`` of the shingle set with it (Jaccard) repeats it; the rest
+    goes on to another round with a leader of its own, until none is left. Each round compares
+    a text once, so a group of any size costs its size per leader. Null doc_ids repeat
+    nothing and are repeated by none; null and empty texts repeat each other.
+    """
+    texts = df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = cut(simhash(texts, width))
+    kinds = cut(rows.groupBy("fp", "whole").agg(F.min("doc_id").alias("first")))
+    prints = kinds.groupBy("fp").agg(F.count("*").alias("n"))
+    prints = cut(prints)
+    roots = cut(components(links(prints.select("fp"), radius)))
+    # what may repeat: texts of a component, and different texts of one fingerprint
+    many = prints.join(roots, prints.fp == roots.node, "left").where("root is not null or n > 1").select("fp", F.coalesce("root", "fp").alias("root"))
+    asked = kinds.join(many, "fp").select("root", F.col("first").alias("doc_id"))
+    alive = cut(texts.join(asked, "doc_id").select("root", "doc_id", "text").mapInArrow(_shingle_sets(width), "root long, doc_id long, shingles binary"))
+    found: DataFrame | None = None
+    while True:
+        # a doc_id on several rows leads with one of its texts
+        leaders = alive.groupBy("root").agg(F.min(F.struct("doc_id", "shingles")).alias("l")).select("root", F.col("l.doc_id").alias("leader"), F.col("l.shingles").alias("led"))
+        judged = cut(alive.join(leaders, "root").where("doc_id != leader").select("root", "doc_id", "leader", "shingles", "led").mapInArrow(_alike(similarity), "doc_id long, leader long, alike boolean"))
+        step = judged.where("alike").select("doc_id", "leader")
+        found = step if found is None else found.union(step)
+        left = judged.where("not alike").select("doc_id").distinct()
+        if left.isEmpty():
+            break
+        alive = cut(alive.join(left, "doc_id", "left_semi"))
+    led = cut(found.distinct())
+    return rows.join(kinds, ["fp", "whole"]).join(led.select(F.col("doc_id").alias("first"), "leader"), "first", "left").select("doc_id", F.coalesce("leader", "first").alias("leader")).where("doc_id != leader").distinct()
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillflow.llm.common import cut, table
 
@@ -178,7 +179,7 @@ def _score(model):
                         got = known[w] = sum(weights.get(f, 0.0) for f in features(w))
                     total += got
                 out.append(1 / (1 + np.exp(-min(max(total, -500.0), 500.0))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(out, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.float64())], ["row", "score"])
 
     return run
 
@@ -188,7 +189,7 @@ def fold(doc_id: str = "doc_id"):
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, identities=IDENTITIES, bound: int = LABELLED, penalty: float = SWAP_PENALTY) -> DataFrame:
-    """(doc_id, text, held_out, score, predicted) for each row of (doc_id, text) of ``docs``.
+    """(row, held_out, score, predicted) for each row of ``docs``; ``row`` is the whole row, a struct.
 
     Trained on labels outside the held-out fold (crc32 of the id's text mod 5 is 0); labels,
     ids and other columns are no inputs of a score. Null and empty texts get the bias's score.
@@ -196,12 +197,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, identities=IDENTITIES, bo
     """
     weights, bias = train(docs, labels, identities, bound, penalty)
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))  # FEATURES numbers at most
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(_score(model), f"doc_id {kind}, text string, score double")
-    return scored.select("doc_id", "text", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    scored = rows.mapInArrow(_score(model), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return scored.select("row", F.coalesce(fold("row.doc_id") == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "held_out", "score", "predicted")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).select("row.doc_id", "held_out", "score", "predicted")
