@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rillflow.llm import oracles
 from rillflow.llm.decontaminate import op1_decontaminate
 from rillflow.llm.html import op9_main_text
+from rillflow.llm.links import op7_link_trust
 from rillflow.llm.neighbours import op2_neighbours
 from rillflow.llm.packing import op3_packing
 from rillflow.llm.repeats import op6_recompression
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_secrets": op5_secrets,
         "op6_recompression": op6_recompression,
+        "op7_link_trust": op7_link_trust,
         "op8_simhash": op8_simhash,
         "op9_main_text": op9_main_text,
         "op10_jump_shards": op10_jump_shards,
