@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from rillflow.llm.common import cut, table
 
 K = 20
-TABLES, HASHES, WIDTH, PROBES = 2, 8, 2.7, 100
+TABLES, HASHES, WIDTH, PROBES = 2, 8, 2.7, 200
 SEED = 11
-#: Vectors of one bucket that are compared in one block; larger buckets are dealt over blocks.
+#: Slots of a bucket by which it is dealt to a task.
+COARSE = 2
+#: Vectors that one block holds, about; more of one key are dealt over blocks.
 BLOCK = 4096
 
 
@@ -56,7 +58,7 @@ def probes(slot: np.ndarray, place: np.ndarray, count: int) -> np.ndarray:
 def _key(table_no: int, slot: np.ndarray) -> np.ndarray:
     key = np.full(slot.shape[:-1], table_no + 1, np.int64)
     for h in range(slot.shape[-1]):
-        key = key * 4096 + (slot[..., h] + 2048)
+        key = key * 64 + np.clip(slot[..., h] + 32, 0, 63)
     return key
 
 
@@ -82,7 +84,11 @@ def _pack(dim: int):
 
 
 def _deal(dim: int, largest: float, tables: int, hashes: int, width: float, count: int, asks: bool):
-    """(key, id, v) of each vector in each table; for queries, of each probe."""
+    """(key, cells, id, v) of each vector in each table; a query's buckets of one key share a row.
+
+    The key is the table with the first COARSE slots of a bucket: the buckets of a key lie
+    together, so that a query meets few tasks and each task sends its best of all of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _directions(dim + 1, tables, hashes, width)
@@ -98,9 +104,15 @@ def _deal(dim: int, largest: float, tables: int, hashes: int, width: float, coun
                 x = np.c_[x, np.sqrt(np.maximum(0, 1 - (x**2).sum(axis=1)))]
             for t in range(tables):
                 slot, place = buckets(x, a[t], b[t], width)
-                key = _key(t, probes(slot, place, count)) if asks else _key(t, slot)[:, None]
-                rows = pa.array(np.repeat(np.arange(len(x)), key.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column("id").take(rows), batch.column("v").take(rows)], ["key", "id", "v"])
+                slot = probes(slot, place, count) if asks else slot[:, None, :]
+                cell, key = _key(t, slot).ravel(), _key(t, slot[..., :COARSE]).ravel()
+                row = np.repeat(np.arange(len(x)), slot.shape[1])
+                order = np.lexsort((key, row))
+                cell, key, row = cell[order], key[order], row[order]
+                head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])])
+                cells = pa.ListArray.from_arrays(pa.array(np.r_[head, len(row)].astype(np.int32)), pa.array(cell))
+                at = pa.array(row[head])
+                yield pa.RecordBatch.from_arrays([pa.array(key[head]), cells, batch.column("id").take(at), batch.column("v").take(at)], ["key", "cells", "id", "v"])
 
     return run
 
@@ -131,16 +143,28 @@ def _rank(k: int):
     Holds one block of vectors, some queries and the best so far.
     """
 
+    def compare(block, ids: np.ndarray, x: np.ndarray, cells: pa.ListArray):
+        lengths = np.diff(cells.offsets.to_numpy())
+        cell, row = cells.flatten().to_numpy(), np.repeat(np.arange(len(ids)), lengths)
+        order = np.argsort(cell, kind="stable")
+        cell, row = cell[order], row[order]
+        names, starts, ends, block_ids, block_x = block
+        lo, hi = np.searchsorted(cell, names), np.searchsorted(cell, names, side="right")
+        for c in np.flatnonzero(hi > lo):
+            who = row[lo[c] : hi[c]]
+            there = slice(starts[c], ends[c])
+            scores = x[who] @ block_x[there].T
+            scores[ids[who][:, None] == block_ids[there][None, :]] = -np.inf
+            i, j = np.nonzero(top_rows(scores, k))
+            yield ids[who[i]], block_ids[there][j], scores[i, j]
+
+    def emit(found):
+        return _best(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, vectors = None, [], []
-        block: tuple[np.ndarray, np.ndarray] | None = None
+        group, parts, block = None, [], None
         best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
-
-        def emit(found):
-            q, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
-            return _best(q, v, s, k)
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -148,29 +172,29 @@ def _rank(k: int):
             edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (asks[1:] != asks[:-1])])
             for a, z in zip(edge, np.r_[edge[1:], len(key)], strict=True):
                 if group != (key[a], part[a]):
-                    group, ids, vectors, block = (key[a], part[a]), [], [], None
-                x = _matrix(batch.column("v").slice(a, z - a))
-                who = batch.column("id").slice(a, z - a).to_numpy()
+                    group, parts, block = (key[a], part[a]), [], None
+                rows = batch.slice(a, z - a)
+                ids, x = rows.column("id").to_numpy(), _matrix(rows.column("v"))
                 if not asks[a]:
-                    ids.append(who)
-                    vectors.append(x)
+                    parts.append((rows.column("cells").flatten().to_numpy(), ids, x))
                     continue
-                if not ids:
+                if not parts:
                     continue
                 if block is None:
-                    all_ids, all_x = np.concatenate(ids), np.concatenate(vectors)
-                    order = np.argsort(all_ids, kind="stable")
-                    block = all_ids[order], all_x[order]
-                for i in range(0, len(who), 512):
-                    scores = x[i : i + 512] @ block[1].T
-                    scores[who[i : i + 512, None] == block[0][None, :]] = -np.inf
-                    row, col = np.nonzero(top_rows(scores, k))
-                    best.append((who[i : i + 512][row], block[0][col], scores[row, col]))
-                    held += len(row)
-                if held > 2_000_000:
+                    cell, all_ids, all_x = (np.concatenate(p) for p in zip(*parts, strict=True))
+                    order = np.lexsort((all_ids, cell))
+                    cell = cell[order]
+                    head = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+                    block = cell[head], head, np.r_[head[1:], len(cell)], all_ids[order], all_x[order]
+                for i in range(0, len(ids), 512):
+                    found = list(compare(block, ids[i : i + 512], x[i : i + 512], rows.column("cells").slice(i, 512)))
+                    if found:
+                        best.append(emit(found))
+                        held += len(best[-1][0])
+                if held > 1_000_000:
                     best = [emit(best)]
                     held = len(best[0][0])
-                    if held > 1_000_000:
+                    if held > 500_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in best[0]], ["query_id", "vec_id", "score"])
                         best, held = [], 0
         if best:
@@ -193,12 +217,12 @@ def nearest(df: DataFrame, asks: DataFrame, k: int = K, tables: int = TABLES, ha
     pack = lambda x: x.where("id is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(_pack(dim), "id long, v binary, norm double")
     vectors, queries = pack(df), pack(asks)
     largest = float(np.sqrt(vectors.agg(F.max("norm")).first()[0] or 1.0))
-    index = vectors.select("id", "v").mapInArrow(_deal(dim, largest, tables, hashes, width, count, False), "key long, id long, v binary")
-    ask = queries.select("id", "v").mapInArrow(_deal(dim, largest, tables, hashes, width, count, True), "key long, id long, v binary")
-    # one row per bucket: small beside the vectors
+    index = vectors.select("id", "v").mapInArrow(_deal(dim, largest, tables, hashes, width, count, False), "key long, cells array<long>, id long, v binary")
+    ask = queries.select("id", "v").mapInArrow(_deal(dim, largest, tables, hashes, width, count, True), "key long, cells array<long>, id long, v binary")
+    # one row per key
     parts = cut(index.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
-    index = index.join(parts, "key").select("key", F.pmod(F.xxhash64("id", "v"), "parts").cast("int").alias("part"), F.lit(False).alias("asks"), "id", "v")
-    ask = ask.join(parts, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "id", "v")
+    index = index.join(parts, "key").select("key", F.pmod(F.xxhash64("id", "v"), "parts").cast("int").alias("part"), F.lit(False).alias("asks"), "cells", "id", "v")
+    ask = ask.join(parts, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "cells", "id", "v")
     found = index.union(ask).repartition("key", "part").sortWithinPartitions("key", "part", "asks").mapInArrow(_rank(k), "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
