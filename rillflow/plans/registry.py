@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillflow.plans import places, watersheds
+from rillflow.plans import places, terrain, watersheds
 
-MODULES = [watersheds, places]
+MODULES = [watersheds, places, terrain]
 
 
 def queries() -> dict:
