@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillflow.plans import places, terrain, watersheds
+from rillflow.plans import places, storms, terrain, watersheds
 
-MODULES = [watersheds, places, terrain]
+MODULES = [watersheds, places, terrain, storms]
 
 
 def queries() -> dict:
