@@ -142,12 +142,6 @@ def strahler_order(spark, sf_dir):
     return _rc(_order(*_streams(spark, sf_dir)), "strahler_order")
 
 
-def stream_segments(spark, sf_dir):
-    flow, streams = _streams(spark, sf_dir)
-    found = raster.stream_segments(flow, streams, cut(_order(flow, streams)))
-    return found.groupBy("segment").agg(F.count("*").alias("n_cells")).select(F.expr(f"segment div {ROW}").alias("r"), F.expr(f"segment % {ROW}").alias("c"), "n_cells")
-
-
 def subcatchment_labels(spark, sf_dir):
     from rillflow.operators import forest
 
@@ -227,7 +221,6 @@ QUERIES = {
         f"{_ACC}, s AS MATERIALIZED (SELECT id FROM acc WHERE acc >= {STREAM}), u AS (SELECT down AS id, count(*) AS n FROM flow WHERE id IN (FROM s) AND down IN (FROM s) GROUP BY down) SELECT s.id // 1000000 AS r, s.id % 1000000 AS c, coalesce(n, 0) AS n_up, n IS NULL AS head FROM s LEFT JOIN u ON u.id = s.id",
     ),
     "strahler_order": (strahler_order, None),
-    "stream_segments": (stream_segments, None),
     "subcatchment_labels": (
         subcatchment_labels,
         f"{_ACC}, s AS MATERIALIZED (SELECT id FROM acc WHERE acc >= {STREAM}), w(id, loc, stop) AS (SELECT id, id, id IN (FROM s) FROM flow UNION ALL SELECT w.id, f.down, f.down IN (FROM s) FROM w JOIN flow f ON f.id = w.loc WHERE NOT w.stop AND f.down IS NOT NULL) SELECT f.r, f.c, max(loc) FILTER (stop) // 1000000 AS label_r, max(loc) FILTER (stop) % 1000000 AS label_c FROM flow f JOIN w ON w.id = f.id GROUP BY f.r, f.c",
