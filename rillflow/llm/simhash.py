@@ -16,11 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import cut, slices, table
-from rillflow.llm.components import components
+from rillflow.operators.components import components
 from rillflow.llm.words import mix
 
 WIDTH, RADIUS, SEED = 3, 3, 42
@@ -115,7 +115,7 @@ def plan(sample: np.ndarray, total: int, radius: int) -> list[tuple[list[int], i
         cost = []
         for part in parts:
             v = part_values(sample, part)
-            q = v[: min(len(v), 500)]
+            q = v[: min(len(v), 200)]
             near = np.zeros(65)
             for row in q:
                 near += np.bincount(np.bitwise_count(v ^ row), minlength=65)[:65]
@@ -267,7 +267,7 @@ def simhash_components(df: DataFrame, width: int = WIDTH, radius: int = RADIUS)
 
 
 #: Of near duplicates that are dropped: words of a shingle, bits searched, similarity of the texts.
-NEAR_WIDTH, NEAR_RADIUS, SIMILARITY = 5, 10, 0.8
+NEAR_WIDTH, NEAR_RADIUS, SIMILARITY = 5, 13, 0.8
 
 
 def _shingle_sets(width: int):
