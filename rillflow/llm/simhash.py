@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rillflow.llm.common import cut, slices, table
 from rillflow.operators.components import components
-from rillflow.llm.words import mix
+from rillflow.llm.words import mix, pair
 
 WIDTH, RADIUS, SEED = 3, 3, 42
 #: Fingerprints that the driver reads to plan the parts: a fixed bound.
@@ -266,8 +266,9 @@ def simhash_components(df: DataFrame, width: int = WIDTH, radius: int = RADIUS)
     return rows.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Of near duplicates that are dropped: words of a shingle, bits searched, similarity of the texts.
-NEAR_WIDTH, NEAR_RADIUS, SIMILARITY = 5, 13, 0.8
+#: Of near duplicates that are dropped: words of a shingle and similarity of the texts; bits
+#: searched, by fingerprints of WIDTH words: of alike pairs they differ least (README).
+NEAR_WIDTH, SIMILARITY, NEAR_RADIUS = 5, 0.8, 13
 
 
 def _shingle_sets(width: int):
@@ -292,39 +293,68 @@ def _alike(similarity: float):
     return run
 
 
+def _prefixes(similarity: float):
+    """(key, doc_id): sets that alike by ``similarity`` share one of the first (1 - similarity) n + 1 of their sorted hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots = batch.column("root").to_numpy().view(np.uint64)
+            sets = [np.frombuffer(x, np.uint32) for x in batch.column("shingles").to_pylist()]
+            # no word at all: one key for all of them
+            heads = [x[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1] if len(x) else np.zeros(1, np.uint32) for x in sets]
+            at = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+            if not len(at):
+                continue
+            key = pair(roots[at], np.concatenate(heads).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("doc_id").take(pa.array(at))], ["key", "doc_id"])
+
+    return run
+
+
+def _regroup(alive: DataFrame, similarity: float) -> DataFrame:
+    """(root, doc_id, shingles) of what may have a like: finer groups that keep alike sets together."""
+    keys = cut(alive.select("root", "doc_id", "shingles").mapInArrow(_prefixes(similarity), "key long, doc_id long"))
+    first = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
+    edges = keys.join(first, "key").where("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    found = components(edges)
+    return cut(alive.drop("root").join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id").select("root", "doc_id", "shingles"))
+
+
 def near_duplicates(df: DataFrame, width: int = NEAR_WIDTH, radius: int = NEAR_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, leader) for each doc_id of (doc_id, text) that repeats another: drop these.
 
-    Equal texts repeat the smallest doc_id. Others are first linked by fingerprints of
-    ``width``-word shingles within ``radius`` bits; in each component the smallest doc_id leads
-    and whoever shares ``similarity`` of the shingle set with it (Jaccard) repeats it; the rest
-    goes on to another round with a leader of its own, until none is left. Each round compares
-    a text once, so a group of any size costs its size per leader. Null doc_ids repeat
-    nothing and are repeated by none; null and empty texts repeat each other.
+    Equal texts repeat the smallest doc_id. Others are first linked by fingerprints within
+    ``radius`` bits. Each component is cut into groups that
+    share the shingles which alike texts must share; in each group the smallest doc_id leads
+    and whoever shares ``similarity`` of the ``width``-word shingle set with it (Jaccard) repeats it; the rest
+    is grouped anew with other leaders, until none is left. Each round compares a text once,
+    so a group of any size costs its size per leader. Null doc_ids repeat nothing and are
+    repeated by none; null and empty texts repeat each other.
     """
     texts = df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(simhash(texts, width))
+    rows = cut(simhash(texts))
     kinds = cut(rows.groupBy("fp", "whole").agg(F.min("doc_id").alias("first")))
-    prints = kinds.groupBy("fp").agg(F.count("*").alias("n"))
-    prints = cut(prints)
+    prints = cut(kinds.groupBy("fp").agg(F.count("*").alias("n")))
     roots = cut(components(links(prints.select("fp"), radius)))
     # what may repeat: texts of a component, and different texts of one fingerprint
     many = prints.join(roots, prints.fp == roots.node, "left").where("root is not null or n > 1").select("fp", F.coalesce("root", "fp").alias("root"))
     asked = kinds.join(many, "fp").select("root", F.col("first").alias("doc_id"))
-    alive = cut(texts.join(asked, "doc_id").select("root", "doc_id", "text").mapInArrow(_shingle_sets(width), "root long, doc_id long, shingles binary"))
+    # a doc_id on several rows is judged by one of its texts
+    sets = texts.join(asked, "doc_id").select("root", "doc_id", "text").mapInArrow(_shingle_sets(width), "root long, doc_id long, shingles binary")
+    alive = cut(sets.groupBy("root", "doc_id").agg(F.min("shingles").alias("shingles")))
     found: DataFrame | None = None
     while True:
-        # a doc_id on several rows leads with one of its texts
+        alive = _regroup(alive, similarity)
         leaders = alive.groupBy("root").agg(F.min(F.struct("doc_id", "shingles")).alias("l")).select("root", F.col("l.doc_id").alias("leader"), F.col("l.shingles").alias("led"))
-        judged = cut(alive.join(leaders, "root").where("doc_id != leader").select("root", "doc_id", "leader", "shingles", "led").mapInArrow(_alike(similarity), "doc_id long, leader long, alike boolean"))
+        judged = cut(alive.join(leaders, "root").where("doc_id != leader").select("doc_id", "leader", "shingles", "led").mapInArrow(_alike(similarity), "doc_id long, leader long, alike boolean"))
         step = judged.where("alike").select("doc_id", "leader")
         found = step if found is None else found.union(step)
-        left = judged.where("not alike").select("doc_id").distinct()
+        left = judged.where("not alike").select("doc_id")
         if left.isEmpty():
             break
         alive = cut(alive.join(left, "doc_id", "left_semi"))
-    led = cut(found.distinct())
-    return rows.join(kinds, ["fp", "whole"]).join(led.select(F.col("doc_id").alias("first"), "leader"), "first", "left").select("doc_id", F.coalesce("leader", "first").alias("leader")).where("doc_id != leader").distinct()
+    led = cut(found.groupBy("doc_id").agg(F.min("leader").alias("leader"))).select(F.col("doc_id").alias("first"), "leader")
+    return rows.join(kinds, ["fp", "whole"]).join(led, "first", "left").select("doc_id", F.coalesce("leader", "first").alias("leader")).where("doc_id != leader").distinct()
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
