@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import slices, table
+from rillflow.llm.common import bounded_sample, slices, table
 
 #: Pages that the network is trained on, at most, and characters of one of them.
 TRAIN_PAGES, TRAIN_CHARS = 240, 200_000
@@ -319,8 +319,8 @@ def extract_text(pages: DataFrame, sample: int = TRAIN_PAGES) -> DataFrame:
     is broadcast. Repeated rows are kept.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    chosen = rows.where("html is not null").select(F.substring("html", 1, TRAIN_CHARS).alias("html"), F.xxhash64("page_id", "url").alias("h"))
-    model = learn([r["html"] for r in chosen.orderBy("h", "html").limit(sample).collect()])
+    chosen = rows.where("html is not null").select("page_id", "url", F.substring("html", 1, TRAIN_CHARS).alias("html"))
+    model = learn([r["html"] for r in bounded_sample(chosen, ["page_id", "url"], sample).collect()])
     kind = rows.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(model)), f"page_id {kind}, url string, text string, n_chars long")
 
