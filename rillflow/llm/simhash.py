@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import cut, slices, table
+from rillflow.llm.common import bounded_sample, cut, slices, table
 from rillflow.operators.components import components
 from rillflow.llm.words import mix, pair
 
@@ -244,7 +244,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp``: they connect exactly what a chain
     of links of ``radius`` bits or fewer connects. Groups give trees, never all their pairs."""
     total = prints.count()
-    sample = np.array([r[0] for r in prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    sample = np.array([r[0] for r in bounded_sample(prints, ["fp"], SAMPLE).collect()], np.int64).view(np.uint64)
     dealt = prints.mapInArrow(_deal(plan(sample, total, radius)), "key long, fp long")
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_link(radius), "a long, b long")
 
