@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillflow.llm.common import cut, table
+from rillflow.llm.common import bounded_sample, cut, table
 
 #: Labelled rows that the classifier is fitted on, at most.
 LABELLED = 20_000
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, identities=IDENTITIES, bound: int
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(fold() != HELD_OUT)
     chosen = usable.select("doc_id", F.col("toxic").cast("long").alias("label")).dropDuplicates(["doc_id"])
     # bounded by the limit, whatever the input: small enough to broadcast
-    chosen = cut(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
+    chosen = cut(bounded_sample(cut(chosen), ["doc_id"], bound))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label")
     totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
