@@ -275,20 +275,40 @@ def _shingle_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes((t or "").encode(), width).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("doc_id"), pa.array(sets, pa.binary())], ["root", "doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "doc_id", "fp")), pa.array(sets, pa.binary())], ["root", "doc_id", "fp", "shingles"])
 
     return run
 
 
-def _alike(similarity: float):
+def _lead(similarity: float, radius: int):
+    """Rows sorted by (root, doc_id): (doc_id, leader) of each that an earlier row of its root is alike.
+
+    A row is compared with the leaders so far whose fingerprint lies within the radius, and
+    leads itself if none is alike. Rows are a stream; a root's leaders are held, so a large
+    group of copies holds one.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, ids, sets = None, [], []
+        prints = np.zeros(16, np.uint64)
         for batch in batches:
-            found = []
-            for a, b in zip(batch.column("shingles").to_pylist(), batch.column("led").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                found.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("leader"), pa.array(found)], ["doc_id", "leader", "alike"])
+            found: list[tuple[int, int]] = []
+            for r, d, fp, raw in zip(*(batch.column(c).to_pylist() for c in ("root", "doc_id", "fp", "shingles")), strict=True):
+                if r != root:
+                    root, ids, sets = r, [], []
+                own, mine = np.uint64(fp % (1 << 64)), np.frombuffer(raw, np.uint32)
+                for k in np.flatnonzero(np.bitwise_count(prints[: len(ids)] ^ own) <= radius):
+                    both = len(np.intersect1d(mine, sets[k], assume_unique=True))
+                    if both >= similarity * (len(mine) + len(sets[k]) - both):
+                        found.append((d, ids[k]))
+                        break
+                else:
+                    if len(ids) == len(prints):
+                        prints = np.r_[prints, np.zeros(len(prints), np.uint64)]
+                    prints[len(ids)] = own
+                    ids.append(d)
+                    sets.append(mine)
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], ["doc_id", "leader"])
 
     return run
 
@@ -312,23 +332,22 @@ def _prefixes(similarity: float):
 
 
 def _regroup(alive: DataFrame, similarity: float) -> DataFrame:
-    """(root, doc_id, shingles) of what may have a like: finer groups that keep alike sets together."""
+    """(root, doc_id, fp, shingles) of what may have a like: finer groups that keep alike sets together."""
     keys = cut(alive.select("root", "doc_id", "shingles").mapInArrow(_prefixes(similarity), "key long, doc_id long"))
     first = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
     edges = keys.join(first, "key").where("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     found = components(edges)
-    return cut(alive.drop("root").join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id").select("root", "doc_id", "shingles"))
+    return alive.drop("root").join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id").select("root", "doc_id", "fp", "shingles")
 
 
 def near_duplicates(df: DataFrame, width: int = NEAR_WIDTH, radius: int = NEAR_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, leader) for each doc_id of (doc_id, text) that repeats another: drop these.
 
     Equal texts repeat the smallest doc_id. Others are first linked by fingerprints within
-    ``radius`` bits. Each component is cut into groups that
-    share the shingles which alike texts must share; in each group the smallest doc_id leads
-    and whoever shares ``similarity`` of the ``width``-word shingle set with it (Jaccard) repeats it; the rest
-    is grouped anew with other leaders, until none is left. Each round compares a text once,
-    so a group of any size costs its size per leader. Null doc_ids repeat nothing and are
+    ``radius`` bits. Each component is cut into groups that share the shingles which alike
+    texts must share. In a group, by doc_id, a document repeats the first leader that lies
+    within ``radius`` bits and shares ``similarity`` of the ``width``-word shingle set (Jaccard),
+    else it leads. Null doc_ids repeat nothing and are
     repeated by none; null and empty texts repeat each other.
     """
     texts = df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -338,22 +357,10 @@ def near_duplicates(df: DataFrame, width: int = NEAR_WIDTH, radius: int = NEAR_R
     roots = cut(components(links(prints.select("fp"), radius)))
     # what may repeat: texts of a component, and different texts of one fingerprint
     many = prints.join(roots, prints.fp == roots.node, "left").where("root is not null or n > 1").select("fp", F.coalesce("root", "fp").alias("root"))
-    asked = kinds.join(many, "fp").select("root", F.col("first").alias("doc_id"))
-    # a doc_id on several rows is judged by one of its texts
-    sets = texts.join(asked, "doc_id").select("root", "doc_id", "text").mapInArrow(_shingle_sets(width), "root long, doc_id long, shingles binary")
-    alive = cut(sets.groupBy("root", "doc_id").agg(F.min("shingles").alias("shingles")))
-    found: DataFrame | None = None
-    while True:
-        alive = _regroup(alive, similarity)
-        leaders = alive.groupBy("root").agg(F.min(F.struct("doc_id", "shingles")).alias("l")).select("root", F.col("l.doc_id").alias("leader"), F.col("l.shingles").alias("led"))
-        judged = cut(alive.join(leaders, "root").where("doc_id != leader").select("doc_id", "leader", "shingles", "led").mapInArrow(_alike(similarity), "doc_id long, leader long, alike boolean"))
-        step = judged.where("alike").select("doc_id", "leader")
-        found = step if found is None else found.union(step)
-        left = judged.where("not alike").select("doc_id")
-        if left.isEmpty():
-            break
-        alive = cut(alive.join(left, "doc_id", "left_semi"))
-    led = cut(found.groupBy("doc_id").agg(F.min("leader").alias("leader"))).select(F.col("doc_id").alias("first"), "leader")
+    asked = kinds.join(many, "fp").select("root", F.col("first").alias("doc_id"), "fp")
+    alive = cut(texts.join(asked, "doc_id").select("root", "doc_id", "fp", "text").mapInArrow(_shingle_sets(width), "root long, doc_id long, fp long, shingles binary"))
+    led = _regroup(alive, similarity).repartition("root").sortWithinPartitions("root", "doc_id").mapInArrow(_lead(similarity, radius), "doc_id long, leader long")
+    led = cut(led.groupBy("doc_id").agg(F.min("leader").alias("leader")).where("doc_id != leader")).select(F.col("doc_id").alias("first"), "leader")
     return rows.join(kinds, ["fp", "whole"]).join(led, "first", "left").select("doc_id", F.coalesce("leader", "first").alias("leader")).where("doc_id != leader").distinct()
 
 
