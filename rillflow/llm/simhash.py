@@ -273,7 +273,7 @@ NEAR_WIDTH, SIMILARITY, NEAR_RADIUS = 5, 0.8, 13
 
 def _shingle_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             sets = [np.unique(shingle_hashes((t or "").encode(), width).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "doc_id", "fp")), pa.array(sets, pa.binary())], ["root", "doc_id", "fp", "shingles"])
 

@@ -62,9 +62,9 @@ def swapped(words: set[str], identities=IDENTITIES) -> set[str] | None:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, toxic texts, clean texts) of each batch; swapped texts count as seen too."""
-    for batch in batches:
+    for part in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
         seen = {0: [], 1: []}
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+        for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
             seen[label].append(np.unique(np.array([f for w in distinct_words(text) for f in features(w)], np.int64)))
         each = [np.concatenate([*seen[y], np.zeros(0, np.int64)]) for y in (1, 0)]
         found = np.unique(np.concatenate(each))
