@@ -380,6 +380,43 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def groups_brute(texts):
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return {i: r for i, r in enumerate(root) if i != r}
+
+
+def test_near_duplicates_by_chains(spark):
+    whole = prose(21, 300, 4000)
+    texts = [f"{whole} {prose(22, 45, 4000)}", whole, f"{prose(23, 45, 4000)} {whole}", prose(24, 300, 4000)]
+    assert jaccard(texts[0], texts[2]) < 0.8
+    assert {r.doc_id: r.leader for r in simhash.near_duplicates(docs(spark, texts)).collect()} == {1: 0, 2: 0}
+
+
+def test_near_duplicates_in_large_groups(spark):
+    rng = random.Random(25)
+    base = prose(26, 120, 4000).split()
+    texts = []
+    for k in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(1, 4)] = [f"x{k}_{rng.randrange(10**6)}"]
+        texts.append(" ".join(w))
+    truth = groups_brute(texts)
+    assert 20 < len(truth) < 149
+    assert {r.doc_id: r.leader for r in simhash.near_duplicates(docs(spark, texts)).collect()} == truth
+
+
 # 9: main text
 
 
