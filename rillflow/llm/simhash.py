@@ -266,9 +266,8 @@ def simhash_components(df: DataFrame, width: int = WIDTH, radius: int = RADIUS)
     return rows.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Of near duplicates that are dropped: words of a shingle and similarity of the texts; bits
-#: searched, by fingerprints of WIDTH words: of alike pairs they differ least (README).
-NEAR_WIDTH, SIMILARITY, NEAR_RADIUS = 5, 0.8, 13
+#: Of near duplicates that are dropped: words of a shingle and similarity of the texts.
+NEAR_WIDTH, SIMILARITY = 5, 0.8
 
 
 #: Texts looked at for shingles that many share, times seen there to count as such, and how many are named at most.
@@ -456,13 +455,12 @@ def alike_edges(texts: DataFrame, width: int = NEAR_WIDTH, similarity: float = S
     return edges.union(verified(_between(members, components(edges), similarity)))
 
 
-def near_duplicates(df: DataFrame, width: int = NEAR_WIDTH, radius: int = NEAR_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(df: DataFrame, width: int = NEAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, leader) for each doc_id of (doc_id, text) that repeats another: drop these.
 
     Documents are alike if they share ``similarity`` of the ``width``-word shingle set (Jaccard).
     A group is what chains of alike documents connect, and its leader is its smallest doc_id.
-    Candidates are texts that fingerprints within ``radius`` bits link. Equal texts are one
-    before any comparison. Null doc_ids repeat nothing and are repeated by
+    Equal texts are one before any comparison. Null doc_ids repeat nothing and are repeated by
     none; null and empty texts repeat each other.
     """
     texts = df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -471,12 +469,7 @@ def near_duplicates(df: DataFrame, width: int = NEAR_WIDTH, radius: int = NEAR_R
     firsts = rows.groupBy("whole").agg(F.min("doc_id").alias("first"))
     kinds = cut(rows.join(firsts, "whole").distinct())
     copies = kinds.where("doc_id != first").select("doc_id", "whole")
-    alone = texts.join(copies, ["doc_id", "whole"], "left_anti").select("doc_id", "text")
-    prints = cut(simhash(alone).select("doc_id", "fp"))
-    many = prints.groupBy("fp").agg(F.count("*").alias("n"))
-    linked = components(links(many.select("fp"), radius))
-    asked = prints.join(many.join(linked, many.fp == linked.node, "left").where("root is not null or n > 1").select("fp"), "fp", "left_semi").select("doc_id")
-    roots = components(alike_edges(alone.join(asked, "doc_id", "left_semi"), width, similarity))
+    roots = components(alike_edges(texts.join(copies, ["doc_id", "whole"], "left_anti").select("doc_id", "text"), width, similarity))
     led = kinds.join(roots, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("root", "first").alias("leader"))
     return led.groupBy("doc_id").agg(F.min("leader").alias("leader")).where("doc_id != leader")
 

@@ -417,6 +417,18 @@ def test_near_duplicates_in_large_groups(spark):
     assert {r.doc_id: r.leader for r in simhash.near_duplicates(docs(spark, texts)).collect()} == truth
 
 
+def test_near_duplicates_with_far_fingerprints(spark):
+    texts = []
+    for seed in range(400):
+        whole = prose(1000 + seed, 104, 10**6)
+        longer = f"{whole} {prose(5000 + seed, 25, 10**6)}"
+        a, b = simhash.fingerprints([simhash.shingle_hashes(t.encode(), 3) for t in (whole, longer)]).tolist()
+        if (a ^ b).bit_count() > 13:
+            texts += [whole, longer]
+    assert len(texts) >= 10
+    assert {r.doc_id: r.leader for r in simhash.near_duplicates(docs(spark, texts)).collect()} == {i: i - 1 for i in range(1, len(texts), 2)}
+
+
 # 9: main text
 
 
