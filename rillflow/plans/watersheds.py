@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from rillflow.functions.num import half_even
 from rillflow.operators import forest, stats
 from rillflow.plans.adapters import levels, sql, view
 
-#: Starts of the point queries: every node of a list, at every size of the tables.
+#: Starts of the point queries: every node of a list, at every size of the tables. The same
+#: queries from all nodes end in ``_all``.
 EVERY = 97
 
 
@@ -19,8 +22,8 @@ def _catch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes, forest.resolve_edges(nodes, [])
 
 
-def _starts(nodes: DataFrame) -> DataFrame:
-    return nodes.where(f"id % {EVERY} = 5").select("id")
+def _starts(nodes: DataFrame, every: bool = False) -> DataFrame:
+    return (nodes if every else nodes.where(f"id % {EVERY} = 5")).select("id")
 
 
 def _parts(nodes: DataFrame) -> DataFrame:
@@ -62,14 +65,14 @@ _ROLL = """count(*) AS n_segments, round_even(sum(area_milli)::BIGINT / 1000, 6)
   round_even(count(*) * 1000 / sum(area_milli)::BIGINT, 4) AS frequency, max(strahler) AS max_order"""
 
 
-def upstream_closure(spark, sf_dir):
+def upstream_closure(spark, sf_dir, every=False):
     nodes, edges = _catch(spark, sf_dir)
-    return forest.closure(edges, _starts(nodes)).select("start", "id")
+    return forest.closure(edges, _starts(nodes, every)).select("start", "id")
 
 
-def upstream_to_confluence(spark, sf_dir):
+def upstream_to_confluence(spark, sf_dir, every=False):
     nodes, edges = _catch(spark, sf_dir)
-    return forest.to_confluence(edges, _starts(nodes))
+    return forest.to_confluence(edges, _starts(nodes, every))
 
 
 _CONFLUENCE = f"""{sql("a_catch", recursive=True)},
@@ -92,11 +95,11 @@ def rollup_all_nodes(spark, sf_dir):
     return sums.select("id", *(v.alias(k) for k, v in _figures().items()))
 
 
-def main_channel(spark, sf_dir):
+def main_channel(spark, sf_dir, every=False):
     nodes, edges = _catch(spark, sf_dir)
     order = [F.col("strahler"), F.coalesce("len_m", F.lit(0)), F.col("area_milli")]
     best = forest.best_children(nodes.drop("down"), edges, order)
-    path = forest.closure(best, _starts(nodes)).join(nodes, "id")
+    path = forest.closure(best, _starts(nodes, every)).join(nodes, "id")
     ends = path.groupBy("start").agg(F.sum(F.coalesce("len_m", F.lit(0))).alias("m"), F.max_by("elev_max_cm", "steps").alias("top"), F.min_by("elev_min_cm", "steps").alias("bottom"), F.count("*").alias("n_segments"))
     slope = F.when(F.col("m") > 0, half_even((F.col("top") - F.col("bottom")) / 100 / F.col("m"), 6))
     return ends.select("start", "n_segments", half_even(F.col("m") / 1000, 4).alias("length_km"), slope.alias("slope"))
@@ -113,12 +116,13 @@ SELECT start, count(*) AS n_segments, round_even(sum(coalesce(len_m, 0))::BIGINT
 FROM p GROUP BY start"""
 
 
-def threshold_cascade(spark, sf_dir):
+def threshold_cascade(spark, sf_dir, every=False):
     nodes = levels(spark, sf_dir).withColumn("node", F.struct("threshold", "id"))
     edges = forest.resolve_edges(nodes, ["threshold"]).select(F.struct("threshold", "id").alias("id"), F.struct("threshold", F.col("down").alias("id")).alias("down"))
     counts = forest.subtree(nodes.select(F.col("node").alias("id"), F.lit(1).cast("long").alias("n")), edges, {"n": "sum"}).select("id.threshold", "id.id", "n")
-    coarse = counts.where("threshold = 100000").select("id")
-    return forest.choose_threshold(counts.join(coarse, "id"))
+    if not every:
+        counts = counts.join(counts.where("threshold = 100000").select("id"), "id")
+    return forest.choose_threshold(counts)
 
 
 _CASCADE = f"""{sql("a_catch", "a_levels", recursive=True)},
@@ -145,8 +149,8 @@ def missing_catchments_anti(spark, sf_dir):
     return forest.without_catchment(nodes, nodes.where("id % 89 <> 0").select("threshold", "id"))
 
 
-def edge_resolve(spark, sf_dir):
-    nodes = levels(spark, sf_dir).where("id % 10 <> 4")
+def edge_resolve(spark, sf_dir, every=False):
+    nodes = levels(spark, sf_dir) if every else levels(spark, sf_dir).where("id % 10 <> 4")
     return forest.resolve_edges(nodes, ["threshold"])
 
 
@@ -178,10 +182,10 @@ def stream_info(spark, sf_dir):
     return levels(spark, sf_dir).where("threshold = 10000 and id = 42").select("threshold", "id", "down", "strahler", "len_m").limit(1)
 
 
-def hypsometric_merge(spark, sf_dir):
+def hypsometric_merge(spark, sf_dir, every=False):
     nodes, edges = _catch(spark, sf_dir)
     bins = nodes.select("id", F.expr("explode(array(named_struct('bin', elev_min_cm div 100, 'count', 1 + id % 7), named_struct('bin', elev_min_cm div 100 + 1, 'count', 2 + id % 5), named_struct('bin', elev_max_cm div 100, 'count', 1 + id % 3)))").alias("b")).select("id", "b.*")
-    members = forest.closure(edges, _starts(nodes)).select("start", "id").join(bins, "id")
+    members = forest.closure(edges, _starts(nodes, every)).select("start", "id").join(bins, "id")
     return stats.hypsometric_merge(members, ["start"]).select("start", "step", half_even(F.col("height"), 4).alias("height"), half_even(F.col("fraction"), 6).alias("fraction"))
 
 
@@ -191,6 +195,17 @@ _HYPSO = f"""{_CLOSURE}, b AS (
 s AS (SELECT *, CASE WHEN low = high AND step > 0 THEN high + 1 ELSE low + ceil((high - low) * step / 20)::BIGINT END AS edge FROM t, range(0, 21) AS r(step) WHERE low < high OR step IN (0, 20))
 SELECT start, step::INT AS step, round_even(step / 20, 4) AS height, round_even(coalesce((SELECT sum(n) FROM h WHERE h.start = s.start AND bin >= edge), 0)::BIGINT / total, 6) AS fraction FROM s"""
 
+
+
+def _whole(text: str) -> str:
+    """The SQL of a query without the filter of its starts."""
+    found = text
+    for part in (f" WHERE id % {EVERY} = 5", " WHERE id IN (SELECT id FROM a_levels WHERE threshold = 100000)", " WHERE a.id % 10 <> 4 AND b.id % 10 <> 4"):
+        found = found.replace(part, "")
+    assert found != text
+    return found
+
+
 QUERIES = {
     "upstream_closure": (upstream_closure, f"{_CLOSURE} SELECT start, id FROM up"),
     "upstream_to_confluence": (upstream_to_confluence, _CONFLUENCE),
@@ -213,3 +228,6 @@ QUERIES = {
     "stream_info": (stream_info, f"{sql('a_catch', 'a_levels')} SELECT threshold, id, down, strahler, len_m FROM a_levels WHERE threshold = 10000 AND id = 42 LIMIT 1"),
     "hypsometric_merge": (hypsometric_merge, _HYPSO),
 }
+
+for _run in (upstream_closure, upstream_to_confluence, main_channel, threshold_cascade, edge_resolve, hypsometric_merge):
+    QUERIES[f"{_run.__name__}_all"] = (functools.partial(_run, every=True), _whole(QUERIES[_run.__name__][1]))

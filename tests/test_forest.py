@@ -66,3 +66,14 @@ def test_first_downstream(spark):
 def test_threshold_choice(spark):
     counts = spark.createDataFrame([(1, 1000, 600), (1, 10000, 50), (1, 100000, 5), (2, 1000, 9), (3, 1000, 900), (3, 10000, 800), (3, 100000, 700)], "id long, threshold int, n long")
     assert {r.id: r.threshold for r in forest.choose_threshold(counts).collect()} == {1: 10000, 2: 1000, 3: 100000}
+
+
+def test_whole_queries_start_from_every_node(spark, sf_dir):
+    from rillflow.plans import watersheds
+    from rillflow.plans.adapters import levels, view
+
+    run = {name: q(spark, sf_dir) for name, (q, _) in watersheds.QUERIES.items() if name.endswith("_all")}
+    ids = {r.id for r in view(spark, sf_dir, "a_catch").select("id").collect()}
+    assert {r.start for r in run["upstream_closure_all"].collect()} == ids
+    assert {r.start for r in run["main_channel_all"].collect()} == ids
+    assert {r.id for r in run["threshold_cascade_all"].collect()} == {r.id for r in levels(spark, sf_dir).select("id").collect()}
