@@ -38,13 +38,13 @@ _HEX_LONG = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Hex lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = {32, 40, 56, 64, 96, 128}
+#: Letter runs are not listed: words have many characters a token, and what has few is no word.
 _KNOWN = re.compile(
-    r"""[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}   # UUID
-    | [0-9_+/-]+                                                        # numbers, dates, phone numbers
-    | (?:[A-Za-z]+|[0-9]+)(?:[-_/+](?:[A-Za-z]+|[0-9]+)?)+              # slugs, paths, snake and kebab names
-    | [A-Z]?[a-z]+[0-9]*|[A-Z]+[0-9]*                                   # a word, with a number at its end
+    r"""(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})   # UUID
+    | [0-9_+/-]+                                                            # numbers, dates, phone numbers
+    | (?:[A-Z]?[a-z]{1,3}|[0-9]+)(?:[-_/+](?:[A-Z]?[a-z]{1,3}|[0-9]+)?)+    # short words, which have few characters a token
     """,
-    re.X | re.I,
+    re.X,
 )
 #: Fixed value: the published split pattern of this family of byte-pair vocabularies.
 _SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -204,6 +204,17 @@ def test_random_strings_and_known_forms(spark):
     assert secrets.redact("ab cd ef", [(3, 0, 5), (4, 1, 6)], "#") == "ab #ef"
 
 
+def test_random_strings_of_letters():
+    enc = secrets.encoding(secrets.read_vocabulary())
+    rng = random.Random(31)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    made = ["".join(rng.choices(letters, k=24)) + tail for tail in ("", "4829") for _ in range(50)]
+    for key in ["QwXzKpRtLvBnMjHgFdScYa", "xQzKpRtLvBnMjHgFd4829", "qXzKpRt-LvBnMjHg+FdScYaWq", *made]:
+        assert secrets.spans(key, enc) == [(0, 3, len(key))], key
+    for known in ("to-be-or-not-to-be", "internationalization2", "Some-Longer-Title-Of-Words", "responsibilities_and_duties"):
+        assert not secrets.spans(known, enc), known
+
+
 # 6: repeats
 
 
