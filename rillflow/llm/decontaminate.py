@@ -1,9 +1,9 @@
 """Operator 1: documents that hold benchmark items, by SimHash of item-sized windows.
 
 All of it is DataFrame expressions. A window of an item's length whose weighted-shingle
-similarity with the item is s holds a share s of the item's shingles or more, so windows are
-laid only where a document has that many, at the offsets that shared shingles give and SLACK
-words beside them; this loses no window and spares fingerprints of all others. A window's
+similarity with the item is s shares 2 s / (1 + s) of the item's k shingles or more (s, if the
+document is shorter), so every start is laid whose window holds that many positions with one
+of the item's shingles; this loses no window and spares fingerprints of all others. A window's
 fingerprint is compared through a multi-index: its 64 bits are cut into RADIUS + 1 blocks,
 two fingerprints within RADIUS bits agree in one block at least, so a join on (length, block
 number, block) finds all of them. Every pair within the radius is then verified exactly.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rillflow.llm.common import cut, table
 
-SHINGLE, SIMILARITY, RADIUS, SLACK = 5, 0.8, 19, 2
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
 #: Item shingles that may be broadcast (24 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 SPACE = r"[\x20\x09-\x0D]+"
@@ -65,6 +65,21 @@ def _weighed(hashes: Column) -> Column:
     return F.when(repeats, F.transform(ordered, lambda x, i: F.xxhash64(x, i.cast("long") + 1 - F.array_position(ordered, x)))).otherwise(F.transform(hashes, lambda x: F.xxhash64(x, F.lit(0).cast("long"))))
 
 
+def _starts(at: Column, k: Column, needed: Column, room: Column) -> Column:
+    """Starts up to ``room`` whose window of k shingles holds ``needed`` or more of the ascending positions ``at``.
+
+    The i-th position is the first in the windows that start after the one before it.
+    """
+
+    def of(i: Column) -> Column:
+        low = F.greatest(F.coalesce(F.get(at, i - 1) + 1, F.lit(0)), F.get(at, i + needed - 1) - k + 1)
+        high = F.least(F.get(at, i), room)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - needed), of))
+    return F.when(F.size(at) >= needed, every).otherwise(F.array().cast("array<int>"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity, hamming): the best window of each document for each item it holds.
 
@@ -78,8 +93,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     items = benchmark.where("item_id is not null").select("item_id", words("text").alias("w")).where(F.size("w") > 0)
     items = items.select("item_id", F.size("w").alias("n"), F.least(F.size("w"), F.lit(SHINGLE)).alias("width"), shingles(F.col("w"), SHINGLE).alias("s"))
     items = cut(items.withColumn("fp", fingerprint(F.col("s"))))
-    probe = items.select("width", "n", "item_id", F.size("s").alias("k"), F.posexplode("s").alias("place", "h"))
-    # an item's shingle may repeat: every place is an offset to try
+    probe = items.select("width", "n", "item_id", F.size("s").alias("k"), F.explode(F.array_distinct("s")).alias("h"))
     few = probe.count() <= BROADCAST_ROWS
     probe = F.broadcast(probe) if few else probe
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # SHINGLE values at most
@@ -88,15 +102,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     for width in widths or [SHINGLE]:
         own = texts.withColumn("w", words("text")).where(F.size("w") >= width)
         each = own.select("doc_id", F.posexplode(shingles(F.col("w"), width)).alias("at", "h"))
-        found = each.join(probe.where(F.col("width") == width), "h").select("doc_id", "item_id", "n", "k", "at", (F.col("at") - F.col("place")).alias("start"))
+        found = each.join(probe.where(F.col("width") == width), "h").select("doc_id", "item_id", "n", "k", "at")
         hits = found if hits is None else hits.union(found)
-    held = hits.groupBy("doc_id", "item_id", "n", "k").agg(F.count_distinct("at").alias("shared"), F.collect_set("start").alias("starts"))
-    held = held.where(F.col("shared") >= F.col("k") * similarity - 1e-9)
-    asked = held.groupBy("doc_id").agg(F.collect_set(F.struct("n", "starts")).alias("asked"))
+    held = hits.groupBy("doc_id", "item_id", "n", "k").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    held = held.where(F.size("at") >= F.col("k") * similarity - 1e-9)
+    asked = held.groupBy("doc_id").agg(F.collect_set(F.struct("n", "k", "at")).alias("asked"))
     laid = texts.join(asked, "doc_id").select("doc_id", words("text").alias("w"), F.explode("asked").alias("a"))
-    laid = laid.select("doc_id", "w", "a.n", F.explode("a.starts").alias("offset"))
-    room = F.greatest(F.size("w") - F.col("n"), F.lit(0))
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(-SLACK), F.lit(SLACK)), lambda d: F.least(F.greatest(F.col("offset") + d, F.lit(0)), room)))
+    laid = laid.select("doc_id", "w", "a.n", "a.k", "a.at")
+    share = F.when(F.size("w") < F.col("n"), F.lit(similarity)).otherwise(F.lit(2 * similarity / (1 + similarity)))
+    needed = F.greatest(F.ceil(share * F.col("k") - 1e-9).cast("int"), F.lit(1))
+    starts = _starts(F.col("at"), F.col("k"), needed, F.greatest(F.size("w") - F.col("n"), F.lit(0)))
     laid = laid.select("doc_id", "w", "n", F.explode(starts).alias("start")).select("doc_id", "n", "start", F.slice("w", F.col("start") + 1, F.col("n")).alias("w"))
     laid = laid.select("doc_id", "n", "start", shingles(F.col("w"), SHINGLE).alias("s")).dropDuplicates(["doc_id", "n", "start", "s"])
     windows = laid.withColumn("fp", fingerprint(F.col("s"))).select("doc_id", "n", "start", "s", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b"))

@@ -66,6 +66,14 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.contaminated(frame, bench.limit(0)).count() == 0
 
 
+def test_windows_of_reordered_items(spark):
+    a, b = prose(41, 50, 4000), prose(42, 50, 4000)
+    texts = [f"{prose(43, 200, 4000)} {b} {a} {prose(44, 100, 4000)}", f"{b} {a}", prose(45, 300, 4000)]
+    bench = spark.createDataFrame([(0, f"{a} {b}")], "item_id long, text string")
+    got = {r.doc_id: (r.start, round(r.similarity, 2)) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    assert got == {0: (200, 0.92), 1: (0, 0.92)}
+
+
 # 2: nearest neighbours
 
 
