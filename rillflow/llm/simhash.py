@@ -276,6 +276,15 @@ FREQUENT_TEXTS, FREQUENT_SEEN, FREQUENT = 20_000, 3, 200_000
 _ALL_PAIRS = 48
 
 
+#: Keys of texts that may be broadcast (24 bytes each), so that no text is shuffled; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def _light(keys: DataFrame) -> DataFrame:
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes((t or "").encode(), width)) for t in batch.column("text").to_pylist()]
 
@@ -443,7 +452,7 @@ def alike_edges(texts: DataFrame, width: int = NEAR_WIDTH, similarity: float = S
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
-        asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        asked = _light(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
         sets = cut(texts.join(asked, "doc_id", "left_semi").mapInArrow(_shingle_sets(width), "doc_id long, shingles binary"))
         both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
         return cut(both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"))
@@ -468,7 +477,7 @@ def near_duplicates(df: DataFrame, width: int = NEAR_WIDTH, similarity: float =
     rows = cut(texts.select("doc_id", "whole"))
     firsts = rows.groupBy("whole").agg(F.min("doc_id").alias("first"))
     kinds = cut(rows.join(firsts, "whole").distinct())
-    copies = kinds.where("doc_id != first").select("doc_id", "whole")
+    copies = _light(kinds.where("doc_id != first").select("doc_id", "whole"))
     roots = components(alike_edges(texts.join(copies, ["doc_id", "whole"], "left_anti").select("doc_id", "text"), width, similarity))
     led = kinds.join(roots, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("root", "first").alias("leader"))
     return led.groupBy("doc_id").agg(F.min("leader").alias("leader")).where("doc_id != leader")
