@@ -185,7 +185,7 @@ def link_group(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
             if near.any():
                 got = left[near]
                 left = left[~near]
-                a.append(np.full(len(got), root))
+                a.append(np.full(len(got), here))
                 b.append(got)
                 front.extend(got)
     none = np.zeros(0, np.uint64)
@@ -266,223 +266,6 @@ def simhash_components(df: DataFrame, width: int = WIDTH, radius: int = RADIUS)
     return rows.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Of near duplicates that are dropped: words of a shingle and similarity of the texts.
-NEAR_WIDTH, SIMILARITY = 5, 0.8
-
-
-#: Texts looked at for shingles that many share, times seen there to count as such, and how many are named at most.
-FREQUENT_TEXTS, FREQUENT_SEEN, FREQUENT = 20_000, 3, 200_000
-#: Groups of one key up to this size give all their pairs at once.
-_ALL_PAIRS = 48
-
-
-#: Keys of texts that may be broadcast (24 bytes each), so that no text is shuffled; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def _light(keys: DataFrame) -> DataFrame:
-    keys = cut(keys)
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-
-
-def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
-    return [np.unique(shingle_hashes((t or "").encode(), width)) for t in batch.column("text").to_pylist()]
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500))
-
-
-def _shingle_sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in _sets(batch, width)], pa.binary())], ["doc_id", "shingles"])
-
-    return run
-
-
-def _each_shingle(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *_sets(batch, width)]).view(np.int64))], ["h"])
-
-    return run
-
-
-def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, times seen) of what many texts share, by shingle, in a hashed share of the texts.
-
-    Which shingles are named moves cost only: any one order of all shingles loses no pair.
-    """
-    room = 1 << 30
-    share = min(1.0, FREQUENT_TEXTS / max(1, texts.count()))
-    seen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(room)) < int(room * share) + 1).mapInArrow(_each_shingle(width), "h long")
-    top = seen.groupBy("h").count().where(F.col("count") >= FREQUENT_SEEN).orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
-    names = top.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(names)
-    return names[order], top.column("count").to_numpy()[order]
-
-
-def _prefixes(width: int, similarity: float, frequent):
-    """(key, doc_id, n, place): sets alike by ``similarity`` share one of their first (1 - similarity) n + 1 shingles, rare ones first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, seen = frequent.value
-        for batch in _pieces(batches):
-            heads, sizes = [], []
-            for s in _sets(batch, width):
-                sizes.append(len(s))
-                if not len(s):
-                    heads.append(np.zeros(1, np.uint64))  # no word at all: one key for all of them
-                    continue
-                times = np.zeros(len(s), np.int64)
-                if len(names):
-                    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
-                    times = np.where(names[at] == s, seen[at], 0)
-                heads.append(s[np.argsort(times, kind="stable")[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]])
-            if not heads:
-                continue
-            long = [len(h) for h in heads]
-            at = np.repeat(np.arange(len(heads)), long)
-            place = np.concatenate([np.arange(k) for k in long])
-            columns = [pa.array(np.concatenate(heads).view(np.int64)), batch.column("doc_id").take(pa.array(at)), pa.array(np.array(sizes, np.int32)[at]), pa.array(place.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "n", "place"])
-
-    return run
-
-
-def _may_be_alike(n, m, i, j, similarity: float):
-    """Sizes n and m, with one shingle at places i and j of one order: whether they leave room for the similarity."""
-    room = np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1)
-    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (room * (1 + similarity) >= similarity * (n + m) - 1e-9)
-
-
-def _candidates(similarity: float):
-    """Rows sorted by key: pairs (a, b) of one key, and the members (a, null, key, n, place) of large groups.
-
-    A small group gives all its pairs. A large one gives two stars here, around its smallest
-    doc_id and around one that its key picks, and its members for what the stars leave open.
-    """
-
-    def flush(key, doc, n, place) -> Iterator[pa.RecordBatch]:
-        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        size = np.diff(edge)
-        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        few = np.flatnonzero(np.repeat((size > 1) & (size <= _ALL_PAIRS), size))
-        for shift in range(1, _ALL_PAIRS):
-            same = np.flatnonzero(key[few[shift:]] == key[few[:-shift]]) if len(few) > shift else []
-            if not len(same):
-                break
-            xs.append(few[same])
-            ys.append(few[same + shift])
-        members = [np.zeros(0, np.int64)]
-        for g in np.flatnonzero(size > _ALL_PAIRS):
-            all_of = np.arange(edge[g], edge[g + 1])
-            members.append(all_of)
-            for hub in (np.argmin(doc[all_of]), np.argmin(mix(doc[all_of].view(np.uint64) ^ key[all_of].view(np.uint64)))):
-                xs.append(np.full(len(all_of), all_of[hub]))
-                ys.append(all_of)
-        x, y, of = np.concatenate(xs), np.concatenate(ys), np.concatenate(members)
-        ok = (doc[x] != doc[y]) & _may_be_alike(n[x], n[y], place[x], place[y], similarity)
-        pairs = np.unique(np.stack([np.minimum(doc[x], doc[y])[ok], np.maximum(doc[x], doc[y])[ok]]), axis=1)
-        none = [None] * pairs.shape[1]
-        columns = [
-            pa.array(np.r_[pairs[0], doc[of]]),
-            pa.array([*pairs[1].tolist(), *[None] * len(of)], pa.int64()),
-            *(pa.array([*none, *v[of].tolist()], t) for v, t in ((key, pa.int64()), (n, pa.int32()), (place, pa.int32()))),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "n", "place"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            held.append([batch.column(c).to_numpy() for c in ("key", "doc_id", "n", "place")])
-            rows += batch.num_rows
-            if rows >= 1 << 17:
-                every = [np.concatenate(c) for c in zip(*held, strict=True)]
-                done = int(np.searchsorted(every[0], every[0][-1]))  # the last group may go on
-                if done:
-                    yield from flush(*(c[:done] for c in every))
-                held, rows = [[c[done:] for c in every]], len(every[0]) - done
-        if rows:
-            yield from flush(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
-    return run
-
-
-def _alike(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _between(members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of one key and different roots, in salted blocks of a large group."""
-    known = members.join(roots, members.a == roots.node, "left").select("key", F.col("a").alias("doc"), "n", "place", F.coalesce("root", "a").alias("root"))
-    known = cut(known)
-    mixed = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / 512).cast("int").alias("blocks")).where("low < high").select("key", "blocks")
-    open_ = known.join(mixed, "key")
-    left = open_.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    right = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x, y = left.alias("x"), right.alias("y")
-    room = F.least("x.place", "y.place") + 1 + F.least(F.col("x.n") - F.col("x.place") - 1, F.col("y.n") - F.col("y.place") - 1)
-    fits = (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9) & (room * (1 + similarity) >= similarity * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.root") != F.col("y.root")) & fits
-    return x.join(y, on).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-
-
-def alike_edges(texts: DataFrame, width: int = NEAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) between doc_ids of (doc_id, text): they connect exactly what a chain of texts
-    alike by ``similarity`` connects.
-
-    Candidates share a prefix key, which all alike pairs do, and are verified by their whole
-    shingle sets. Of large groups, stars are verified first; then all pairs that the
-    components of these leave apart.
-    """
-    sc = texts.sparkSession.sparkContext
-    keys = texts.mapInArrow(_prefixes(width, similarity, sc.broadcast(_frequent(texts, width))), "key long, doc_id long, n int, place int")
-    found = cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(similarity), "a long, b long, key long, n int, place int"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        asked = _light(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        sets = cut(texts.join(asked, "doc_id", "left_semi").mapInArrow(_shingle_sets(width), "doc_id long, shingles binary"))
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        return cut(both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"))
-
-    edges = verified(found.where("b is not null").select("a", "b").distinct())
-    members = found.where("b is null").select("a", "key", "n", "place")
-    if members.isEmpty():
-        return edges
-    return edges.union(verified(_between(members, components(edges), similarity)))
-
-
-def near_duplicates(df: DataFrame, width: int = NEAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, leader) for each doc_id of (doc_id, text) that repeats another: drop these.
-
-    Documents are alike if they share ``similarity`` of the ``width``-word shingle set (Jaccard).
-    A group is what chains of alike documents connect, and its leader is its smallest doc_id.
-    Equal texts are one before any comparison. Null doc_ids repeat nothing and are repeated by
-    none; null and empty texts repeat each other.
-    """
-    texts = df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.withColumn("whole", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    rows = cut(texts.select("doc_id", "whole"))
-    firsts = rows.groupBy("whole").agg(F.min("doc_id").alias("first"))
-    kinds = cut(rows.join(firsts, "whole").distinct())
-    copies = _light(kinds.where("doc_id != first").select("doc_id", "whole"))
-    roots = components(alike_edges(texts.join(copies, ["doc_id", "whole"], "left_anti").select("doc_id", "text"), width, similarity))
-    led = kinds.join(roots, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("root", "first").alias("leader"))
-    return led.groupBy("doc_id").agg(F.min("leader").alias("leader")).where("doc_id != leader")
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from rillflow.llm import decontaminate, html, links, neighbours, packing, repeats, secrets, sharding, simhash, toxicity
+from rillflow.llm import decontaminate, html, links, near, neighbours, packing, repeats, secrets, sharding, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -394,9 +394,9 @@ def test_near_duplicates(spark):
     close = " ".join([*w[:100], "new", *w[101:]])
     far = " ".join([*w[:100], *prose(2, 100).split()])
     texts = [prose(3, 50), base, close, base, far, None, "", "short text", "short text", prose(4, 80)]
-    got = {r.doc_id: r.leader for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    got = {r.doc_id: r.leader for r in near.near_duplicates(docs(spark, texts)).collect()}
     assert got == {2: 1, 3: 1, 6: 5, 8: 7}
-    assert simhash.near_duplicates(docs(spark, [])).count() == 0
+    assert near.near_duplicates(docs(spark, [])).count() == 0
 
 
 def jaccard(a, b):
@@ -418,7 +418,7 @@ def test_near_duplicates_by_chains(spark):
     whole = prose(21, 300, 4000)
     texts = [f"{whole} {prose(22, 45, 4000)}", whole, f"{prose(23, 45, 4000)} {whole}", prose(24, 300, 4000)]
     assert jaccard(texts[0], texts[2]) < 0.8
-    assert {r.doc_id: r.leader for r in simhash.near_duplicates(docs(spark, texts)).collect()} == {1: 0, 2: 0}
+    assert {r.doc_id: r.leader for r in near.near_duplicates(docs(spark, texts)).collect()} == {1: 0, 2: 0}
 
 
 def test_near_duplicates_in_large_groups(spark):
@@ -433,7 +433,7 @@ def test_near_duplicates_in_large_groups(spark):
         texts.append(" ".join(w))
     truth = groups_brute(texts)
     assert 20 < len(truth) < 149
-    assert {r.doc_id: r.leader for r in simhash.near_duplicates(docs(spark, texts)).collect()} == truth
+    assert {r.doc_id: r.leader for r in near.near_duplicates(docs(spark, texts)).collect()} == truth
 
 
 def test_near_duplicates_with_far_fingerprints(spark):
@@ -445,7 +445,7 @@ def test_near_duplicates_with_far_fingerprints(spark):
         if (a ^ b).bit_count() > 13:
             texts += [whole, longer]
     assert len(texts) >= 10
-    assert {r.doc_id: r.leader for r in simhash.near_duplicates(docs(spark, texts)).collect()} == {i: i - 1 for i in range(1, len(texts), 2)}
+    assert {r.doc_id: r.leader for r in near.near_duplicates(docs(spark, texts)).collect()} == {i: i - 1 for i in range(1, len(texts), 2)}
 
 
 # 9: main text
