@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from rillflow.llm.common import cut, table
 from rillflow.llm.decontaminate import contaminated
+from rillflow.llm.near import near_duplicates
 from rillflow.llm.packing import pack
 from rillflow.llm.secrets import scan_secrets
-from rillflow.llm.simhash import near_duplicates
 from rillflow.llm.toxicity import score_toxicity
 
 
@@ -19,8 +19,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    return docs.join(near_duplicates(docs).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near duplicates the document with the smallest doc_id stays, and one of
+    rows that are equal in doc_id and text. Rows without doc_id stay; null and empty texts repeat each other."""
+    kept = docs.join(near_duplicates(docs).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    often = docs.where("doc_id is not null").groupBy("doc_id", F.md5(F.coalesce("text", F.lit("")))).count().where("count > 1")
+    often = cut(often.select("doc_id").distinct())
+    if often.isEmpty():
+        return kept
+    once = kept.join(often, "doc_id", "left_semi").withColumn("_text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "_text"])
+    return kept.join(often, "doc_id", "left_anti").union(once.select(kept.columns)).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
