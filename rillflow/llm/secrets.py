@@ -74,8 +74,12 @@ def spans(text: str, enc: tiktoken.Encoding, limit: float = CHARS_PER_TOKEN) ->
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end()) for m in _HEX_LONG.finditer(text)]
     base = sorted(found)
+    at, reach = 0, 0  # runs don't overlap: base spans that start before a run's end are passed once
     for m in _RUN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in base) and looks_random(m[0], enc, limit):
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= m.start() and looks_random(m[0], enc, limit):
             found.append((m.start(), 3, m.end()))
     return sorted(found)
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -158,9 +159,11 @@ def test_swaps_take_weight_from_neutral_mentions():
     labels = (rng.random(400) < 0.5).astype(float)
     # feature 0 insults, feature 1 mentions a group and goes along with label 1, feature 2 is the swapped mention
     at = [np.array([f for f, on in ((0, y and rng.random() < 0.8), (1, rng.random() < (0.7 if y else 0.2))) if on], np.int64) for y in labels]
-    x = toxicity._Rows(at, [np.ones(len(a)) for a in at], 3)
-    pairs = [np.array([1, 2]) for a in at if 1 in a]
-    diff = toxicity._Rows(pairs, [np.array([1.0, -1.0]) for _ in pairs], 3)
+    rows = lambda lists, values: toxicity._Rows.of(pa.chunked_array([pa.array(lists, pa.list_(pa.int32()))]), pa.chunked_array([pa.array(values, pa.list_(pa.float64()))]), 3)
+    x = rows(at, [np.ones(len(a)) for a in at])
+    mentions = np.array([1 in a for a in at])
+    other = rows([np.where(a == 1, 2, a) for a in at], [np.ones(len(a)) for a in at])
+    diff = x.only(mentions).less(other.only(mentions))
     free, _ = toxicity.fit(labels, x, diff, penalty=0.0)
     tied, _ = toxicity.fit(labels, x, diff, penalty=10.0)
     assert abs(tied[1] - tied[2]) < 0.2 * abs(free[1] - free[2])

@@ -29,7 +29,45 @@ def test_stages(spark, sf_dir):
     left = list(stayed.items())
     assert not [(a, b) for i, (a, x) in enumerate(left) for b, y in left[:i] if len(x) > 20 and alike(x, y)]
     packed = corpus_pipeline.run(spark, sf_dir)
-    assert {r.doc_id for r in packed.select("doc_id").collect()} == ids[4]
+    pieces = {}
+    for r in packed.collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.text))
+    assert set(pieces) == ids[4]
+    texts = {r.doc_id: r.text or "" for r in kept[4].collect()}
+    assert {d: "".join(t for _, t in sorted(p)) for d, p in pieces.items()} == texts
+
+
+ODD = [
+    (1, "alpha beta gamma delta epsilon zeta", "en", "s", 35, "mine"),
+    (1, "alpha beta gamma delta epsilon zeta", "en", "s", 35, "mine"),
+    (2, "alpha beta gamma delta epsilon zeta", "en", "s", 35, "other"),
+    (None, "no id here at all", None, None, None, None),
+    (3, None, None, None, None, None),
+    (4, "", "en", "s", 0, ""),
+    (5, "one two three " * 9000, "en", None, 126000, "long"),
+    (6, "password = abcdefghijkl12 here", "en", "s", 30, "x"),
+]
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, empties, repeats, a long text and columns with clashing names, in every stage."""
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long, row string")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        kept[name] = sorted((tuple(r) for r in out.collect()), key=str)
+    full = sorted((tuple(r) for r in docs.collect()), key=str)
+    assert kept["toxicity"] == full and kept["decontamination"] == full
+    # of equal texts, and of null and empty ones, the smallest doc_id stays once
+    assert [r[0] for r in sorted(kept["near_dedup"], key=lambda r: (r[0] is None, r[0] or 0))] == [1, 3, 5, 6, None]
+    assert {r[0]: r[1] for r in kept["secrets"]}[6] == "<secret> here"
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert sum(r["size"] for r in packed) == sum(len(r[1] or "") for r in ODD)
+    assert "".join(r.text for r in sorted((r for r in packed if r.doc_id == 5), key=lambda r: r.piece)) == ODD[6][1]
+    assert sum(r.doc_id == 1 for r in packed) == 2
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
 def test_repeats_oracle(spark, sf_dir):
