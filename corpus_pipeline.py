@@ -44,8 +44,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their place in a sequence."""
-    return pack(docs)
+    """Pieces of the documents, with their text and their place in a sequence. Rows that repeat both
+    doc_id and text are packed each; null and empty texts are pieces without text."""
+    packed, digest = pack(docs), F.hex(F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = docs.where(F.char_length("text") > 0).select(F.col("doc_id").cast("long").alias("d"), digest.alias("c"), "text").dropDuplicates(["d", "c"])
+    held = packed.join(texts, packed.doc_id.eqNullSafe(texts.d) & (packed.cluster == texts.c), "left")
+    return held.select(*packed.columns, F.coalesce(F.substring("text", (F.col("start") + 1).cast("int"), F.col("size").cast("int")), F.lit("")).alias("text"))
 
 
 STAGES = [
