@@ -6,8 +6,8 @@
 3. A fingerprint can miss alike texts, so prefix keys find the rest without loss: sets alike by
    s share one of the first (1 - s) n + 1 of their shingles in any one order of all shingles. Keys
    whose texts are united already are closed; in an open key the components' first texts
-   are compared with the least of them, and what still stays apart is compared pair by pair
-   in salted blocks.
+   are compared with the least of them, and what still stays apart is compared pair by pair,
+   in keys of few texts at once, in others after their texts got keys that fewer share.
 
 A pair is tested by sketches of the sets first, which bound the similarity from above, and
 then judged by the Jaccard similarity of the whole sets, made from both texts. Keys are counted
@@ -35,6 +35,8 @@ WIDTH, SIMILARITY = 5, 0.8
 FREQUENT_TEXTS, FREQUENT_SEEN, FREQUENT = 20_000, 3, 200_000
 #: Rows of one or two longs that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Open keys of up to this many texts are compared pair by pair; texts of larger ones get new keys.
+LIMIT = 16
 #: Members of one block of a key whose texts are compared pair by pair.
 BLOCK = 512
 #: Bytes of text that a task holds as arrays at once; a longer text is alone.
@@ -120,6 +122,51 @@ def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return names[order], top.column("count").to_numpy()[order]
 
 
+def _prefix(s: np.ndarray, names: np.ndarray, seen: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set: those not named first, then by the times seen."""
+    if not len(s):
+        return np.zeros(1, np.uint64)  # no word at all: one key for all of them
+    take = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
+    if len(names):
+        at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+        s = s[np.lexsort((s, np.where(names[at] == s, seen[at], 0)))]
+    return s[:take]
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)))
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column of longs; a null list is empty."""
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    return np.split(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False), ends[:-1]) if len(column) else []
+
+
+def _whole_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, (texts,) in _chunks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), _lists(shingle_sets(texts, width))], ["doc_id", "shingles"])
+
+    return run
+
+
+def _again(similarity: float):
+    """(doc_id, n, keys) from (doc_id, shingles, names, seen): each row names its own frequent shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, names, seen = (_arrays(batch.column(c)) for c in ("shingles", "names", "seen"))
+            heads = []
+            for s, f, n in zip(sets, names, seen, strict=True):
+                order = np.argsort(f.view(np.uint64))
+                heads.append(_prefix(s.view(np.uint64), f.view(np.uint64)[order], n[order], similarity))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), _lists(heads)], ["doc_id", "n", "keys"])
+
+    return run
+
+
 def _describe(width: int, similarity: float, frequent):
     """(doc_id, fp, n, keys, sketch): fingerprint, size of the shingle set, its first shingles, rare ones first, and its parities."""
 
@@ -128,19 +175,7 @@ def _describe(width: int, similarity: float, frequent):
         for rows, (texts,) in _chunks(batches, "text"):
             every = shingles(texts, width)
             sets = [np.unique(h) for h in every]
-            heads = []
-            for s in sets:
-                if not len(s):
-                    heads.append(np.zeros(1, np.uint64))  # no word at all: one key for all of them
-                    continue
-                take = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
-                if len(names):
-                    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
-                    times = np.where(names[at] == s, seen[at], 0)
-                    s = s[np.argsort(times, kind="stable")]
-                heads.append(s[:take])
-            ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64)))
+            keys = _lists([_prefix(s, names, seen, similarity) for s in sets])
             columns = [rows.column("doc_id"), pa.array(fingerprints(every).view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), keys, pa.array([parities(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "keys", "sketch"])
 
@@ -219,32 +254,55 @@ def _open(members: DataFrame, *more) -> DataFrame:
     return members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), *more).where("low < high").drop("high")
 
 
-def alike_edges(texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between doc_ids of (doc_id, text), each alike by ``similarity``: they connect
-    exactly what a chain of alike texts connects."""
-    sc = texts.sparkSession.sparkContext
-    described = texts.mapInArrow(_describe(width, similarity, sc.broadcast(_frequent(texts, width))), "doc_id long, fp long, n int, keys array<long>, sketch binary")
-    known = cut(described)
-    edges = _verified(texts, known, _linked(known, radius), width, similarity)
-    keys = _rooted(known.select("doc_id", "n", "keys"), _light(components(edges))).select("doc_id", "n", "root", F.posexplode("keys").alias("place", "key"))
+def _by_keys(texts: DataFrame, known: DataFrame, prefixes: DataFrame, edges: DataFrame, width: int, similarity: float, limit: int | None) -> tuple[DataFrame, DataFrame]:
+    """``edges`` and those that the keys of (doc_id, n, keys) add; the documents of open keys of over ``limit``, not compared pair by pair."""
+    keys = _rooted(prefixes, _light(components(edges))).select("doc_id", "n", "root", F.posexplode("keys").alias("place", "key"))
     members = cut(keys.join(_light(_open(keys).select("key")), "key"))
     # of keys with the same members one will do
     each = [F.count("*").alias("size"), *(F.bit_xor(F.xxhash64("doc_id", F.lit(s))).alias(f"s{s}") for s in (1, 2))]
     kinds = _open(members, *each).groupBy("size", "s1", "s2").agg(F.min(F.struct("key", "low")).alias("m")).select("m.key", "size", "m.low")
-    kinds = _light(kinds)
-    members = cut(members.join(kinds, "key"))
+    members = cut(members.join(_light(kinds), "key"))
     # stars: of each root's members the first, with the first of the least root
     heads = members.groupBy("key", "low", "root").agg(F.min("doc_id").alias("doc_id"))
     stars = heads.where("root != low").join(heads.where("root = low").select("key", F.col("doc_id").alias("hub")), "key")
     stars = stars.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     edges = cut(edges.union(_verified(texts, known, stars, width, similarity)))
     left = _rooted(members.where("size > 2").select("key", "doc_id", "n", "place"), _light(components(edges)))
-    left = cut(left.join(_light(_open(left, F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))), "key"))
-    x = left.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).alias("x")
-    y = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    kinds = _light(_open(left, F.count("*").alias("size"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    left = cut(left.join(kinds, "key"))
+    small = left if limit is None else left.where(F.col("size") <= limit)
+    x = small.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).alias("x")
+    y = small.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
     rest = x.join(y, on & _may_be_alike("x", "y", similarity)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    return edges.union(_verified(texts, known, rest, width, similarity))
+    return edges.union(_verified(texts, known, rest, width, similarity)), left.where(F.col("size") > limit if limit else F.lit(False)).select("doc_id").distinct()
+
+
+def alike_edges(texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) between doc_ids of (doc_id, text), each alike by ``similarity``: they connect
+    exactly what a chain of alike texts connects.
+
+    Texts that are not alike but share a passage with more than LIMIT others get new keys: the
+    passage's shingles are counted among texts of this kind and put last. Alike texts of
+    which one is not of this kind share a smaller key, so nothing is lost.
+    """
+    sc = texts.sparkSession.sparkContext
+    described = texts.mapInArrow(_describe(width, similarity, sc.broadcast(_frequent(texts, width))), "doc_id long, fp long, n int, keys array<long>, sketch binary")
+    known = cut(described)
+    edges = _verified(texts, known, _linked(known, radius), width, similarity)
+    edges, many = _by_keys(texts, known, known.select("doc_id", "n", "keys"), edges, width, similarity, LIMIT)
+    many = _light(many)
+    if many.isEmpty():
+        return edges
+    sets = cut(texts.join(many, "doc_id", "left_semi").mapInArrow(_whole_sets(width), "doc_id long, shingles array<long>"))
+    each = sets.select("doc_id", F.explode("shingles").alias("h"))
+    # counted in a hashed share of these texts: what is named moves cost only
+    some = each.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0)
+    often = _light(some.groupBy("h").agg(F.count("*").alias("seen")).where(F.col("seen") >= FREQUENT_SEEN))
+    # a list is a part of its document's own set
+    own = each.join(often, "h").groupBy("doc_id").agg(F.collect_list("h").alias("names"), F.collect_list("seen").alias("seen"))
+    prefixes = cut(sets.join(own, "doc_id", "left").mapInArrow(_again(similarity), "doc_id long, n int, keys array<long>"))
+    return _by_keys(texts, known, prefixes, edges, width, similarity, None)[0]
 
 
 def near_duplicates(df: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -258,8 +316,8 @@ def near_duplicates(df: DataFrame, width: int = WIDTH, similarity: float = SIMIL
     texts = df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("whole", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     rows = cut(texts.select("doc_id", "whole").distinct())
-    firsts = rows.groupBy("whole").agg(F.min("doc_id").alias("first"))
-    kinds = cut(rows.join(firsts, "whole"))
+    firsts = rows.groupBy("whole").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).where("size > 1").select("whole", "first")
+    kinds = cut(rows.join(_light(firsts), "whole", "left").withColumn("first", F.coalesce("first", "doc_id")))
     copies = _light(kinds.where("doc_id != first").select("doc_id", "whole"))
     once = texts.join(copies, ["doc_id", "whole"], "left_anti").select("doc_id", "text")
     # a document's several texts are one group, too
