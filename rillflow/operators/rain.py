@@ -23,12 +23,20 @@ def valid(duration: Column, probability: Column) -> Column:
     return F.coalesce(duration.isin(*DURATIONS) & probability.isin(*PROBABILITIES), F.lit(False))
 
 
-def interpolate(asks: DataFrame, stations: DataFrame, value: str, by: list[str], k: int = 4, size: int = 2000) -> DataFrame:
+def interpolate(asks: DataFrame, stations: DataFrame, value: str, by: list[str], k: int = 4, size: int | None = None) -> DataFrame:
     """(qid, by, value, n) by inverse squared distance of the k nearest stations (id, x, y, by, value).
 
-    A station nearer than EPSILON decides alone; an ask without stations gives no row.
+    A station nearer than EPSILON decides alone; an ask without stations gives no row. Stations
+    that have values for the same set of ``by`` are searched once for all of them.
     """
-    near = nearest_points(asks, stations, k, by, size)
+    each = F.sort_array(F.collect_list(F.struct(*by, F.col(value).alias("_value"))))
+    places = stations.groupBy("id", "x", "y").agg(each.alias("_values"))
+    kind = F.xxhash64(F.transform("_values", lambda v: F.struct(*(v[b] for b in by)))) if by else F.lit(0)
+    near = nearest_points(asks, places.withColumn("_kind", kind), k, ["_kind"], size)
+    near = near.select("qid", "id", "d2", F.explode("_values").alias("v")).select("qid", "id", "d2", *(F.col(f"v.{b}") for b in by), F.col("v._value").alias(value))
+    # of several kinds of stations each gave its k nearest
+    rank = F.row_number().over(Window.partitionBy("qid", *by).orderBy("d2", "id"))
+    near = near.withColumn("_rank", rank).where(F.col("_rank") <= k)
     d = F.sqrt("d2")
     weight = 1 / F.pow(d + EPSILON, F.lit(POWER))
     sums = near.withColumn("weight", weight).groupBy("qid", *by).agg(
@@ -44,7 +52,9 @@ def coverage(stations: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFra
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], newest: str) -> DataFrame:
-    """Rows of both, one per key: the one with the largest ``newest``; of equals, the new one. Rows of ``new`` without a value are left out."""
+    """Rows of both, one per key: the one with the largest ``newest``; of equals, the new one, then the larger value. Rows of ``new`` without a value are left out."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.where("mm_x10 is not null").withColumn("_new", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(newest).desc_nulls_last(), F.desc("_new"), F.desc("mm_x10")))
-    return both.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_new")
+    rest = [c for c in old.columns if c not in keys]
+    # the largest of each key's rows, combined before the shuffle
+    best = F.max(F.struct(F.col(newest).alias("_a"), F.col("_new").alias("_b"), F.col("mm_x10").alias("_c"), F.struct(*rest).alias("_row")))
+    return both.groupBy(*keys).agg(best.alias("_best")).select(*(c if c in keys else F.col(f"_best._row.{c}").alias(c) for c in old.columns))

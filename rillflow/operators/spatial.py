@@ -5,6 +5,8 @@ Rectangles are (x0, y0, w, h), points (x, y), segments (x1, y1, x2, y2), in whol
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,21 +71,45 @@ def segment_cells(df: DataFrame, size: int) -> DataFrame:
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, within: int = 1000) -> DataFrame:
-    """(qid, id, distance): each point's nearest segment at most ``within`` away, ties to the smaller id."""
+    """(qid, id, distance): each point's nearest segment at most ``within`` away, ties to the smaller id.
+
+    A point looks at the segments of its own cell first. What it finds there bounds the
+    distance, so that it then looks only at the other cells that lie within the bound.
+    """
     c = F.col
-    near = with_cells(points, c("x") - within, c("x") + within, c("y") - within, c("y") + within, within)
-    d2 = segment_distance2(*(c(n) for n in ("x", "y", "x1", "y1", "x2", "y2")))
-    pairs = near.join(segment_cells(segments, within), ["gx", "gy"]).withColumn("d2", d2).where(c("d2") <= within * within)
-    return pairs.groupBy("qid").agg(F.min(F.struct("d2", "id")).alias("m")).select("qid", c("m.id").alias("id"), F.sqrt("m.d2").alias("distance"))
+    size = max(1, within // 2)
+    asks, cells = points.select("qid", c("x").alias("px"), c("y").alias("py")), segment_cells(segments, size)
+    own = asks.withColumns({"gx": F.floor(c("px") / size), "gy": F.floor(c("py") / size)})
+
+    def best(near: DataFrame) -> DataFrame:
+        d2 = segment_distance2(*(c(n) for n in ("px", "py", "x1", "y1", "x2", "y2")))
+        pairs = near.join(cells, ["gx", "gy"]).withColumn("d2", d2).where(c("d2") <= within * within)
+        return pairs.groupBy("qid").agg(F.min(F.struct("d2", "id")).alias("m"))
+
+    first = cut(own.join(best(own), "qid", "left"))
+    # one more metre keeps segments as far as the bound
+    reach = F.coalesce(F.ceil(F.sqrt("m.d2")) + 1, F.lit(within))
+    more = with_cells(first.drop("gx", "gy").withColumn("reach", reach), c("px") - c("reach"), c("px") + c("reach"), c("py") - c("reach"), c("py") + c("reach"), size)
+    more = more.where((c("gx") != F.floor(c("px") / size)) | (c("gy") != F.floor(c("py") / size)))
+    found = first.where("m is not null").select("qid", "m").union(best(more.select("qid", "px", "py", "gx", "gy")))
+    return found.groupBy("qid").agg(F.min("m").alias("m")).select("qid", c("m.id").alias("id"), F.sqrt("m.d2").alias("distance"))
+
+
+def _cell_of(points: DataFrame, k: int) -> int:
+    """A cell that holds about k points, from their number and extent."""
+    n, w, h = points.agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    return max(1, math.ceil(math.sqrt(max(w, 1) * max(h, 1) * k / n))) if n else 1
 
 
-def nearest_points(asks: DataFrame, points: DataFrame, k: int, by: list[str], size: int) -> DataFrame:
+def nearest_points(asks: DataFrame, points: DataFrame, k: int, by: list[str], size: int | None = None) -> DataFrame:
     """The k nearest ``points`` (id, x, y, by) of each of ``asks`` (qid, qx, qy), for each value of ``by``, with columns d2 and rank.
 
     Rings of grid cells: an ask is settled once its k-th point lies within the ring's reach;
     those that aren't look twice as far in the next round, up to the extent of all points.
+    Cells are ``size`` wide, or hold about k points.
     """
     c = F.col
+    size = size or _cell_of(points, k)
     keyed = cut(points.withColumns({"gx": F.floor(c("x") / size), "gy": F.floor(c("y") / size)}))
     box = keyed.agg(F.min("gx"), F.max("gx"), F.min("gy"), F.max("gy")).first()
     if box[0] is None:
