@@ -106,6 +106,42 @@ def test_neighbours_of_many_copies(spark):
     assert {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (0, 40)} == {0: [1, 2, 3, 4], 40: [0, 1, 2, 3]}
 
 
+@pytest.mark.parametrize("parts", [3, 40])
+def test_neighbours_find_twenty(spark, sf_dir, parts):
+    """No query is short, recall is 0.9 or more, and partitions change nothing."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).repartition(parts)
+    got = {}
+    for r in neighbours.nearest(rows, rows.where("id % 20 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    data = {r.id: np.array(r.v, float) for r in rows.collect() if r.v is not None and None not in r.v and len(r.v) == 64}
+    data = {i: x for i, x in data.items() if np.isfinite(x).all() and x.any()}
+    hits = []
+    for q in (i for i in data if i % 20 == 0):
+        ranked = sorted(got[q])
+        assert [r for r, _, _ in ranked] == list(range(1, 21))
+        assert all(abs(s - data[q] @ data[v]) < 1e-9 for _, v, s in ranked)
+        assert [(-s, v) for _, v, s in ranked] == sorted((-s, v) for _, v, s in ranked)
+        true = sorted((i for i in data if i != q), key=lambda i: (-float((data[q] * data[i]).sum()), i))[:20]
+        hits.append(len({v for _, v, _ in ranked} & set(true)))
+    assert sum(hits) >= 0.9 * 20 * len(hits)
+
+
+def test_neighbours_of_few_rows_and_uneven_norms(spark):
+    rng = np.random.default_rng(8)
+    few = [(i, [float(x) for x in rng.standard_normal(4)]) for i in range(0, 15)] + [(3, None), (None, [1.0] * 4), (30, [0.0] * 4), (31, [float("nan")] * 4), (32, [1.0])]
+    frame = spark.createDataFrame(few, "id long, v array<double>")
+    got = neighbours.nearest(frame.union(frame), frame.where("id = 0")).collect()
+    assert sorted(r.vec_id for r in got) == list(range(1, 15)) and sorted(r["rank"] for r in got) == list(range(1, 15))
+    scaled = [(i, [float(x) for x in rng.standard_normal(8) * 10.0 ** rng.integers(-3, 1)]) for i in range(600)] + [(999, [1e200] * 8)]
+    frame = spark.createDataFrame(scaled, "id long, v array<double>")
+    data, hits = {i: np.array(v) for i, v in scaled}, 0
+    got = neighbours.nearest(frame, frame.where("id % 20 = 0 and id < 600"), k=5).collect()
+    for q in range(0, 600, 20):
+        true = sorted((i for i in data if i != q), key=lambda i: (-float(data[q] @ data[i]), i))[:5]
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(true))
+    assert hits >= 0.9 * 5 * 30
+
+
 # 3: packing
 
 
