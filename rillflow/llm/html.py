@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rillflow.llm.common import bounded_sample, slices, table
 
-#: Pages that the network is trained on, at most, and characters of one of them.
+#: Pages that the network is trained on, at most; longer ones than so many characters are not picked.
 TRAIN_PAGES, TRAIN_CHARS = 240, 200_000
 PATH, WORDS, MEASURES, HIDDEN = 96, 16, 6, 16
 EPOCHS, BATCH, RATE = 14, 24, 0.01
@@ -32,7 +32,7 @@ _BLOCK = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose contents are no text of the page.
-_DROP = frozenset("script style noscript template title textarea select option button svg math iframe object canvas audio video datalist".split())
+_DROP = frozenset("script style noscript template title textarea select option button svg datalist".split())
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+[^>]*+)>?|[^<]++|<""", re.S)
 _NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -114,6 +114,14 @@ def told(path: tuple[str, ...]) -> int | None:
     return 1 if any(p in _MAIN_TAGS for p in path) else None
 
 
+def guessed(block: tuple[tuple[str, ...], str, int]) -> int | None:
+    """The same for a page whose markup tells no main text: long blocks with few links are, lists of links are not."""
+    _, text, links = block
+    if links > 0.5 * len(text):
+        return 0
+    return 1 if len(text) >= 60 and links < 0.3 * len(text) else None
+
+
 def describe(blocks: list[tuple[tuple[str, ...], str, int]], known: dict[str, int]) -> np.ndarray:
     """Input rows of the network. known: cache of word hashes."""
     x = np.zeros((len(blocks), PATH + WORDS + MEASURES))
@@ -229,7 +237,8 @@ def lessons(pages: list[str], seed: int = 3) -> list[tuple[np.ndarray, np.ndarra
     """(inputs, labels, weights) of training pages: as they are, with the telling tags hidden, and with boilerplate added."""
     rng = np.random.default_rng(seed)
     found, known = [], {}
-    parsed = [[(b, told(b[0])) for b in leaves(p[:TRAIN_CHARS])] for p in pages]
+    parsed = [[(b, told(b[0])) for b in leaves(p)] for p in pages]
+    parsed = [page if any(y == 1 for _, y in page) else [(b, guessed(b) if y is None else y) for b, y in page] for page in parsed]
     prose = [b[1] for page in parsed for b, y in page if y == 1] or [b[1] for page in parsed for b, _ in page]
     names = sorted(_REST_NAMES)
 
@@ -316,10 +325,11 @@ def extract_text(pages: DataFrame, sample: int = TRAIN_PAGES) -> DataFrame:
     Main-text blocks in page order, joined by one space; the whole page is read. A null or
     empty html, and one without main text, gives an empty text. The network is trained on the
     ``sample`` pages with the smallest hash, on the driver; it has a fixed size, and so has what
-    is broadcast. Repeated rows are kept.
+    is broadcast. Where a training page's markup tells no main text, its long blocks with few
+    links are taken for it. Repeated rows are kept.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    chosen = rows.where("html is not null").select("page_id", "url", F.substring("html", 1, TRAIN_CHARS).alias("html"))
+    chosen = rows.where("html is not null").select("page_id", "url", "html").where(F.char_length("html") <= TRAIN_CHARS)
     model = learn([r["html"] for r in bounded_sample(chosen, ["page_id", "url"], sample).collect()])
     kind = rows.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(model)), f"page_id {kind}, url string, text string, n_chars long")

@@ -14,7 +14,8 @@ from rillflow.llm.common import cut, table
 
 #: (verdict, host, path), fixed by the query's contract.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ROUNDS = 0.85, 10
+#: Rounds end once all scores together change by less than the tolerance and no new host is reached.
+DAMPING, TOLERANCE = 0.85, 1e-4
 #: A host is blocked if its distrust is over this share of its trust and distrust.
 THRESHOLD = 0.5
 
@@ -41,32 +42,39 @@ def rule(host: Column, path: Column, rules=RULES) -> Column:
 
 def page_links(html: Column, own: Column) -> Column:
     """Hosts that a page's links name, its own left out; relative links stay on the host."""
-    targets = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""), 1)
+    targets = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""), 1)
     return F.filter(F.transform(targets, lambda t: F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), lambda t: t != own)
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """(host, score) of personalised PageRank over (src, dst, weight) from (host, weight) seeds.
 
     Seed weights are scaled to a sum of 1; what hosts without links hold goes back to the
     seeds. Each round is one join on src and one pre-aggregated sum by dst, so a hub's links
-    are summed where they lie; every round is checkpointed.
+    are summed where they lie; every round is checkpointed. Rounds go on until the scores
+    change by less than ``tolerance`` together and reach no new host.
     """
     total = F.sum("weight")
     start = cut(seeds.groupBy("host").agg(total.alias("w")).where("w > 0").crossJoin(F.broadcast(seeds.agg(total.alias("all")))).select("host", (F.col("w") / F.col("all")).alias("p")))
     out = edges.groupBy("src").agg(total.alias("out"))
     moves = cut(edges.groupBy("src", "dst").agg(total.alias("w")).join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")))
     score = start.select("host", F.col("p").alias("score"))
-    for _ in range(rounds):
+    while True:
         moved = score.join(moves, score.host == moves.src).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share") * damping).alias("score"))
         # one row: how much mass has moved on; the rest restarts at the seeds
         rest = moved.agg((1 - F.coalesce(F.sum("score"), F.lit(0.0))).alias("rest"))
         restart = start.crossJoin(F.broadcast(rest)).select("host", (F.col("p") * F.col("rest")).alias("score"))
-        score = cut(moved.union(restart).groupBy("host").agg(F.sum("score").alias("score")))
+        new = cut(moved.union(restart).groupBy("host").agg(F.sum("score").alias("score")))
+        both = new.select("host", "score", F.lit(1).alias("now")).union(score.select("host", -F.col("score"), F.lit(-1)))
+        each = both.groupBy("host").agg(F.abs(F.sum("score")).alias("change"), F.sum("now").alias("now"))
+        change, reached = each.agg(F.sum("change"), F.sum(F.abs("now"))).first()
+        score = new
+        if not reached and (change or 0.0) < tolerance:
+            break
     return score
 
 
-def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for each row of (page_id, url, html).
 
     A fitting rule decides. Otherwise the host's distrust decides: blocked if it is over
@@ -80,9 +88,9 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, threshold: float
     links = rows.where("host != ''").select(F.col("host").alias("src"), F.explode(page_links(F.col("html"), F.col("host"))).alias("dst"))
     edges = cut(links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")))
     seeds = cut(rows.where("fit is not null and host != ''").groupBy("host", F.col("fit.verdict").alias("verdict")).agg(F.count("*").cast("double").alias("weight")))
-    trust = propagate(edges, seeds.where("verdict = 'allow'"), rounds)
+    trust = propagate(edges, seeds.where("verdict = 'allow'"), tolerance)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(back, seeds.where("verdict = 'block'"), rounds)
+    distrust = propagate(back, seeds.where("verdict = 'block'"), tolerance)
     scores = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).union(distrust.select("host", F.lit(0.0), "score"))
     scores = cut(scores.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
     judged = rows.drop("html").join(scores, "host", "left")

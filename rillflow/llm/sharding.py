@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,10 +42,6 @@ def _jump(keys: pd.Series, shards: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"shard": jump_hash(k, n), "grown": jump_hash(k, n + 1)})
 
 
-def _crc32(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: zlib.crc32(t.encode()) if t is not None else 0).astype("int64")
-
-
 def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, cells: int = CELLS) -> DataFrame:
     """Rows of ``df`` as (key, size, text_crc32, law, shard, slot, grown_shard).
 
@@ -62,8 +56,8 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    jump, crc32 = F.pandas_udf(_jump, "shard int, grown int"), F.pandas_udf(_crc32, "long")
-    rows = df.select(F.col(key).alias("k"), text_bytes(text).alias("bytes"), crc32(F.col(text)).alias("crc"))
+    jump = F.pandas_udf(_jump, "shard int, grown int")
+    rows = df.select(F.col(key).alias("k"), text_bytes(text).alias("bytes"), F.crc32(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")).alias("crc"))
     rows = rows.withColumn("jump", jump(F.xxhash64("k"), F.lit(shards)))
     rows = rows.select("k", (F.col("bytes") + 1).alias("size"), "crc", "jump.shard", "jump.grown", F.pmod(F.xxhash64("k", "crc"), F.lit(cells)).cast("int").alias("cell"))
     counts = rows.groupBy("shard", "cell").count()
