@@ -6,8 +6,8 @@
 3. A fingerprint can miss alike texts, so prefix keys find the rest without loss: sets alike by
    s share one of the first (1 - s) n + 1 of their shingles in any one order of all shingles. Keys
    whose texts are united already are closed; in an open key the components' first texts
-   are compared with the least of them, and what still stays apart is compared pair by pair,
-   in keys of few texts at once, in others after their texts got keys that fewer share.
+   are compared with the least of them, and what still stays apart is compared in salted
+   blocks, which give only the pairs whose sketches, sizes and places leave room for alike texts.
 
 A pair is tested by sketches of the sets first, which bound the similarity from above, and
 then judged by the Jaccard similarity of the whole sets, made from both texts. Keys are counted
@@ -35,9 +35,7 @@ WIDTH, SIMILARITY = 5, 0.8
 FREQUENT_TEXTS, FREQUENT_SEEN, FREQUENT = 20_000, 3, 200_000
 #: Rows of one or two longs that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Open keys of up to this many texts are compared pair by pair; texts of larger ones get new keys.
-LIMIT = 16
-#: Members of one block of a key whose texts are compared pair by pair.
+#: Members of one block of a key; two blocks are compared at once.
 BLOCK = 512
 #: Bytes of text that a task holds as arrays at once; a longer text is alone.
 CHUNK = 1 << 20
@@ -138,35 +136,6 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)))
 
 
-def _arrays(column: pa.ListArray) -> list[np.ndarray]:
-    """The lists of a column of longs; a null list is empty."""
-    ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False))
-    return np.split(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False), ends[:-1]) if len(column) else []
-
-
-def _whole_sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, (texts,) in _chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), _lists(shingle_sets(texts, width))], ["doc_id", "shingles"])
-
-    return run
-
-
-def _again(similarity: float):
-    """(doc_id, n, keys) from (doc_id, shingles, names, seen): each row names its own frequent shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets, names, seen = (_arrays(batch.column(c)) for c in ("shingles", "names", "seen"))
-            heads = []
-            for s, f, n in zip(sets, names, seen, strict=True):
-                order = np.argsort(f.view(np.uint64))
-                heads.append(_prefix(s.view(np.uint64), f.view(np.uint64)[order], n[order], similarity))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), _lists(heads)], ["doc_id", "n", "keys"])
-
-    return run
-
-
 def _describe(width: int, similarity: float, frequent):
     """(doc_id, fp, n, keys, sketch): fingerprint, size of the shingle set, its first shingles, rare ones first, and its parities."""
 
@@ -237,11 +206,73 @@ def _linked(known: DataFrame, radius: int) -> DataFrame:
     return same.union(near.select(F.least("at_a", "at_b").alias("a"), F.greatest("at_a", "at_b").alias("b")).distinct())
 
 
-def _may_be_alike(x: str, y: str, similarity: float):
-    """Sets of n shingles that share the one at ``place``: whether their sizes and places leave room for the similarity."""
-    n, m, i, j = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.place", f"{y}.place"))
-    room = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (room * (1 + similarity) >= similarity * (n + m) - 1e-9)
+def close_pairs(n: np.ndarray, place: np.ndarray, root: np.ndarray, side: np.ndarray, whole: bool, sketches: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of one cell, of different roots and, unless ``whole``, of different sides, that may be alike.
+
+    Sets of n shingles share the one at ``place`` of one order: their sizes, places and sketches
+    must leave room for the similarity.
+    """
+    size = np.array([len(x) // 8 for x in sketches])
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for w in np.unique(size):
+        x = np.flatnonzero(size == w)
+        p = np.frombuffer(b"".join(sketches[i] for i in x), np.uint64).reshape(len(x), w)
+        for y in (x, np.flatnonzero(size == 2 * w)):  # longer sketches are of sets too large for these
+            if not len(y):
+                continue
+            q = p if y is x else np.bitwise_xor.reduce(np.frombuffer(b"".join(sketches[i] for i in y), np.uint64).reshape(len(y), 2, w), axis=1)
+            step = max(1, (1 << 20) // (len(y) * int(w)))
+            for at in range(0, len(x), step):
+                i, j = x[at : at + step, None], y[None, :]
+                most = (1 - similarity) * (n[i] + n[j]) + 1e-6
+                ok = np.bitwise_count(p[at : at + step, None, :] ^ q[None, :, :]).sum(axis=2) * (1 + similarity) <= most
+                ok &= (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+                room = np.minimum(place[i], place[j]) + 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)
+                ok &= room * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-9
+                if not whole:
+                    ok &= side[i] != side[j]
+                if y is x:
+                    ok &= i < j
+                r, c = np.nonzero(ok)
+                found.append((x[at + r], y[c]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(f[0] for f in found)]), np.concatenate([none, *(f[1] for f in found)])
+
+
+def _close(similarity: float):
+    """Rows sorted by (key, low, high) to pairs (a, b): holds one cell, two blocks at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None
+        for batch in _then_none(batches):
+            if batch is not None:
+                rest = pa.concat_batches([rest, batch]) if rest is not None else batch
+                if rest.num_rows < 20_000:
+                    continue
+            if rest is None or not rest.num_rows:
+                continue
+            key, low, high = (rest.column(c).to_numpy() for c in ("key", "low", "high"))
+            edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), True])
+            if batch is not None:
+                edge = edge[:-1]  # the last cell may go on
+            doc, n, place, root, side = (rest.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "n", "place", "root", "side"))
+            sketches = rest.column("sketch").to_pylist()
+            pairs = [np.zeros((2, 0), np.int64)]
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                if e - s > 1 and (root[s:e] != root[s]).any():
+                    i, j = close_pairs(n[s:e], place[s:e], root[s:e], side[s:e], low[s] == high[s], sketches[s:e], similarity)
+                    x, y = doc[s:e][i], doc[s:e][j]
+                    pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+            every = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(every[0]), pa.array(every[1])], ["a", "b"])
+            rest = rest.slice(edge[-1])
+
+    return run
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -254,9 +285,14 @@ def _open(members: DataFrame, *more) -> DataFrame:
     return members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), *more).where("low < high").drop("high")
 
 
-def _by_keys(texts: DataFrame, known: DataFrame, prefixes: DataFrame, edges: DataFrame, width: int, similarity: float, limit: int | None) -> tuple[DataFrame, DataFrame]:
-    """``edges`` and those that the keys of (doc_id, n, keys) add; the documents of open keys of over ``limit``, not compared pair by pair."""
-    keys = _rooted(prefixes, _light(components(edges))).select("doc_id", "n", "root", F.posexplode("keys").alias("place", "key"))
+def alike_edges(texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) between doc_ids of (doc_id, text), each alike by ``similarity``: they connect
+    exactly what a chain of alike texts connects."""
+    sc = texts.sparkSession.sparkContext
+    described = texts.mapInArrow(_describe(width, similarity, sc.broadcast(_frequent(texts, width))), "doc_id long, fp long, n int, keys array<long>, sketch binary")
+    known = cut(described)
+    edges = _verified(texts, known, _linked(known, radius), width, similarity)
+    keys = _rooted(known.select("doc_id", "n", "keys"), _light(components(edges))).select("doc_id", "n", "root", F.posexplode("keys").alias("place", "key"))
     members = cut(keys.join(_light(_open(keys).select("key")), "key"))
     # of keys with the same members one will do
     each = [F.count("*").alias("size"), *(F.bit_xor(F.xxhash64("doc_id", F.lit(s))).alias(f"s{s}") for s in (1, 2))]
@@ -267,42 +303,14 @@ def _by_keys(texts: DataFrame, known: DataFrame, prefixes: DataFrame, edges: Dat
     stars = heads.where("root != low").join(heads.where("root = low").select("key", F.col("doc_id").alias("hub")), "key")
     stars = stars.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     edges = cut(edges.union(_verified(texts, known, stars, width, similarity)))
+    # the rest: each two blocks of a key meet in one cell
     left = _rooted(members.where("size > 2").select("key", "doc_id", "n", "place"), _light(components(edges)))
-    kinds = _light(_open(left, F.count("*").alias("size"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    left = cut(left.join(kinds, "key"))
-    small = left if limit is None else left.where(F.col("size") <= limit)
-    x = small.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).alias("x")
-    y = small.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
-    rest = x.join(y, on & _may_be_alike("x", "y", similarity)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    return edges.union(_verified(texts, known, rest, width, similarity)), left.where(F.col("size") > limit if limit else F.lit(False)).select("doc_id").distinct()
-
-
-def alike_edges(texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between doc_ids of (doc_id, text), each alike by ``similarity``: they connect
-    exactly what a chain of alike texts connects.
-
-    Texts that are not alike but share a passage with more than LIMIT others get new keys: the
-    passage's shingles are counted among texts of this kind and put last. Alike texts of
-    which one is not of this kind share a smaller key, so nothing is lost.
-    """
-    sc = texts.sparkSession.sparkContext
-    described = texts.mapInArrow(_describe(width, similarity, sc.broadcast(_frequent(texts, width))), "doc_id long, fp long, n int, keys array<long>, sketch binary")
-    known = cut(described)
-    edges = _verified(texts, known, _linked(known, radius), width, similarity)
-    edges, many = _by_keys(texts, known, known.select("doc_id", "n", "keys"), edges, width, similarity, LIMIT)
-    many = _light(many)
-    if many.isEmpty():
-        return edges
-    sets = cut(texts.join(many, "doc_id", "left_semi").mapInArrow(_whole_sets(width), "doc_id long, shingles array<long>"))
-    each = sets.select("doc_id", F.explode("shingles").alias("h"))
-    # counted in a hashed share of these texts: what is named moves cost only
-    some = each.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0)
-    often = _light(some.groupBy("h").agg(F.count("*").alias("seen")).where(F.col("seen") >= FREQUENT_SEEN))
-    # a list is a part of its document's own set
-    own = each.join(often, "h").groupBy("doc_id").agg(F.collect_list("h").alias("names"), F.collect_list("seen").alias("seen"))
-    prefixes = cut(sets.join(own, "doc_id", "left").mapInArrow(_again(similarity), "doc_id long, n int, keys array<long>"))
-    return _by_keys(texts, known, prefixes, edges, width, similarity, None)[0]
+    kinds = _light(_open(left, F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).drop("low"))
+    left = left.join(kinds, "key").join(known.select("doc_id", "sketch"), "doc_id")
+    left = left.withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = left.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "doc_id", "n", "place", "root", "sketch")
+    rest = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_close(similarity), "a long, b long").distinct()
+    return edges.union(_verified(texts, known, rest, width, similarity))
 
 
 def near_duplicates(df: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
