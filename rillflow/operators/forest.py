@@ -13,20 +13,21 @@ from pyspark.sql import functions as F
 
 from rillflow.checkpoint import cut
 
-#: 2^40 nodes in a row are no river; a pointer that goes on belongs to a cycle.
-MAX_ROUNDS = 40
-
 
 def pointers(edges: DataFrame) -> Iterator[DataFrame]:
-    """(id, anc) at distances 1, 2, 4, ... of (id, down); ends when no ancestor is so far away."""
+    """(id, anc) at distances 1, 2, 4, ... of (id, down); ends when no ancestor is so far away.
+
+    No path is longer than there are links: a pointer that goes further belongs to a cycle.
+    """
     step = cut(edges.where("down is not null").select("id", F.col("down").alias("anc")))
-    for _ in range(MAX_ROUNDS):
-        if step.isEmpty():
-            return
+    links, distance = step.count(), 1
+    while not step.isEmpty():
+        if distance > links:
+            raise ValueError("the downstream links have a cycle")
         yield step
+        distance *= 2
         ahead = step.select(F.col("id").alias("anc"), F.col("anc").alias("next"))
         step = cut(step.join(ahead, "anc").select("id", F.col("next").alias("anc")))
-    raise ValueError("the downstream links have a cycle")
 
 
 def resolve_edges(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,7 +103,8 @@ def first_downstream(nodes: DataFrame) -> DataFrame:
     move = here.where("not stop and `at` is not null").select("id", "at")
     found = here.where("stop").select("id", F.col("at").alias("label"))
     move = cut(move)
-    for _ in range(MAX_ROUNDS):
+    # each round doubles what a pointer passes
+    for _ in range(move.count().bit_length() + 2):
         if move.isEmpty():
             break
         landed = move.join(stops, "at", "left")
@@ -111,6 +113,9 @@ def first_downstream(nodes: DataFrame) -> DataFrame:
         # what points at a node that has its label takes it, else jumps on
         jump = going.join(found.select(F.col("id").alias("at"), F.col("label").alias("got")), "at", "left").join(move.select(F.col("id").alias("at"), F.col("at").alias("next")), "at", "left")
         move = cut(jump.select("id", F.coalesce("got", "next").alias("at")).where("`at` is not null"))
+    else:
+        if not move.isEmpty():
+            raise ValueError("the downstream links have a cycle")
     return nodes.select("id").join(found, "id", "left").select("id", "label")
 
 

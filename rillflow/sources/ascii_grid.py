@@ -44,10 +44,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """
     head = headers(spark, path)
     lines = _lines(spark, path)
-    data = lines.where(F.col("line").rlike(r"^[-+0-9.]") & (F.col("line") != ""))
-    rows = data.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("block", "at")) - 1).withColumn("v", F.split("line", r"\s+"))
+    data = lines.where(F.col("line").rlike(r"(?i)^([-+0-9.]|nan\b)"))
+    rows = data.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("block", "at")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("path"))).withColumn("v", F.split("line", r"\s+"))
     joined = rows.join(head, "path")
-    checked = joined.withColumn("v", F.when((F.size("v") == F.col("ncols")) & (F.col("r") < F.col("nrows")), F.col("v")).otherwise(F.raise_error(F.concat(F.lit("the shape differs from the header in "), F.col("path"))).cast("array<string>")))
+    checked = joined.withColumn("v", F.when((F.size("v") == F.col("ncols")) & (F.col("n") == F.col("nrows")), F.col("v")).otherwise(F.raise_error(F.concat(F.lit("the shape differs from the header in "), F.col("path"))).cast("array<string>")))
     cells = checked.select("path", "r", "ncols", "nrows", "x0", "y0", "cellsize", "nodata", F.posexplode("v").alias("c", "t"))
     z = F.col("t").cast("double")
     return cells.select("path", "r", "c", (F.col("x0") + (F.col("c") + 0.5) * F.col("cellsize")).alias("x"), (F.col("y0") + (F.col("nrows") - F.col("r") - 0.5) * F.col("cellsize")).alias("y"), F.when(z != F.col("nodata"), z).alias("z"))

@@ -49,12 +49,11 @@ def test_strahler(spark):
 
 def test_cycle_is_an_error(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1)], "id long, down long")
-    forest_rounds, forest.MAX_ROUNDS = forest.MAX_ROUNDS, 3
-    try:
-        with pytest.raises(ValueError):
-            forest.closure(edges, spark.createDataFrame([(1,)], "id long"))
-    finally:
-        forest.MAX_ROUNDS = forest_rounds
+    with pytest.raises(ValueError):
+        forest.closure(edges, spark.createDataFrame([(1,)], "id long"))
+    nodes = spark.createDataFrame([(1, 2, False), (2, 1, False), (3, None, True)], "id long, down long, stop boolean")
+    with pytest.raises(ValueError):
+        forest.first_downstream(nodes)
 
 
 def test_first_downstream(spark):

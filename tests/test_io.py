@@ -22,6 +22,16 @@ def test_ascii_grid(spark, tmp_path):
         ascii_grid.read(spark, str(tmp_path)).collect()
 
 
+def test_short_grid_and_nan_rows(spark, tmp_path):
+    head = "ncols 2\nnrows {}\nxllcorner 0\nyllcorner 0\ncellsize 1\n"
+    (tmp_path / "whole.asc").write_text(head.format(2) + "nan 1\n2 3\n")
+    got = {(r.r, r.c): r.z for r in ascii_grid.read(spark, str(tmp_path)).collect()}
+    assert got[(0, 1)] == 1 and got[(1, 0)] == 2 and len(got) == 4
+    (tmp_path / "whole.asc").write_text(head.format(4) + "0 1\n2 3\n")
+    with pytest.raises(Exception, match="shape differs"):
+        ascii_grid.read(spark, str(tmp_path)).collect()
+
+
 def test_projection_round_trip(spark):
     rows = spark.createDataFrame([(19.0, 52.0), (14.2, 49.1), (24.1, 54.9)], "lon double, lat double")
     x, y = crs.to_grid(F.col("lon"), F.col("lat"))
