@@ -82,7 +82,7 @@ _FLOWQ = f"{_EXCESS}, {_UNIT}, flow AS (SELECT e.qid, e.step + u.step - 1 AS ste
 
 def concentration_times(spark, sf_dir):
     c = F.col
-    rows = view(spark, sf_dir, "a_catch").where("len_m is not null and slope_bp > 0 and elev_mean_cm is not null")
+    rows = view(spark, sf_dir, "a_catch").withColumn("slope_bp", F.expr("nullif(slope_bp, 0)"))
     args = (c("len_m").cast("double"), c("slope_bp") / 10000, (40 + c("id") % 50).cast("double"), c("area_milli") / 1000, c("elev_mean_cm") / 100, c("elev_min_cm") / 100)
     return rows.select("id", *(half_even(hydrograph.concentration(m, *args), 4).alias(m) for m in ("kirpich", "scs_lag", "giandotti")))
 
@@ -90,7 +90,7 @@ def concentration_times(spark, sf_dir):
 _TC = f"""{sql("a_catch")} SELECT id, round_even(0.0195::DOUBLE * pow(len_m, 0.77) * pow(slope_bp / 10000, -0.385) * 10000, 0) / 10000 AS kirpich,
   round_even(0.057::DOUBLE * pow(len_m, 0.8) * pow(1000 / (40 + id % 50) - 9, 0.7) / sqrt(slope_bp / 10000) / 0.6::DOUBLE * 10000, 0) / 10000 AS scs_lag,
   round_even(60 * (4 * sqrt(area_milli / 1000) + 1.5::DOUBLE * len_m / 1000) / (0.8::DOUBLE * sqrt(elev_mean_cm / 100 - elev_min_cm / 100)) * 10000, 0) / 10000 AS giandotti
-FROM a_catch WHERE len_m IS NOT NULL AND slope_bp > 0 AND elev_mean_cm IS NOT NULL"""
+FROM (SELECT * REPLACE (nullif(slope_bp, 0) AS slope_bp) FROM a_catch)"""
 
 
 def sheet_code(spark, sf_dir):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +10,14 @@ from rillflow.functions.num import half_even
 from rillflow.operators import forest, stats
 from rillflow.plans.adapters import levels, sql, view
 
-#: Starts of the point queries: every node of a list, at every size of the tables. The same
-#: queries from all nodes end in ``_all``.
-EVERY = 97
-
 
 def _catch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes = view(spark, sf_dir, "a_catch")
     return nodes, forest.resolve_edges(nodes, [])
 
 
-def _starts(nodes: DataFrame, every: bool = False) -> DataFrame:
-    return (nodes if every else nodes.where(f"id % {EVERY} = 5")).select("id")
+def _starts(nodes: DataFrame) -> DataFrame:
+    return nodes.select("id")
 
 
 def _parts(nodes: DataFrame) -> DataFrame:
@@ -49,13 +43,10 @@ def _figures() -> dict:
 
 _CLOSURE = f"""{sql("a_catch", recursive=True)},
 up(start, id, steps) AS (
-  SELECT id, id, 0::BIGINT FROM a_catch WHERE id % {EVERY} = 5
+  SELECT id, id, 0::BIGINT FROM a_catch
   UNION ALL SELECT up.start, c.id, steps + 1 FROM up JOIN a_catch c ON c.down = up.id
 )
 """
-_ALL = f"""{sql("a_catch", recursive=True)},
-up(start, id) AS (SELECT id, id FROM a_catch UNION ALL SELECT up.start, c.id FROM up JOIN a_catch c ON c.down = up.id)
-"""
 _ROLL = """count(*) AS n_segments, round_even(sum(area_milli)::BIGINT / 1000, 6) AS area_km2,
   round_even(min(elev_min_cm) / 100, 2) AS elev_min_m, round_even(max(elev_max_cm) / 100, 2) AS elev_max_m,
   round_even(sum(elev_mean_cm * area_milli)::BIGINT / nullif(sum(area_milli) FILTER (elev_mean_cm IS NOT NULL), 0)::BIGINT / 100, 2) AS elev_mean_m,
@@ -65,28 +56,26 @@ _ROLL = """count(*) AS n_segments, round_even(sum(area_milli)::BIGINT / 1000, 6)
   round_even(count(*) * 1000 / sum(area_milli)::BIGINT, 4) AS frequency, max(strahler) AS max_order"""
 
 
-def upstream_closure(spark, sf_dir, every=False):
+def upstream_closure(spark, sf_dir):
     nodes, edges = _catch(spark, sf_dir)
-    return forest.closure(edges, _starts(nodes, every)).select("start", "id")
+    return forest.closure(edges, _starts(nodes)).select("start", "id")
 
 
-def upstream_to_confluence(spark, sf_dir, every=False):
+def upstream_to_confluence(spark, sf_dir):
     nodes, edges = _catch(spark, sf_dir)
-    return forest.to_confluence(edges, _starts(nodes, every))
+    return forest.to_confluence(edges, _starts(nodes))
 
 
 _CONFLUENCE = f"""{sql("a_catch", recursive=True)},
 n_up AS MATERIALIZED (SELECT down AS id, count(*) AS n FROM a_catch WHERE down IS NOT NULL GROUP BY down),
 up(start, id, grows) AS (
-  SELECT id, id, true FROM a_catch WHERE id % {EVERY} = 5
+  SELECT id, id, true FROM a_catch
   UNION ALL SELECT up.start, c.id, coalesce(n, 0) <= 1 FROM up JOIN a_catch c ON c.down = up.id LEFT JOIN n_up ON n_up.id = c.id WHERE grows
 ) SELECT start, id FROM up"""
 
 
 def watershed_rollup(spark, sf_dir):
-    nodes, edges = _catch(spark, sf_dir)
-    members = forest.closure(edges, _starts(nodes)).select("start", "id").join(_parts(nodes), "id")
-    return stats.roll_up(members, ["start"]).select("start", *(v.alias(k) for k, v in _figures().items()))
+    return rollup_all_nodes(spark, sf_dir).withColumnRenamed("id", "start")
 
 
 def rollup_all_nodes(spark, sf_dir):
@@ -95,11 +84,11 @@ def rollup_all_nodes(spark, sf_dir):
     return sums.select("id", *(v.alias(k) for k, v in _figures().items()))
 
 
-def main_channel(spark, sf_dir, every=False):
+def main_channel(spark, sf_dir):
     nodes, edges = _catch(spark, sf_dir)
     order = [F.col("strahler"), F.coalesce("len_m", F.lit(0)), F.col("area_milli")]
     best = forest.best_children(nodes.drop("down"), edges, order)
-    path = forest.closure(best, _starts(nodes, every)).join(nodes, "id")
+    path = forest.closure(best, _starts(nodes)).join(nodes, "id")
     ends = path.groupBy("start").agg(F.sum(F.coalesce("len_m", F.lit(0))).alias("m"), F.max_by("elev_max_cm", "steps").alias("top"), F.min_by("elev_min_cm", "steps").alias("bottom"), F.count("*").alias("n_segments"))
     slope = F.when(F.col("m") > 0, half_even((F.col("top") - F.col("bottom")) / 100 / F.col("m"), 6))
     return ends.select("start", "n_segments", half_even(F.col("m") / 1000, 4).alias("length_km"), slope.alias("slope"))
@@ -108,7 +97,7 @@ def main_channel(spark, sf_dir, every=False):
 _CHANNEL = f"""{sql("a_catch", recursive=True)},
 best AS MATERIALIZED (SELECT id, down FROM (SELECT *, row_number() OVER (PARTITION BY down ORDER BY strahler DESC, coalesce(len_m, 0) DESC, area_milli DESC, id) AS k FROM a_catch WHERE down IS NOT NULL) WHERE k = 1),
 up(start, id, steps) AS (
-  SELECT id, id, 0 FROM a_catch WHERE id % {EVERY} = 5
+  SELECT id, id, 0 FROM a_catch
   UNION ALL SELECT up.start, b.id, steps + 1 FROM up JOIN best b ON b.down = up.id
 ), p AS (SELECT up.start, up.steps, c.* FROM up JOIN a_catch c USING (id))
 SELECT start, count(*) AS n_segments, round_even(sum(coalesce(len_m, 0))::BIGINT / 1000, 4) AS length_km,
@@ -116,18 +105,16 @@ SELECT start, count(*) AS n_segments, round_even(sum(coalesce(len_m, 0))::BIGINT
 FROM p GROUP BY start"""
 
 
-def threshold_cascade(spark, sf_dir, every=False):
+def threshold_cascade(spark, sf_dir):
     nodes = levels(spark, sf_dir).withColumn("node", F.struct("threshold", "id"))
     edges = forest.resolve_edges(nodes, ["threshold"]).select(F.struct("threshold", "id").alias("id"), F.struct("threshold", F.col("down").alias("id")).alias("down"))
     counts = forest.subtree(nodes.select(F.col("node").alias("id"), F.lit(1).cast("long").alias("n")), edges, {"n": "sum"}).select("id.threshold", "id.id", "n")
-    if not every:
-        counts = counts.join(counts.where("threshold = 100000").select("id"), "id")
     return forest.choose_threshold(counts)
 
 
 _CASCADE = f"""{sql("a_catch", "a_levels", recursive=True)},
 up(threshold, start, id) AS (
-  SELECT threshold, id, id FROM a_levels WHERE id IN (SELECT id FROM a_levels WHERE threshold = 100000)
+  SELECT threshold, id, id FROM a_levels
   UNION ALL SELECT up.threshold, up.start, c.id FROM up JOIN a_levels c ON c.down = up.id AND c.threshold = up.threshold
 ), n AS (SELECT start AS id, threshold, count(*) AS n FROM up GROUP BY ALL)
 SELECT id, threshold, n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (n > 500)::INT, CASE WHEN n > 500 THEN -threshold ELSE threshold END) AS k FROM n) WHERE k = 1"""
@@ -149,9 +136,8 @@ def missing_catchments_anti(spark, sf_dir):
     return forest.without_catchment(nodes, nodes.where("id % 89 <> 0").select("threshold", "id"))
 
 
-def edge_resolve(spark, sf_dir, every=False):
-    nodes = levels(spark, sf_dir) if every else levels(spark, sf_dir).where("id % 10 <> 4")
-    return forest.resolve_edges(nodes, ["threshold"])
+def edge_resolve(spark, sf_dir):
+    return forest.resolve_edges(levels(spark, sf_dir), ["threshold"])
 
 
 def _indices(spark, sf_dir):
@@ -179,13 +165,13 @@ _MEASURES = f"""{sql("a_catch")}, m AS (SELECT id, area_milli / 1000 AS a, (20 +
 
 
 def stream_info(spark, sf_dir):
-    return levels(spark, sf_dir).where("threshold = 10000 and id = 42").select("threshold", "id", "down", "strahler", "len_m").limit(1)
+    return levels(spark, sf_dir).where("threshold = 10000").select("threshold", "id", "down", "strahler", "len_m")
 
 
-def hypsometric_merge(spark, sf_dir, every=False):
+def hypsometric_merge(spark, sf_dir):
     nodes, edges = _catch(spark, sf_dir)
     bins = nodes.select("id", F.expr("explode(array(named_struct('bin', elev_min_cm div 100, 'count', 1 + id % 7), named_struct('bin', elev_min_cm div 100 + 1, 'count', 2 + id % 5), named_struct('bin', elev_max_cm div 100, 'count', 1 + id % 3)))").alias("b")).select("id", "b.*")
-    members = forest.closure(edges, _starts(nodes, every)).select("start", "id").join(bins, "id")
+    members = forest.closure(edges, _starts(nodes)).select("start", "id").join(bins, "id")
     return stats.hypsometric_merge(members, ["start"]).select("start", "step", half_even(F.col("height"), 4).alias("height"), half_even(F.col("fraction"), 6).alias("fraction"))
 
 
@@ -196,26 +182,16 @@ s AS (SELECT *, CASE WHEN low = high AND step > 0 THEN high + 1 ELSE low + ceil(
 SELECT start, step::INT AS step, round_even(step / 20, 4) AS height, round_even(coalesce((SELECT sum(n) FROM h WHERE h.start = s.start AND bin >= edge), 0)::BIGINT / total, 6) AS fraction FROM s"""
 
 
-
-def _whole(text: str) -> str:
-    """The SQL of a query without the filter of its starts."""
-    found = text
-    for part in (f" WHERE id % {EVERY} = 5", " WHERE id IN (SELECT id FROM a_levels WHERE threshold = 100000)", " WHERE a.id % 10 <> 4 AND b.id % 10 <> 4"):
-        found = found.replace(part, "")
-    assert found != text
-    return found
-
-
 QUERIES = {
     "upstream_closure": (upstream_closure, f"{_CLOSURE} SELECT start, id FROM up"),
     "upstream_to_confluence": (upstream_to_confluence, _CONFLUENCE),
     "watershed_rollup": (watershed_rollup, f"{_CLOSURE} SELECT start, {_ROLL} FROM up JOIN a_catch USING (id) GROUP BY start"),
-    "rollup_all_nodes": (rollup_all_nodes, f"{_ALL} SELECT start AS id, {_ROLL} FROM up JOIN a_catch USING (id) GROUP BY start"),
+    "rollup_all_nodes": (rollup_all_nodes, f"{_CLOSURE} SELECT start AS id, {_ROLL} FROM up JOIN a_catch USING (id) GROUP BY start"),
     "main_channel": (main_channel, _CHANNEL),
     "threshold_cascade": (threshold_cascade, _CASCADE),
     "graph_integrity": (graph_integrity, _INTEGRITY),
     "missing_catchments_anti": (missing_catchments_anti, f"{sql('a_catch', 'a_levels')} SELECT threshold, count(*) AS missing FROM a_levels WHERE id % 89 = 0 GROUP BY threshold"),
-    "edge_resolve": (edge_resolve, f"{sql('a_catch', 'a_levels')} SELECT a.threshold, a.id, a.down FROM a_levels a JOIN a_levels b ON a.threshold = b.threshold AND a.down = b.id WHERE a.id % 10 <> 4 AND b.id % 10 <> 4"),
+    "edge_resolve": (edge_resolve, f"{sql('a_catch', 'a_levels')} SELECT a.threshold, a.id, a.down FROM a_levels a JOIN a_levels b ON a.threshold = b.threshold AND a.down = b.id"),
     "shape_indices": (
         shape_indices,
         f"{_MEASURES} SELECT id, CASE WHEN l > 0 THEN round_even(p / (2 * sqrt(pi() * a)), 4) END AS compactness, CASE WHEN l > 0 THEN round_even(4 * pi() * a / (p * p), 4) END AS circularity, CASE WHEN l > 0 THEN round_even(2 / l * sqrt(a / pi()), 4) END AS elongation, CASE WHEN l > 0 THEN round_even(a / (l * l), 4) END AS form_factor, CASE WHEN l > 0 THEN round_even(a / l, 4) END AS mean_width_km FROM m",
@@ -225,9 +201,6 @@ QUERIES = {
         drainage_indices,
         f"{_MEASURES} SELECT id, round_even(l / a, 4) AS drainage_density, round_even(1 / a, 4) AS stream_frequency, CASE WHEN high > low THEN round_even((high - low) / 1000 * (l / a), 4) END AS ruggedness FROM m",
     ),
-    "stream_info": (stream_info, f"{sql('a_catch', 'a_levels')} SELECT threshold, id, down, strahler, len_m FROM a_levels WHERE threshold = 10000 AND id = 42 LIMIT 1"),
+    "stream_info": (stream_info, f"{sql('a_catch', 'a_levels')} SELECT threshold, id, down, strahler, len_m FROM a_levels WHERE threshold = 10000"),
     "hypsometric_merge": (hypsometric_merge, _HYPSO),
 }
-
-for _run in (upstream_closure, upstream_to_confluence, main_channel, threshold_cascade, edge_resolve, hypsometric_merge):
-    QUERIES[f"{_run.__name__}_all"] = (functools.partial(_run, every=True), _whole(QUERIES[_run.__name__][1]))

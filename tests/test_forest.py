@@ -71,8 +71,8 @@ def test_whole_queries_start_from_every_node(spark, sf_dir):
     from rillflow.plans import watersheds
     from rillflow.plans.adapters import levels, view
 
-    run = {name: q(spark, sf_dir) for name, (q, _) in watersheds.QUERIES.items() if name.endswith("_all")}
+    run = {name: q(spark, sf_dir) for name, (q, _) in watersheds.QUERIES.items() if name in ("upstream_closure", "main_channel", "threshold_cascade")}
     ids = {r.id for r in view(spark, sf_dir, "a_catch").select("id").collect()}
-    assert {r.start for r in run["upstream_closure_all"].collect()} == ids
-    assert {r.start for r in run["main_channel_all"].collect()} == ids
-    assert {r.id for r in run["threshold_cascade_all"].collect()} == {r.id for r in levels(spark, sf_dir).select("id").collect()}
+    assert {r.start for r in run["upstream_closure"].collect()} == ids
+    assert {r.start for r in run["main_channel"].collect()} == ids
+    assert {r.id for r in run["threshold_cascade"].collect()} == {r.id for r in levels(spark, sf_dir).select("id").collect()}
