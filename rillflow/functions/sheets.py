@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Letters of latitude zones of 4 degrees, without I and O.
@@ -10,6 +10,11 @@ ZONES = "ABCDEFGHJKLMNPQRSTUV"
 #: Scale -> rows and columns of a sheet's division into the next scale.
 DIVISIONS = (("1:100000", 12, 12), ("1:50000", 2, 2), ("1:25000", 2, 2), ("1:10000", 2, 4))
 
+#: Scale -> steps in degrees of latitude and longitude at which a box is sampled.
+STEPS = {"1:10000": (0.02, 0.04), "1:25000": (0.05, 0.08), "1:50000": (0.1, 0.16), "1:100000": (0.33, 0.5)}
+#: Fixed value: kilometres of a degree of latitude.
+DEGREE_KM = 111.0
+
 
 def _zone_letter(lat: Column) -> Column:
     band = F.floor(lat / 4)
@@ -58,3 +63,39 @@ def sheet_bounds(code: Column) -> Column:
         west = F.when(there, west + (place % cols) * (width / cols)).otherwise(west)
         height, width = F.when(there, height / rows).otherwise(height), F.when(there, width / cols).otherwise(width)
     return F.struct((north - height).alias("south"), north.alias("north"), west.alias("west"), (west + width).alias("east"))
+
+
+def sheets_in_box(boxes: DataFrame, keys: list[str], scale: str = "1:10000") -> DataFrame:
+    """Distinct (keys, code) of the sheets that hold a sample point of boxes (south, west, north, east)."""
+    step_y, step_x = STEPS.get(scale, (0.1, 0.1))
+
+    def marks(low: str, high: str, step: float) -> Column:
+        n = F.floor((F.col(high) - F.col(low)) / step).cast("int") + 1
+        return F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: F.least(F.col(low) + i * step, F.col(high))))
+
+    points = boxes.withColumn("lat", marks("south", "north", step_y)).withColumn("lon", marks("west", "east", step_x))
+    return points.select(*keys, sheet_code(F.col("lat"), F.col("lon"), scale).alias("code")).where("code is not null").distinct()
+
+
+def box_around(lat: Column, lon: Column, km: float = 5.0) -> dict[str, Column]:
+    """A box that reaches ``km`` from a point."""
+    dy, dx = km / DEGREE_KM, km / (DEGREE_KM * F.cos(F.radians(lat)))
+    return {"south": lat - dy, "west": lon - dx, "north": lat + dy, "east": lon + dx}
+
+
+def neighbour_sheets(sheets: DataFrame, scale: str, code: str = "code", corners: bool = True) -> DataFrame:
+    """``sheets`` of ``scale`` with one row per neighbour of the same scale in column ``neighbour``; those outside the grid are left out."""
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (corners or not (a and b))]
+    around = F.explode(F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in steps)))
+    b = F.col("box")
+    lat = (b["south"] + b["north"]) / 2 + F.col("step.dy") * (b["north"] - b["south"])
+    lon = (b["west"] + b["east"]) / 2 + F.col("step.dx") * (b["east"] - b["west"])
+    at = sheets.withColumn("box", sheet_bounds(F.col(code))).withColumn("step", around).withColumns({"lat": lat, "lon": lon})
+    found = at.withColumn("neighbour", sheet_code(F.col("lat"), F.col("lon"), scale)).where(F.col("neighbour") != F.col(code))
+    return found.select(*(F.col(f"`{c}`") for c in sheets.columns), "neighbour").distinct()
+
+
+def extent(sheets: DataFrame, keys: list[str], code: str = "code") -> DataFrame:
+    """(keys, south, west, north, east): the box around all sheets of a key."""
+    b = sheets.withColumn("box", sheet_bounds(F.col(code)))
+    return b.groupBy(*keys).agg(F.min("box.south").alias("south"), F.min("box.west").alias("west"), F.max("box.north").alias("north"), F.max("box.east").alias("east"))

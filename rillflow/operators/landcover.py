@@ -122,3 +122,17 @@ def shares(df: DataFrame, keys: list[str], group: str, area: str = "area") -> Da
     total = F.sum("area").over(Window.partitionBy(*keys))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("area"), group))
     return sums.select(*keys, group, "area", half_even(F.when(total != 0, F.col("area") * 100 / total), 1).alias("pct"), rank.alias("rank"))
+
+
+def breakdown(df: DataFrame, keys: list[str], area: str = "area") -> DataFrame:
+    """Area and share of each (category, cn, imperviousness) in ``keys``, with the totals of the key.
+
+    The mean curve number is not clamped; a null imperviousness is a class of its own and counts as 0 in the mean.
+    """
+    kinds = df.groupBy(*keys, "category", "cn", "imperviousness").agg(F.sum(area).alias("a"))
+    over = Window.partitionBy(*keys)
+    total, a = F.sum("a").over(over), F.col("a")
+    rank = F.row_number().over(over.orderBy(F.desc("a"), "category", "cn", "imperviousness"))
+    rows = kinds.withColumns({"total": total, "s": F.sum(F.col("cn") * a).over(over), "i": F.sum(F.coalesce("imperviousness", F.lit(0.0)) * a).over(over), "rank": rank}).where("total > 0")
+    t = F.col("total")
+    return rows.select(*keys, "rank", "category", "cn", "imperviousness", half_even(a, 1).alias("area_m2"), half_even(a / t * 100, 1).alias("pct"), half_even(t, 1).alias("total_m2"), F.rint(F.col("s") / t).cast("int").alias("weighted_cn"), half_even(F.col("i") / t, 3).alias("weighted_imperviousness"))

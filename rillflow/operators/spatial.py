@@ -38,6 +38,30 @@ def rect_overlay(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
     return pairs.withColumn("shared", (hx - lx) * (hy - ly)).drop("gx", "gy")
 
 
+def segments_in_rects(segments: DataFrame, rects: DataFrame, size: int) -> DataFrame:
+    """Pairs of segments (x1, y1, x2, y2) and rectangles (bx0, by0, bw, bh) that meet along a length, with column ``inside``.
+
+    A pair is kept only in the cell of the lower-left corner of what the two boxes share.
+    """
+    c = F.col
+    low_x, low_y, high_x, high_y = F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2")
+    left = with_cells(segments, low_x, high_x, low_y, high_y, size)
+    right = with_cells(rects, c("bx0"), c("bx0") + c("bw"), c("by0"), c("by0") + c("bh"), size)
+    first = (c("gx") == F.floor(F.greatest(low_x, c("bx0")) / size)) & (c("gy") == F.floor(F.greatest(low_y, c("by0")) / size))
+
+    def span(a: Column, d: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        """Shares of the segment where it enters and leaves a strip."""
+        p, q = (low - a) / F.nullif(d, F.lit(0)), (high - a) / F.nullif(d, F.lit(0))
+        held = (a >= low) & (a <= high)
+        return F.when(d == 0, F.when(held, 0.0).otherwise(2.0)).otherwise(F.least(p, q)), F.when(d == 0, 1.0).otherwise(F.greatest(p, q))
+
+    dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
+    (in_x, out_x), (in_y, out_y) = span(c("x1"), dx, c("bx0"), c("bx0") + c("bw")), span(c("y1"), dy, c("by0"), c("by0") + c("bh"))
+    share = F.least(out_x, out_y, F.lit(1.0)) - F.greatest(in_x, in_y, F.lit(0.0))
+    pairs = left.join(right, ["gx", "gy"]).where(first).drop("gx", "gy").withColumn("share", share).where("share > 0")
+    return pairs.withColumn("inside", c("share") * F.sqrt((dx * dx + dy * dy).cast("double"))).drop("share")
+
+
 def points_in_rects(points: DataFrame, rects: DataFrame, size: int) -> DataFrame:
     """Pairs of points (x, y) and rectangles that hold them; the boundary is outside."""
     c = F.col

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillflow.plans import places, storms, terrain, watersheds
+from rillflow.plans import conditioned, places, storms, terrain, watersheds
 
-MODULES = [watersheds, places, terrain, storms]
+MODULES = [watersheds, places, terrain, storms, conditioned]
 
 
 def queries() -> dict:

@@ -93,9 +93,12 @@ _TC = f"""{sql("a_catch")} SELECT id, round_even(0.0195::DOUBLE * pow(len_m, 0.7
 FROM (SELECT * REPLACE (nullif(slope_bp, 0) AS slope_bp) FROM a_catch)"""
 
 
+def places(spark, sf_dir):
+    return view(spark, sf_dir, "a_stations").selectExpr("id", "49 + (id * 7919 % 6000) / 1000 AS lat", "14 + (id * 104729 % 10500) / 1000 AS lon")
+
+
 def sheet_code(spark, sf_dir):
-    places = view(spark, sf_dir, "a_stations").selectExpr("id", "49 + (id * 7919 % 6000) / 1000 AS lat", "14 + (id * 104729 % 10500) / 1000 AS lon")
-    return places.select("id", code_of(F.col("lat"), F.col("lon")).alias("code"), code_of(F.col("lat"), F.col("lon"), "1:100000").alias("code_100k"))
+    return places(spark, sf_dir).select("id", code_of(F.col("lat"), F.col("lon")).alias("code"), code_of(F.col("lat"), F.col("lon"), "1:100000").alias("code_100k"))
 
 
 def _division(n: int, rows: int, cols: int) -> str:
@@ -104,10 +107,16 @@ def _division(n: int, rows: int, cols: int) -> str:
 d{n} AS (SELECT * REPLACE (top - row{n} * (hh / {rows}) AS top, west + col{n} * (ww / {cols}) AS west, hh / {rows} AS hh, ww / {cols} AS ww) FROM p{n})"""
 
 
-_SHEET = f"""{sql("a_stations")}, d0 AS (SELECT id, 49 + (id * 7919 % 6000) / 1000 AS lat, 14 + (id * 104729 % 10500) / 1000 AS lon, (floor(lat / 4) + 1) * 4.0::DOUBLE AS top, floor(lon / 6) * 6.0::DOUBLE AS west, 4.0::DOUBLE AS hh, 6.0::DOUBLE AS ww FROM a_stations),
+def sheets_sql(points: str) -> str:
+    """WITH list that ends in t (id, code, code_100k, top, west, hh, ww) of the rows (id, lat, lon) of ``points`` inside the grid."""
+    return f"""d0 AS (SELECT id, lat, lon, (floor(lat / 4) + 1) * 4.0::DOUBLE AS top, floor(lon / 6) * 6.0::DOUBLE AS west, 4.0::DOUBLE AS hh, 6.0::DOUBLE AS ww FROM ({points}) WHERE lat BETWEEN 49 AND 55 AND lon BETWEEN 14 AND 24.5),
 {_division(1, 12, 12)}, {_division(2, 2, 2)}, {_division(3, 2, 2)}, {_division(4, 2, 4)},
-t AS (SELECT id, substr('ABCDEFGHJKLMNPQRSTUV', (floor(lat / 4) - 1)::INT + 1, 1) || '-' || (floor((lon + 180) / 6) + 1)::INT || '-' || lpad((row1 * 12 + col1 + 1)::VARCHAR, 3, '0') AS a, substr('ABCD', (row2 * 2 + col2)::INT + 1, 1) AS b, substr('abcd', (row3 * 2 + col3)::INT + 1, 1) AS c, row4 + 1 AS e, col4 + 1 AS f FROM d4)
-SELECT id, a || '-' || b || '-' || c || '-' || e || '-' || f AS code, a AS code_100k FROM t"""
+n AS (SELECT *, substr('ABCDEFGHJKLMNPQRSTUV', (floor(lat / 4) - 1)::INT + 1, 1) || '-' || (floor((lon + 180) / 6) + 1)::INT || '-' || lpad((row1 * 12 + col1 + 1)::VARCHAR, 3, '0') AS code_100k, substr('ABCD', (row2 * 2 + col2)::INT + 1, 1) AS b, substr('abcd', (row3 * 2 + col3)::INT + 1, 1) AS c FROM d4),
+t AS (SELECT id, code_100k || '-' || b || '-' || c || '-' || (row4 + 1) || '-' || (col4 + 1) AS code, code_100k, top, west, hh, ww FROM n)"""
+
+
+PLACES = "SELECT id, 49 + (id * 7919 % 6000) / 1000 AS lat, 14 + (id * 104729 % 10500) / 1000 AS lon FROM a_stations"
+_SHEET = f"{sql('a_stations')}, {sheets_sql(PLACES)} SELECT id, code, code_100k FROM t"
 
 QUERIES = {
     "hyetograph": (hyetograph, _HYETO),
