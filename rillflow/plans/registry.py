@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillflow.plans import conditioned, places, storms, terrain, watersheds
+from rillflow.plans import conditioned, places, requests, storms, terrain, watersheds
 
-MODULES = [watersheds, places, terrain, storms, conditioned]
+MODULES = [watersheds, places, terrain, storms, conditioned, requests]
 
 
 def queries() -> dict:

@@ -20,12 +20,12 @@ def _starts(nodes: DataFrame) -> DataFrame:
     return nodes.select("id")
 
 
-def _parts(nodes: DataFrame) -> DataFrame:
+def parts(nodes: DataFrame) -> DataFrame:
     c = F.col
     return stats.roll_up_parts(nodes, c("area_milli"), c("elev_min_cm"), c("elev_max_cm"), c("elev_mean_cm"), c("slope_bp"), c("len_m"), c("strahler"))
 
 
-def _figures() -> dict:
+def figures() -> dict:
     c, r = F.col, stats.ratio
     return {
         "n_segments": c("n"),
@@ -47,7 +47,7 @@ up(start, id, steps) AS (
   UNION ALL SELECT up.start, c.id, steps + 1 FROM up JOIN a_catch c ON c.down = up.id
 )
 """
-_ROLL = """count(*) AS n_segments, round_even(sum(area_milli)::BIGINT / 1000, 6) AS area_km2,
+ROLL = """count(*) AS n_segments, round_even(sum(area_milli)::BIGINT / 1000, 6) AS area_km2,
   round_even(min(elev_min_cm) / 100, 2) AS elev_min_m, round_even(max(elev_max_cm) / 100, 2) AS elev_max_m,
   round_even(sum(elev_mean_cm * area_milli)::BIGINT / nullif(sum(area_milli) FILTER (elev_mean_cm IS NOT NULL), 0)::BIGINT / 100, 2) AS elev_mean_m,
   round_even(sum(slope_bp * area_milli)::BIGINT / nullif(sum(area_milli) FILTER (slope_bp IS NOT NULL), 0)::BIGINT / 10000, 6) AS mean_slope,
@@ -80,15 +80,20 @@ def watershed_rollup(spark, sf_dir):
 
 def rollup_all_nodes(spark, sf_dir):
     nodes, edges = _catch(spark, sf_dir)
-    sums = forest.subtree(_parts(nodes), edges, stats.PARTS)
-    return sums.select("id", *(v.alias(k) for k, v in _figures().items()))
+    sums = forest.subtree(parts(nodes), edges, stats.PARTS)
+    return sums.select("id", *(v.alias(k) for k, v in figures().items()))
 
 
 def main_channel(spark, sf_dir):
+    return main_channels(spark, sf_dir, view(spark, sf_dir, "a_catch").select("id"))
+
+
+def main_channels(spark, sf_dir, starts):
+    """Length and slope of the channel that follows the main tributary up from each of ``starts`` (id)."""
     nodes, edges = _catch(spark, sf_dir)
     order = [F.col("strahler"), F.coalesce("len_m", F.lit(0)), F.col("area_milli")]
     best = forest.best_children(nodes.drop("down"), edges, order)
-    path = forest.closure(best, _starts(nodes)).join(nodes, "id")
+    path = forest.closure(best, starts).join(nodes, "id")
     ends = path.groupBy("start").agg(F.sum(F.coalesce("len_m", F.lit(0))).alias("m"), F.max_by("elev_max_cm", "steps").alias("top"), F.min_by("elev_min_cm", "steps").alias("bottom"), F.count("*").alias("n_segments"))
     slope = F.when(F.col("m") > 0, half_even((F.col("top") - F.col("bottom")) / 100 / F.col("m"), 6))
     return ends.select("start", "n_segments", half_even(F.col("m") / 1000, 4).alias("length_km"), slope.alias("slope"))
@@ -182,11 +187,13 @@ s AS (SELECT *, CASE WHEN low = high AND step > 0 THEN high + 1 ELSE low + ceil(
 SELECT start, step::INT AS step, round_even(step / 20, 4) AS height, round_even(coalesce((SELECT sum(n) FROM h WHERE h.start = s.start AND bin >= edge), 0)::BIGINT / total, 6) AS fraction FROM s"""
 
 
+NODES = f"{sql('a_catch')} SELECT * FROM a_catch"
+
 QUERIES = {
     "upstream_closure": (upstream_closure, f"{_CLOSURE} SELECT start, id FROM up"),
     "upstream_to_confluence": (upstream_to_confluence, _CONFLUENCE),
-    "watershed_rollup": (watershed_rollup, f"{_CLOSURE} SELECT start, {_ROLL} FROM up JOIN a_catch USING (id) GROUP BY start"),
-    "rollup_all_nodes": (rollup_all_nodes, f"{_CLOSURE} SELECT start AS id, {_ROLL} FROM up JOIN a_catch USING (id) GROUP BY start"),
+    "watershed_rollup": (watershed_rollup, f"{_CLOSURE} SELECT start, {ROLL} FROM up JOIN a_catch USING (id) GROUP BY start"),
+    "rollup_all_nodes": (rollup_all_nodes, f"{_CLOSURE} SELECT start AS id, {ROLL} FROM up JOIN a_catch USING (id) GROUP BY start"),
     "main_channel": (main_channel, _CHANNEL),
     "threshold_cascade": (threshold_cascade, _CASCADE),
     "graph_integrity": (graph_integrity, _INTEGRITY),
