@@ -3,23 +3,40 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def folder(df: DataFrame) -> str:
+    """The session's checkpoint folder, set from ``spark.checkpoint.dir`` if it isn't yet.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local master may go
-    without that setting (tests): it then gets a temporary folder. A cluster without it
-    is an error, because executors don't see each other's local folders.
+    Only a local master may go without that setting (tests): it then gets a temporary folder.
+    A cluster without it is an error, because executors don't see each other's local folders.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="rillflow-checkpoint-")
-        sc.setCheckpointDir(folder)
+            named = tempfile.mkdtemp(prefix="rillflow-checkpoint-")
+        sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back."""
+    folder(df)
     return df.checkpoint(eager=True)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """As ``cut``, by a Parquet table in that folder: for loops of joins.
+
+    A checkpoint keeps the planner's guess of its size, and each join of two of them multiplies
+    the guesses, so after some tens of joins planning alone takes seconds; a table has the size of its files.
+    """
+    path = f"{folder(df)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,0 +1,116 @@
+"""Filling of depressions and drainage through them, by spill levels between basins.
+
+A cell's water level is the least height that water must climb on some way to an open cell: one on
+the grid's edge or beside a cell without a value. Cells are first gathered into basins by steepest
+descent, so that only the lowest pass between each two basins is left of the grid; then basins join
+over their lowest pass, as many at once as there are, until all of them spill outside. The number of
+basins at least halves each round.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rillflow.checkpoint import saved as cut
+from rillflow.operators import forest
+from rillflow.operators.raster import DIRECTIONS, ROW, neighbours, steepest
+
+#: The outside as a basin and as a cell.
+OUTSIDE = -1
+
+
+def open_cells(cells: DataFrame) -> DataFrame:
+    """(id, z) of valid cells with fewer than eight valid neighbours."""
+    counts = neighbours(cells).groupBy("r", "c").agg(F.count("*").alias("n"))
+    edge = cells.where("z is not null").join(counts, ["r", "c"], "left").where("coalesce(n, 0) < 8")
+    return edge.select((F.col("r") * ROW + F.col("c")).alias("id"), "z")
+
+
+def passes(cells: DataFrame, basins: DataFrame) -> DataFrame:
+    """(a, b, way) with a < b: the lowest pass between neighbouring basins, way = struct(level, u, v).
+
+    basins: (id, basin). Cell u lies in a, cell v in b; equal levels go to the smaller u, then v, so no two passes are equal.
+    The outside is basin and cell -1.
+    """
+    c = F.col
+    valued = cut(cells.where("z is not null").select((c("r") * ROW + c("c")).alias("id"), "z").join(basins, "id"))
+    # half of the directions meet every pair of cells once
+    ahead = F.explode(F.array(*(F.lit(dr * ROW + dc) for dr, dc in DIRECTIONS[:4])))
+    looks = valued.withColumn("step", ahead).select(c("id").alias("from"), c("z").alias("z0"), c("basin").alias("b0"), (c("id") + c("step")).alias("id"))
+    met = looks.join(valued, "id").where("basin <> b0").select(F.greatest("z", "z0").alias("level"), "from", "id", "b0", "basin")
+    first = c("b0") < c("basin")
+    pairs = met.select(
+        F.least("b0", "basin").alias("a"), F.greatest("b0", "basin").alias("b"),
+        F.struct("level", F.when(first, c("from")).otherwise(c("id")).alias("u"), F.when(first, c("id")).otherwise(c("from")).alias("v")).alias("way"),
+    )
+    out = open_cells(cells).join(basins, "id").select(F.lit(OUTSIDE).cast("long").alias("a"), c("basin").alias("b"), F.struct(c("z").alias("level"), F.lit(OUTSIDE).cast("long").alias("u"), c("id").alias("v")).alias("way"))
+    return pairs.union(out).groupBy("a", "b").agg(F.min("way").alias("way"))
+
+
+def _turn(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """``links`` (id, down, u, v) with the way down from each start (id, down, u, v) turned around and the start's own link set.
+
+    There is at most one start above each root, so nodes with a start upstream form one way and the others stay.
+    """
+    flags = links.select("id").join(starts.select("id", F.lit(1).alias("on")), "id", "left").select("id", F.coalesce("on", F.lit(0)).alias("on"))
+    on = cut(forest.subtree(flags, links.select("id", "down"), {"on": "max"}).where("`on` = 1").select("id"))
+    stay = links.join(on, "id", "left_anti")
+    back = links.join(on, "id").where("down is not null").select(F.col("down").alias("id"), F.col("id").alias("down"), F.col("v").alias("u"), F.col("u").alias("v"))
+    # unions add up partitions, round by round, if they aren't dealt anew
+    return cut(stay.union(back).union(starts.select("id", "down", "u", "v")).repartition("id"))
+
+
+def spill(ways: DataFrame, basins: DataFrame) -> DataFrame:
+    """(id, level, down, u, v) of each basin (id): its water level, and the basin it spills to from its cell u to that one's cell v.
+
+    ways: as from ``passes``. Each round every group of basins that has not reached the outside takes its
+    lowest pass; where two take the same one the larger goes to the smaller. No way out of a group is
+    lower than that pass, and the passes taken reach the outside by the lowest ways, so a basin's level
+    is the largest pass its groups took. Basins without any way to the outside are an error.
+    """
+    c = F.col
+    nothing = [F.lit(None).cast("long").alias(k) for k in ("down", "u", "v")]
+    links = cut(basins.select("id", *nothing))
+    at = cut(basins.select("id", c("id").alias("grp"), F.lit(None).cast(ways.schema["way"].dataType["level"].dataType).alias("level")))
+    outside = F.lit(OUTSIDE).cast("long")
+    groups = lambda key, name: at.select(c("id").alias(key), c("grp").alias(name))
+    while not at.where(c("grp") != outside).isEmpty():
+        ways = cut(ways.select("a", "b", "way").join(groups("a", "ga"), "a", "left").join(groups("b", "gb"), "b", "left").withColumn("ga", F.coalesce("ga", outside)).where("ga <> gb"))
+        one = ways.select(c("ga").alias("grp"), c("gb").alias("to"), "way", c("a").alias("id"), c("b").alias("down"), c("way.u").alias("u"), c("way.v").alias("v"))
+        two = ways.select(c("gb").alias("grp"), c("ga").alias("to"), "way", c("b").alias("id"), c("a").alias("down"), c("way.v").alias("u"), c("way.u").alias("v"))
+        taken = one.union(two).where(c("grp") != outside).groupBy("grp").agg(F.min_by(F.struct("to", "way.level", "id", "down", "u", "v"), "way").alias("k")).select("grp", "k.*")
+        taken = cut(taken)
+        if taken.isEmpty():
+            raise ValueError("basins without a way to the outside")
+        other = taken.select(c("grp").alias("to"), c("to").alias("grp"), F.lit(True).alias("mutual"))
+        kept = cut(taken.join(other, ["grp", "to"], "left").where("mutual is null or grp > `to`"))
+        links = _turn(links, kept.select("id", F.when(c("down") != outside, c("down")).alias("down"), "u", "v"))
+        step = kept.where(c("to") != outside).select("grp", "to")
+        nodes = at.select("grp").distinct().join(kept.select("grp", F.lit(True).alias("moved"), "to"), "grp", "left").select(c("grp").alias("id"), F.when(c("to") != outside, c("to")).alias("down"), (c("moved").isNull() | (c("to") == outside)).alias("stop"), (F.coalesce("to", F.lit(0).cast("long")) == outside).alias("out"))
+        nodes = cut(nodes)
+        new = forest.first_downstream(nodes.select("id", "down", "stop")).join(nodes.where("out").select(c("id").alias("label"), F.lit(True).alias("done")), "label", "left")
+        new = new.select(c("id").alias("grp"), F.when(c("done"), outside).otherwise(c("label")).alias("now"))
+        rise = at.join(taken.select("grp", c("level").alias("pass")), "grp", "left").join(new, "grp", "left")
+        at = cut(rise.select("id", F.coalesce("now", "grp").alias("grp"), F.greatest("level", "pass").alias("level")))
+    return links.join(at.select("id", "level"), "id").select("id", "level", "down", "u", "v")
+
+
+def drain(cells: DataFrame) -> DataFrame:
+    """(id, down, r, c, z, filled) of valid cells (r, c, z): water level and the next cell on a way to the outside.
+
+    Inside a basin water goes by steepest descent, but from its pit it goes back up to where the
+    basin spills. Levels never rise on the way and every way ends at an open cell, whose down is null.
+    Cells without a value are left out; rows of one cell must not repeat. Empty input gives no rows.
+    """
+    c = F.col
+    flow = cut(steepest(cells))
+    labelled = forest.first_downstream(flow.select("id", "down", c("down").isNull().alias("stop")))
+    basins = cut(labelled.select("id", c("label").alias("basin")))
+    exits = cut(spill(passes(cells, basins), basins.select(c("basin").alias("id")).distinct()))
+    links = flow.select("id", "down", *(F.lit(None).cast("long").alias(k) for k in ("u", "v")))
+    # an exit's cells are nodes here: from u to v, or out of the grid
+    starts = exits.select(c("u").alias("id"), F.when(c("v") != OUTSIDE, c("v")).alias("down"), *(F.lit(None).cast("long").alias(k) for k in ("u", "v")))
+    turned = _turn(links, starts).select("id", "down")
+    levels = basins.join(exits.select(c("id").alias("basin"), "level"), "basin").select("id", "level")
+    return flow.drop("down").join(turned, "id").join(levels, "id").select("id", "down", "r", "c", "z", F.greatest("z", "level").alias("filled"))

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.checkpoint import cut
+from rillflow.checkpoint import saved as cut
 
 
 def pointers(edges: DataFrame) -> Iterator[DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions import sheets
 from rillflow.functions.num import half_even
-from rillflow.operators import conditioning, landcover, raster, spatial
+from rillflow.operators import conditioning, filling, landcover, raster, spatial
 from rillflow.plans.adapters import sql, view
 from rillflow.plans.storms import PLACES, places, sheets_sql
 
@@ -81,6 +81,20 @@ k AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY CASE WHEN fall > 0
 SELECT r, c, dr::BIGINT AS dr, dc::BIGINT AS dc, CASE WHEN fall > 0 THEN 'steepest' ELSE 'max_acc' END AS how FROM k WHERE k = 1"""
 
 
+def fill_depressions(spark, sf_dir):
+    """Terraces of 6 x 6 cells dam the slope, so lakes of many cells stand behind them."""
+    steps = F.expr("z + 150 * ((r div 6 * 7 + c div 6 * 5) % 4)").alias("z")
+    return filling.drain(view(spark, sf_dir, "a_cells").select("r", "c", steps)).select("r", "c", "z", "filled")
+
+
+# Levels go down from cell to cell, for as long as some way there is lower than the ones before.
+_LAKES = f"""{sql("a_cells", recursive=True)}, t AS MATERIALIZED (SELECT r, c, z + 150 * ((r // 6 * 7 + c // 6 * 5) % 4) AS z FROM a_cells WHERE z IS NOT NULL), d(dr, dc) AS (VALUES {", ".join(map(str, raster.DIRECTIONS))}),
+n AS MATERIALIZED (SELECT a.r, a.c, b.r AS r2, b.c AS c2, b.z FROM t a, d, t b WHERE b.r = a.r + dr AND b.c = a.c + dc),
+f(r, c, w) USING KEY (r, c) AS (SELECT r, c, z FROM t WHERE (SELECT count(*) FROM n WHERE n.r = t.r AND n.c = t.c) < 8
+  UNION SELECT r2, c2, min(greatest(n.z, f.w)) FROM f JOIN n USING (r, c) LEFT JOIN recurring.f k ON k.r = r2 AND k.c = c2 WHERE k.w IS NULL OR greatest(n.z, f.w) < k.w GROUP BY r2, c2)
+SELECT r, c, z, w AS filled FROM t JOIN f USING (r, c)"""
+
+
 def landcover_breakdown(spark, sf_dir):
     sheds = view(spark, sf_dir, "a_sheds").select("qid", *(F.col(c).alias("b" + c) for c in ("x0", "y0", "w", "h")))
     land = view(spark, sf_dir, "a_land").withColumns({"category": F.col("cat"), "cn": F.element_at(F.array(*(F.lit(v) for v in _CN)), (F.col("cat") + 1).cast("int")), "imperviousness": F.when(F.col("id") % 7 != 0, (F.col("id") % 4) / 4)})
@@ -149,6 +163,7 @@ QUERIES = {
     "sample_near": (sample_near, _SAMPLED),
     "fill_nearest": (fill_nearest, _FILLED),
     "sink_repair": (sink_repair, _SINKS),
+    "fill_depressions": (fill_depressions, _LAKES),
     "landcover_breakdown": (landcover_breakdown, _BREAKDOWN),
     "mapped_streams_inside": (mapped_streams_inside, _INSIDE),
     "sheets_around": (sheets_around, f"{sql('a_stations')}, {sheets_sql(_MARKS)} SELECT DISTINCT id, code FROM t"),

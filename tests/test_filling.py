@@ -1,0 +1,64 @@
+"""Filled terrain against a priority flood, and the ways water takes."""
+
+import heapq
+import random
+
+from rillflow.operators import filling
+from rillflow.operators.raster import DIRECTIONS, ROW
+
+
+def _flood(grid):
+    """Water levels by always going on from the lowest cell that is reached."""
+    level, heap = {}, []
+    near = lambda r, c: [(r + dr, c + dc) for dr, dc in DIRECTIONS if (r + dr, c + dc) in grid]
+    for cell, z in grid.items():
+        if len(near(*cell)) < 8:
+            level[cell] = z
+            heapq.heappush(heap, (z, cell))
+    while heap:
+        high, cell = heapq.heappop(heap)
+        for n in near(*cell):
+            if n not in level:
+                level[n] = max(high, grid[n])
+                heapq.heappush(heap, (level[n], n))
+    return level
+
+
+def _check(spark, rows):
+    cells = spark.createDataFrame([(r, c, z) for r, row in enumerate(rows) for c, z in enumerate(row)], "r long, c long, z long")
+    grid = {(r, c): z for r, row in enumerate(rows) for c, z in enumerate(row) if z is not None}
+    found = {r.id: r for r in filling.drain(cells).collect()}
+    truth = _flood(grid)
+    assert {(r.r, r.c): r.filled for r in found.values()} == truth and len(found) == len(grid)
+    for start in found:
+        seen, at = set(), found[start]
+        while at.down is not None:
+            assert at.id not in seen
+            seen.add(at.id)
+            step = found[at.down]
+            assert step.filled <= at.filled and max(abs(step.r - at.r), abs(step.c - at.c)) == 1
+            at = step
+        assert sum((at.r + dr, at.c + dc) in grid for dr, dc in DIRECTIONS) < 8
+    return found
+
+
+def test_one_pit_spills_over_its_lowest_rim(spark):
+    found = _check(spark, [[9, 9, 9, 9], [9, 2, 5, 9], [9, 9, 9, 7]])
+    assert found[ROW + 1].filled == 7 and found[ROW + 2].filled == 7
+
+
+def test_random_terrain_with_flats_ties_and_gaps(spark):
+    rng = random.Random(5)
+    _check(spark, [[None if rng.random() < 0.03 else rng.randrange(6) for _ in range(17)] for _ in range(15)])
+
+
+def test_nested_bowls(spark):
+    size = 13
+    _check(spark, [[abs(r - 6) * 3 % 7 + abs(c - 6) * 5 % 11 + (20 if 0 in (r, c) or size - 1 in (r, c) else 0) for c in range(size)] for r in range(size)])
+
+
+def test_nothing_and_one_cell(spark):
+    empty = spark.createDataFrame([], "r long, c long, z long")
+    assert filling.drain(empty).count() == 0
+    assert _check(spark, [[4]])[0].filled == 4
+    assert _check(spark, [[None, None]]) == {}
