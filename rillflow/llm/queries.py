@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rillflow.llm import oracles
+from rillflow.llm.alignment import op11_alignment
 from rillflow.llm.decontaminate import op1_decontaminate
 from rillflow.llm.html import op9_main_text
 from rillflow.llm.links import op7_link_trust
+from rillflow.llm.minhash import op13_circulant_minhash
 from rillflow.llm.neighbours import op2_neighbours
 from rillflow.llm.packing import op3_packing
 from rillflow.llm.repeats import op6_recompression
@@ -17,6 +19,7 @@ from rillflow.llm.secrets import op5_secrets
 from rillflow.llm.sharding import op10_jump_shards
 from rillflow.llm.simhash import op8_simhash
 from rillflow.llm.toxicity import op4_toxicity
+from rillflow.llm.whitening import op12_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -31,6 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_main_text": op9_main_text,
         "op10_jump_shards": op10_jump_shards,
+        "op11_alignment": op11_alignment,
+        "op12_whitening": op12_whitening,
+        "op13_circulant_minhash": op13_circulant_minhash,
     }
 
 
