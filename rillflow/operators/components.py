@@ -12,6 +12,21 @@ from pyspark.sql import functions as F
 from rillflow.checkpoint import cut
 
 
+def stars(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Smallest node that edges x - y between nodes 0 to n - 1 connect each node with."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        # hook the roots of both ends, then shorten paths
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each batch's edges as stars: fewer edges that connect the same nodes."""
     for batch in batches:
@@ -19,18 +34,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(a):
             continue
         nodes, at = np.unique(np.r_[a, b], return_inverse=True)
-        x, y = at[: len(a)], at[len(a) :]
-        label = np.arange(len(nodes))
-        while True:
-            low = np.minimum(label[x], label[y])
-            new = label.copy()
-            # hook the roots of both ends, then shorten paths
-            np.minimum.at(new, label[x], low)
-            np.minimum.at(new, label[y], low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
+        label = stars(at[: len(a)], at[len(a) :], len(nodes))
         moved = label != np.arange(len(nodes))
         yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["a", "b"])
 

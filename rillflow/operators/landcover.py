@@ -85,9 +85,8 @@ def lookup_cn(df: DataFrame, cover: str, hsg: str) -> DataFrame:
 
 def classify(df: DataFrame, layer: str) -> DataFrame:
     """``df`` with class, category, cn and imperviousness of a layer name; unknown classes get the default."""
-    name = F.upper(F.col(layer))
-    code = F.regexp_extract(name, r"(^|_)PT([A-Z]{2})(_|$)", 2)
-    found = F.when(code != "", F.concat(F.lit("PT"), code))
+    # the first part of the name, between underscores, that has four letters and begins with PT
+    found = F.get(F.filter(F.split(F.upper(layer), "_"), lambda part: part.rlike("^PT[A-Z]{2}$")), F.lit(0))
     rows = [(k, *v) for k, v in CLASSES.items()]
     table = F.broadcast(df.sparkSession.createDataFrame(rows, "class string, category string, cn int, imperviousness double"))
     joined = df.withColumn("class", found).join(table, "class", "left")
@@ -101,6 +100,17 @@ def weighted_cn(shares: DataFrame, keys: list[str], area: str = "area", clamp: b
     return sums.select(*keys, (F.least(F.greatest(cn, F.lit(0)), F.lit(100)) if clamp else cn).alias("cn"))
 
 
+def cn_of_boundaries(boundaries: DataFrame, shares: DataFrame, keys: list[str], area: str = "area") -> DataFrame:
+    """(keys, cn, stats) of every row of ``boundaries``: the weighted curve number, and the share of each curve number as
+    array of struct(cn, pct), smallest first. Boundaries without cover have DEFAULT_CN and an empty array."""
+    parts = shares.where(F.col(area) > 0).groupBy(*keys, "cn").agg(F.sum(area).alias("a"))
+    total = F.sum("a").over(Window.partitionBy(*keys))
+    each = parts.withColumn("pct", half_even(F.col("a") * 100 / total, 1))
+    found = each.groupBy(*keys).agg(F.rint(F.sum(F.col("cn") * F.col("a")) / F.sum("a")).cast("int").alias("cn"), F.array_sort(F.collect_list(F.struct("cn", "pct"))).alias("stats"))
+    value = F.least(F.greatest(F.coalesce("cn", F.lit(DEFAULT_CN)), F.lit(0)), F.lit(100))
+    return boundaries.select(*keys).join(found, keys, "left").select(*keys, value.alias("cn"), F.coalesce("stats", F.array().cast("array<struct<cn: int, pct: double>>")).alias("stats"))
+
+
 def cn_from_percentages(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, cn) from rows (pct, cn): percentages are scaled to 100 if they are off by over 0.1."""
     sums = df.groupBy(*keys).agg(F.sum(F.col("pct") * F.col("cn")).alias("s"), F.sum("pct").alias("p"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillflow.plans import conditioned, places, requests, storms, terrain, watersheds
+from rillflow.plans import conditioned, places, requests, shapes, storms, terrain, watersheds
 
-MODULES = [watersheds, places, terrain, storms, conditioned, requests]
+MODULES = [watersheds, places, terrain, storms, conditioned, requests, shapes]
 
 
 def queries() -> dict:
