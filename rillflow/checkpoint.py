@@ -38,5 +38,15 @@ def saved(df: DataFrame) -> DataFrame:
     the guesses, so after some tens of joins planning alone takes seconds; a table has the size of its files.
     """
     path = f"{folder(df)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression="zstd")
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._saved_at = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what ``saved`` wrote for these. Only for tables that nothing reads any more: whatever was made
+    of them is saved itself, so that a lost executor's tasks don't go back to them."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._saved_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
