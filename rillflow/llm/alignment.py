@@ -8,17 +8,18 @@ an end occurs once a side), running counts of the shared ends number the groups,
 each stretch between two neighbouring ends of either side is one link, of the tokens that cover it,
 which a window fills in: the range join without its pairs.
 
-The relation's unit is a stretch of text rather than a document. A space after a letter, mark, digit,
-punctuation or symbol always ends a token of both tokenizers, if their rules say so (``separable``
-reads them), and a stretch is tokenized alike wherever it stands. So each distinct stretch is aligned
-once, weighed by its occurrences, and the documents join the results of their stretches: frequent ones, a bounded
-number, by a broadcast, the others by a shuffle. For other tokenizers a stretch is a whole text.
+The relation's unit is a stretch of text rather than a document. Where a letter or digit meets a sign or a space
+both tokenizers end a token, if their rules say so (``separable`` reads them), and what follows is tokenized as if the
+text began there; so a stretch between two such places has the same tokens wherever it stands. Each distinct
+stretch is aligned once, weighed by its occurrences, and the documents join the results of their stretches: frequent ones, a
+bounded number, by a broadcast, the others by a shuffle. For other tokenizers a stretch is a whole text.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rillflow.checkpoint import saved
+from rillflow.checkpoint import forget, saved
 from rillflow.llm.common import slices, table
 from rillflow.llm.near import _light
 
@@ -38,13 +39,14 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: What is broadcast has this size at most, each.
 MODEL_BYTES = 64 << 20
 #: Stretches whose results are broadcast, at most; the others are joined by a shuffle.
-FREQUENT = 200_000
+FREQUENT = 400_000
 #: Bytes of text encoded at once.
 CHUNK = 1 << 20
-#: Where texts are cut into stretches: before a space after what is certainly no white space.
-_CUT = r"(?<=[\p{L}\p{M}\p{N}\p{P}\p{S}])(?=\x20)"
-#: Set before a stretch so that it is encoded as inside a text.
-_LEAD = "x"
+#: Where texts are cut into stretches: between a letter or digit and a sign, space or control character, and after a line
+#: end inside a text without other white space beside it.
+_CUT = r"(?<=[\p{L}\p{Nd}])(?=[\p{P}\p{S}\p{Z}\p{Cc}])|(?<=[\p{L}\p{M}\p{N}\p{P}\p{S}]\n)(?=[\p{L}\p{N}\p{P}\p{S}])"
+#: Set before a stretch so that B encodes it as inside a text: no piece holds a line end.
+_LEAD = "\n"
 
 
 def _byte_of() -> dict[str, int]:
@@ -70,43 +72,43 @@ def piece_tokenizer(raw: bytes) -> tuple[sentencepiece.SentencePieceProcessor, l
 
 
 def separable(a: bytes, b: bytes) -> bool:
-    """Whether both tokenizers end a token before each space that follows a character of words or signs:
-    A splits by the byte-level pattern before it merges, and no piece of B has a space after another character."""
+    """Whether both tokenizers end a token wherever ``_CUT`` cuts, and go on as if the text began there.
+
+    A does if it splits by the byte-level pattern before it merges: a letter or digit is followed by a sign or white
+    space in another part of that pattern, and a single line end is a part. B does if no piece has such
+    a sign or space after a letter or digit, and none a line end.
+    """
     rules = json.loads(a)
     pre = rules.get("pre_tokenizer") or {}
     first = rules.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
     model, _ = piece_tokenizer(b)
-    pieces = (model.id_to_piece(i) for i in range(len(model)))
-    return bool(first) and not any("▁" in p.lstrip("▁") for p in pieces)
+    pieces = (model.id_to_piece(i).replace("▁", " ") for i in range(len(model)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)))
+    kind = unicodedata.category
+    inside = lambda x, y: (kind(x)[0] == "L" or kind(x) == "Nd") and kind(y)[0] not in "LMN"
+    return bool(first) and not any("\n" in p or any(map(inside, p, p[1:])) for p in pieces)
 
 
 def _encode(a: bytes, b: bytes, whole: bool):
-    """(seg, n, ok, tokens): tokens of both sides as (side, id, size in bytes), A's in order, then B's."""
+    """Tokens of both sides of each stretch as (side, id, size in bytes), A's in order, then B's; none if either's bytes don't come back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         (left, left_bytes), (right, right_bytes) = byte_tokenizer(a), piece_tokenizer(b)
-        size_a, size_b = {i: len(x) for i, x in left_bytes.items()}, np.array([len(x) for x in right_bytes])
-        # a text has its space added by B itself; a stretch follows the lead, whose tokens go
+        size_a, size_b = np.zeros(max(left_bytes) + 1, np.int32), np.array([len(x) for x in right_bytes], np.int32)
+        size_a[list(left_bytes)] = [len(x) for x in left_bytes.values()]
+        # B adds the space of a whole text itself; a stretch follows the lead, whose tokens go
         lead = 0 if whole else len(right.encode(_LEAD))
         for batch in batches:
-            every = batch.column("seg").to_pylist()
-            for part in slices([len(t) for t in every], CHUNK):
+            every = batch.to_pylist()
+            for part in slices([len(t) for t in every], CHUNK) if every else [slice(0, 0)]:
                 texts = every[part]
                 ids_a = [e.ids for e in left.encode_batch(texts, add_special_tokens=False)]
                 ids_b = [x[lead:] for x in right.encode([t[1:] if whole else _LEAD + t for t in texts], num_threads=1)]
-                raw = [t.encode() for t in texts]
-                ok = [b"".join(map(left_bytes.__getitem__, p)) == t and b"".join(map(right_bytes.__getitem__, q)) == t for t, p, q in zip(raw, ids_a, ids_b, strict=True)]
-                ids_a = [p if k else [] for p, k in zip(ids_a, ok, strict=True)]
-                ids_b = [q if k else [] for q, k in zip(ids_b, ok, strict=True)]
-                counts = np.array([[len(p), len(q)] for p, q in zip(ids_a, ids_b, strict=True)], np.int32).reshape(-1, 2)
-                side = np.repeat(np.tile([0, 1], len(texts)), counts.ravel())
-                ids = np.array([i for p, q in zip(ids_a, ids_b, strict=True) for x in (p, q) for i in x], np.int32)
-                size = np.zeros(len(ids), np.int32)
-                size[side == 0] = [size_a[i] for i in ids[side == 0].tolist()]
-                size[side == 1] = size_b[ids[side == 1]]
-                ends = pa.array(np.cumsum([0, *counts.sum(axis=1)]).astype(np.int32))
-                tokens = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(side.astype(np.int32)), pa.array(ids), pa.array(size)], ["side", "id", "size"]))
-                yield pa.RecordBatch.from_arrays([pa.array(texts), batch.column("n").slice(part.start, part.stop - part.start), pa.array(ok), tokens], ["seg", "n", "ok", "tokens"])
+                ids = [p + q if b"".join(map(left_bytes.__getitem__, p)) == t.encode() == b"".join(map(right_bytes.__getitem__, q)) else [] for t, p, q in zip(texts, ids_a, ids_b, strict=True)]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                side = np.repeat(np.tile(np.array([0, 1], np.int32), len(ids)), np.array([(len(p), len(q)) if i else (0, 0) for i, p, q in zip(ids, ids_a, ids_b, strict=True)], np.int64).ravel())
+                flat = np.fromiter((i for x in ids for i in x), np.int32, ends[-1])
+                size = np.where(side == 0, size_a[np.where(side == 0, flat, 0)], size_b[np.where(side == 1, flat, 0)])
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(side), pa.array(flat), pa.array(size)], ["side", "id", "size"]))
 
     return run
 
@@ -116,25 +118,26 @@ def _stretches(text: Column, whole: bool) -> Column:
     return F.array(spaced) if whole else F.split(spaced, _CUT)
 
 
-def align(tokens: DataFrame) -> DataFrame:
-    """(key, ..., n_a, n_b, n_groups, links, groups) of rows (key, tokens): tokens as (side, id, size), side 0 before 1.
+def align(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_a, n_b, n_groups, links, groups) of rows (keys, tokens): tokens as (side, id, size), side 0 before 1.
 
-    links: (a, b) of each overlapping pair of tokens; groups: `a1,a2|b1` joined by `;`. Rows without tokens are left out.
-    Keys must not repeat.
+    links: (a, b) of each overlapping pair of tokens; groups: `a1,a2|b1` joined by `;`. Keys must not repeat. Rows without
+    tokens have n_a 0.
     """
     c = F.col
-    each = tokens.repartition("key").select("key", F.posexplode("tokens").alias("pos", "t"))
-    ends = each.select("key", c("t.side").alias("side"), c("t.id").alias("id"), F.sum("t.size").over(Window.partitionBy("key", "t.side").orderBy("pos")).alias("end"))
-    met = ends.groupBy("key", "end").agg(F.max(F.when(c("side") == 0, c("id"))).alias("a"), F.max(F.when(c("side") == 1, c("id"))).alias("b"))
-    up, down = Window.partitionBy("key").orderBy("end"), Window.partitionBy("key").orderBy(F.desc("end"))
+    each = tokens.select(*keys, F.posexplode_outer("tokens").alias("pos", "t"))
+    ends = F.sum("t.size").over(Window.partitionBy(*keys, "t.side").orderBy("pos"))
+    starts = each.select(*keys, c("t.side").alias("side"), c("t.id").alias("id"), (ends - c("t.size")).alias("start"))
+    met = starts.groupBy(*keys, "start").agg(F.max(F.when(c("side") == 0, c("id"))).alias("a"), F.max(F.when(c("side") == 1, c("id"))).alias("b"))
+    so_far = Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     shared = F.when(c("a").isNotNull() & c("b").isNotNull(), 1).otherwise(0)
-    covered = met.select("key", "end", "a", "b", F.last("a", True).over(down).alias("on_a"), F.last("b", True).over(down).alias("on_b"))
-    cuts = covered.withColumn("grp", F.coalesce(F.sum(shared).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ids = lambda s: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c(s).isNotNull(), F.struct("end", s)))), lambda x: x[s].cast("string")), ",")
+    on = [F.last(s, True).over(so_far).alias(f"on_{s}") for s in ("a", "b")]
+    cuts = met.select(*keys, "start", "a", "b", *on, F.sum(shared).over(so_far).alias("grp"))
+    ids = lambda s: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c(s).isNotNull(), F.struct("start", s)))), lambda x: x[s].cast("string")), ",")
     links = F.collect_list(F.struct(c("on_a").alias("a"), c("on_b").alias("b"))).alias("links")
-    group = cuts.groupBy("key", "grp").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), links, F.concat(ids("a"), F.lit("|"), ids("b")).alias("text"))
+    group = cuts.groupBy(*keys, "grp").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), links, F.concat(ids("a"), F.lit("|"), ids("b")).alias("text"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("grp", "text"))), lambda x: x["text"]), ";")
-    return group.groupBy("key").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.flatten(F.collect_list("links")).alias("links"), text.alias("groups"))
+    return group.groupBy(*keys).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.flatten(F.collect_list("links")).alias("links"), text.alias("groups"))
 
 
 #: Of a stretch, a text or a document.
@@ -171,26 +174,26 @@ def aligned(df: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, frequ
     full = rows.where("text <> ''")
     stretch = F.explode(_stretches(c("text"), whole)).alias("seg")
 
-    # each distinct stretch once, with its tokens
-    counts = full.select(stretch).groupBy("seg").agg(F.count("*").alias("n"))
-    coded = saved(counts.mapInArrow(_encode(*models, whole), "seg string, n long, ok boolean, tokens array<struct<side: int, id: int, size: int>>").withColumn("key", F.monotonically_increasing_id()))
-    bad = saved(coded.where("not ok").select("seg"))
-    lost = None
+    # each distinct stretch once: tokens, groups and links in the stage that counts it
+    encode = F.arrow_udf(_encode(*models, whole), "array<struct<side: int, id: int, size: int>>")
+    counts = full.select(stretch).groupBy("seg").agg(F.count("*").alias("n")).select(F.xxhash64("seg").alias("key"), "seg", "n", encode("seg").alias("tokens"))
+    found = saved(align(counts, ["key", "seg", "n"]))
+    bad = saved(found.where("n_a = 0").select("seg"))
+    known, lost = found.where("n_a > 0"), None
     if not bad.isEmpty():
         # texts with a stretch that does not come back have no tokens, and their stretches do not count
         lost = saved(full.select("h1", "h2", stretch).join(_light(bad), "seg").select("h1", "h2").distinct())
         less = full.join(lost, ["h1", "h2"], "left_semi").select(stretch).groupBy("seg").agg(F.count("*").alias("less"))
-        coded = saved(coded.join(less, "seg", "left").withColumn("n", c("n") - F.coalesce("less", F.lit(0))).drop("less"))
-    coded = coded.where("ok and n > 0")
-    found = saved(align(coded.select("key", "tokens")).join(coded.select("key", "seg", "n"), "key"))
+        known = known.join(saved(less), "seg", "left").withColumn("n", c("n") - F.coalesce("less", F.lit(0))).drop("less").where("n > 0")
 
     # counts of id pairs over the corpus, and what they make of each stretch
-    link = found.select("key", "n", F.explode("links").alias("l")).select("key", "n", "l.a", "l.b")
-    pairs = saved(link.groupBy("a", "b").agg(F.sum("n").alias("pair_count")))
-    top = pairs.groupBy("b").agg(F.max("pair_count").alias("top"))
-    pairs = saved(pairs.join(top, "b").select("a", "b", "pair_count", (c("pair_count") == c("top")).cast("long").alias("best")))
-    sums = link.join(_light(pairs), ["a", "b"]).groupBy("key").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("pair_count").alias("count_sum"))
-    info = saved(found.drop("links").join(sums, "key").select("seg", "n", *FIGURES, "groups"))
+    link = known.select("key", "seg", "n", F.explode("links").alias("l")).select("key", "seg", "n", "l.a", "l.b")
+    pairs = link.groupBy("a", "b").agg(F.sum("n").alias("pair_count"))
+    top = F.max("pair_count").over(Window.partitionBy("b"))
+    pairs = pairs.select("a", "b", "pair_count", (c("pair_count") == top).cast("long").alias("best"))
+    sums = link.join(_light(pairs), ["a", "b"]).groupBy("key", "seg").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("pair_count").alias("count_sum"))
+    info = saved(known.drop("links").join(sums, ["key", "seg"]).select("seg", "n", *FIGURES, "groups"))
+    forget(found)
 
     # every distinct text by its stretches: copies go before the shuffle
     texts = full.groupBy("h1", "h2").agg(F.first("text").alias("text"))
