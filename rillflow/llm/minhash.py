@@ -142,7 +142,8 @@ def minhash_components(df: DataFrame, width: int = WIDTH, similarity: float = SI
     full = named.where("n > 0")
     edges = linked(once.where("doc_id is not null").select("doc_id", "text"), full.select("doc_id", "n", "keys", "sketch"), width, similarity)
     roots = components(reduce(DataFrame.union, [edges, own]))
-    sizes = known.select("whole", F.col("n").alias("n_shingles")).dropDuplicates(["whole"])
+    # written first: a plain join of two tables can be split where one text has many rows
+    sizes = cut(known.select("whole", F.col("n").alias("n_shingles")).dropDuplicates(["whole"]))
     counted = kinds.join(sizes, "whole").join(roots, F.col("first") == F.col("node"), "left")
     led = counted.withColumn("leader", F.when(F.col("n_shingles") > 0, F.coalesce("root", "first")).otherwise(F.col("doc_id")))
     least = led.where("doc_id is not null").groupBy("doc_id").agg(F.min("leader").alias("component_id"))
