@@ -89,7 +89,7 @@ def separable(a: bytes, b: bytes) -> bool:
 
 
 def _encode(a: bytes, b: bytes, whole: bool):
-    """Tokens of both sides of each stretch as (side, id, size in bytes), A's in order, then B's; none if either's bytes don't come back."""
+    """Tokens of both sides of each stretch, A's in order, then B's, as side x 2^56 + id x 2^24 + size in bytes; none if either's bytes don't come back."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         (left, left_bytes), (right, right_bytes) = byte_tokenizer(a), piece_tokenizer(b)
@@ -108,7 +108,7 @@ def _encode(a: bytes, b: bytes, whole: bool):
                 side = np.repeat(np.tile(np.array([0, 1], np.int32), len(ids)), np.array([(len(p), len(q)) if i else (0, 0) for i, p, q in zip(ids, ids_a, ids_b, strict=True)], np.int64).ravel())
                 flat = np.fromiter((i for x in ids for i in x), np.int32, ends[-1])
                 size = np.where(side == 0, size_a[np.where(side == 0, flat, 0)], size_b[np.where(side == 1, flat, 0)])
-                yield pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(side), pa.array(flat), pa.array(size)], ["side", "id", "size"]))
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array((side.astype(np.int64) << 56) | (flat.astype(np.int64) << 24) | size))
 
     return run
 
@@ -119,15 +119,17 @@ def _stretches(text: Column, whole: bool) -> Column:
 
 
 def align(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n_a, n_b, n_groups, links, groups) of rows (keys, tokens): tokens as (side, id, size), side 0 before 1.
+    """(keys, n_a, n_b, n_groups, links, groups) of rows (keys, tokens): tokens as from ``_encode``, side 0 before 1.
 
     links: (a, b) of each overlapping pair of tokens; groups: `a1,a2|b1` joined by `;`. Keys must not repeat. Rows without
     tokens have n_a 0.
     """
     c = F.col
-    each = tokens.select(*keys, F.posexplode_outer("tokens").alias("pos", "t"))
-    ends = F.sum("t.size").over(Window.partitionBy(*keys, "t.side").orderBy("pos"))
-    starts = each.select(*keys, c("t.side").alias("side"), c("t.id").alias("id"), (ends - c("t.size")).alias("start"))
+    # one shuffle of packed tokens: all windows and groups below keep to the first key
+    each = tokens.repartition(keys[0]).select(*keys, F.posexplode_outer("tokens").alias("pos", "t"))
+    parts = {"side": F.shiftright("t", 56).cast("int"), "id": F.shiftright("t", 24).bitwiseAND(F.lit((1 << 32) - 1)).cast("int"), "size": c("t").bitwiseAND(F.lit((1 << 24) - 1)).cast("int")}
+    ends = F.sum("size").over(Window.partitionBy(*keys, "side").orderBy("pos"))
+    starts = each.withColumns(parts).select(*keys, "side", "id", (ends - c("size")).alias("start"))
     met = starts.groupBy(*keys, "start").agg(F.max(F.when(c("side") == 0, c("id"))).alias("a"), F.max(F.when(c("side") == 1, c("id"))).alias("b"))
     so_far = Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     shared = F.when(c("a").isNotNull() & c("b").isNotNull(), 1).otherwise(0)
@@ -175,7 +177,7 @@ def aligned(df: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, frequ
     stretch = F.explode(_stretches(c("text"), whole)).alias("seg")
 
     # each distinct stretch once: tokens, groups and links in the stage that counts it
-    encode = F.arrow_udf(_encode(*models, whole), "array<struct<side: int, id: int, size: int>>")
+    encode = F.arrow_udf(_encode(*models, whole), "array<long>")
     counts = full.select(stretch).groupBy("seg").agg(F.count("*").alias("n")).select(F.xxhash64("seg").alias("key"), "seg", "n", encode("seg").alias("tokens"))
     found = saved(align(counts, ["key", "seg", "n"]))
     bad = saved(found.where("n_a = 0").select("seg"))
