@@ -186,7 +186,7 @@ def aligned(df: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, frequ
         # texts with a stretch that does not come back have no tokens, and their stretches do not count
         lost = saved(full.select("h1", "h2", stretch).join(_light(bad), "seg").select("h1", "h2").distinct())
         less = full.join(lost, ["h1", "h2"], "left_semi").select(stretch).groupBy("seg").agg(F.count("*").alias("less"))
-        known = known.join(saved(less), "seg", "left").withColumn("n", c("n") - F.coalesce("less", F.lit(0))).drop("less").where("n > 0")
+        known = known.join(_light(less), "seg", "left").withColumn("n", c("n") - F.coalesce("less", F.lit(0))).drop("less").where("n > 0")
 
     # counts of id pairs over the corpus, and what they make of each stretch
     link = known.select("key", "seg", "n", F.explode("links").alias("l")).select("key", "seg", "n", "l.a", "l.b")
