@@ -40,6 +40,8 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_BYTES = 64 << 20
 #: Stretches whose results are broadcast, at most; the others are joined by a shuffle.
 FREQUENT = 400_000
+#: Added to the ids of the second tokenizer.
+SIDE = 1 << 30
 #: Bytes of text encoded at once.
 CHUNK = 1 << 20
 #: Where texts are cut into stretches: between a letter or digit and a sign, space or control character, and after a line
@@ -89,12 +91,10 @@ def separable(a: bytes, b: bytes) -> bool:
 
 
 def _encode(a: bytes, b: bytes, whole: bool):
-    """Tokens of both sides of each stretch, A's in order, then B's, as side x 2^56 + id x 2^24 + size in bytes; none if either's bytes don't come back."""
+    """Tokens of each stretch: A's ids in order, then B's, which have SIDE added; none if either's bytes don't come back."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         (left, left_bytes), (right, right_bytes) = byte_tokenizer(a), piece_tokenizer(b)
-        size_a, size_b = np.zeros(max(left_bytes) + 1, np.int32), np.array([len(x) for x in right_bytes], np.int32)
-        size_a[list(left_bytes)] = [len(x) for x in left_bytes.values()]
         # B adds the space of a whole text itself; a stretch follows the lead, whose tokens go
         lead = 0 if whole else len(right.encode(_LEAD))
         for batch in batches:
@@ -103,31 +103,34 @@ def _encode(a: bytes, b: bytes, whole: bool):
                 texts = every[part]
                 ids_a = [e.ids for e in left.encode_batch(texts, add_special_tokens=False)]
                 ids_b = [x[lead:] for x in right.encode([t[1:] if whole else _LEAD + t for t in texts], num_threads=1)]
-                ids = [p + q if b"".join(map(left_bytes.__getitem__, p)) == t.encode() == b"".join(map(right_bytes.__getitem__, q)) else [] for t, p, q in zip(texts, ids_a, ids_b, strict=True)]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                side = np.repeat(np.tile(np.array([0, 1], np.int32), len(ids)), np.array([(len(p), len(q)) if i else (0, 0) for i, p, q in zip(ids, ids_a, ids_b, strict=True)], np.int64).ravel())
-                flat = np.fromiter((i for x in ids for i in x), np.int32, ends[-1])
-                size = np.where(side == 0, size_a[np.where(side == 0, flat, 0)], size_b[np.where(side == 1, flat, 0)])
-                yield pa.ListArray.from_arrays(pa.array(ends), pa.array((side.astype(np.int64) << 56) | (flat.astype(np.int64) << 24) | size))
+                raw = [t.encode() for t in texts]
+                ok = [b"".join(map(left_bytes.__getitem__, p)) == t == b"".join(map(right_bytes.__getitem__, q)) for t, p, q in zip(raw, ids_a, ids_b, strict=True)]
+                yield pa.array([[*p, *(SIDE + i for i in q)] if k else [] for p, q, k in zip(ids_a, ids_b, ok, strict=True)], pa.list_(pa.int32()))
 
     return run
 
 
+def vocabulary(spark: SparkSession, a: bytes, b: bytes) -> DataFrame:
+    """(t, size): bytes of each token of both sides; its rows are those of two files of bounded size."""
+    sizes = {i: len(x) for i, x in byte_tokenizer(a)[1].items()} | {SIDE + i: len(x) for i, x in enumerate(piece_tokenizer(b)[1])}
+    return spark.createDataFrame(pa.table({"t": pa.array(list(sizes), pa.int32()), "size": pa.array(list(sizes.values()), pa.int32())}))
+
+
 def _stretches(text: Column, whole: bool) -> Column:
     spaced = F.concat(F.lit(" "), text)
     return F.array(spaced) if whole else F.split(spaced, _CUT)
 
 
-def align(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n_a, n_b, n_groups, links, groups) of rows (keys, tokens): tokens as from ``_encode``, side 0 before 1.
+def align(tokens: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_a, n_b, n_groups, links, groups) of rows (keys, tokens): tokens as from ``_encode``, with the bytes of each in ``sizes`` (t, size).
 
     links: (a, b) of each overlapping pair of tokens; groups: `a1,a2|b1` joined by `;`. Keys must not repeat. Rows without
     tokens have n_a 0.
     """
     c = F.col
-    # one shuffle of packed tokens: all windows and groups below keep to the first key
-    each = tokens.repartition(keys[0]).select(*keys, F.posexplode_outer("tokens").alias("pos", "t"))
-    parts = {"side": F.shiftright("t", 56).cast("int"), "id": F.shiftright("t", 24).bitwiseAND(F.lit((1 << 32) - 1)).cast("int"), "size": c("t").bitwiseAND(F.lit((1 << 24) - 1)).cast("int")}
+    # one shuffle of ids: all windows and groups below keep to the first key
+    each = tokens.repartition(keys[0]).select(*keys, F.posexplode_outer("tokens").alias("pos", "t")).join(F.broadcast(sizes), "t", "left")
+    parts = {"side": (c("t") >= SIDE).cast("int"), "id": c("t").bitwiseAND(F.lit(SIDE - 1))}
     ends = F.sum("size").over(Window.partitionBy(*keys, "side").orderBy("pos"))
     starts = each.withColumns(parts).select(*keys, "side", "id", (ends - c("size")).alias("start"))
     met = starts.groupBy(*keys, "start").agg(F.max(F.when(c("side") == 0, c("id"))).alias("a"), F.max(F.when(c("side") == 1, c("id"))).alias("b"))
@@ -177,9 +180,10 @@ def aligned(df: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, frequ
     stretch = F.explode(_stretches(c("text"), whole)).alias("seg")
 
     # each distinct stretch once: tokens, groups and links in the stage that counts it
-    encode = F.arrow_udf(_encode(*models, whole), "array<long>")
+    encode = F.arrow_udf(_encode(*models, whole), "array<int>")
     counts = full.select(stretch).groupBy("seg").agg(F.count("*").alias("n")).select(F.xxhash64("seg").alias("key"), "seg", "n", encode("seg").alias("tokens"))
-    found = saved(align(counts, ["key", "seg", "n"]))
+    found = align(counts, vocabulary(spark, *models), ["key", "seg", "n"]).drop("key")
+    found = saved(found.withColumn("key", F.monotonically_increasing_id()))
     bad = saved(found.where("n_a = 0").select("seg"))
     known, lost = found.where("n_a > 0"), None
     if not bad.isEmpty():
@@ -189,12 +193,12 @@ def aligned(df: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, frequ
         known = known.join(_light(less), "seg", "left").withColumn("n", c("n") - F.coalesce("less", F.lit(0))).drop("less").where("n > 0")
 
     # counts of id pairs over the corpus, and what they make of each stretch
-    link = known.select("key", "seg", "n", F.explode("links").alias("l")).select("key", "seg", "n", "l.a", "l.b")
+    link = known.select("key", "n", F.explode("links").alias("l")).select("key", "n", "l.a", "l.b")
     pairs = link.groupBy("a", "b").agg(F.sum("n").alias("pair_count"))
     top = F.max("pair_count").over(Window.partitionBy("b"))
     pairs = pairs.select("a", "b", "pair_count", (c("pair_count") == top).cast("long").alias("best"))
-    sums = link.join(_light(pairs), ["a", "b"]).groupBy("key", "seg").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("pair_count").alias("count_sum"))
-    info = saved(known.drop("links").join(sums, ["key", "seg"]).select("seg", "n", *FIGURES, "groups"))
+    sums = link.join(_light(pairs), ["a", "b"]).groupBy("key").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("pair_count").alias("count_sum"))
+    info = saved(known.drop("links").join(sums, "key").select("seg", "n", *FIGURES, "groups"))
     forget(found)
 
     # every distinct text by its stretches: copies go before the shuffle
