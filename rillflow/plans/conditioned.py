@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions import sheets
 from rillflow.functions.num import half_even
-from rillflow.operators import conditioning, filling, landcover, raster, spatial
+from rillflow.operators import conditioning, landcover, raster, spatial, tiles
 from rillflow.plans.adapters import sql, view
 from rillflow.plans.storms import PLACES, places, sheets_sql
 
@@ -83,8 +83,20 @@ SELECT r, c, dr::BIGINT AS dr, dc::BIGINT AS dc, CASE WHEN fall > 0 THEN 'steepe
 
 def fill_depressions(spark, sf_dir):
     """Terraces of 6 x 6 cells dam the slope, so lakes of many cells stand behind them."""
+    found = tiles.fill(_terraces(spark, sf_dir))
+    return found.select("r", "c", *(F.col(k).cast("long").alias(k) for k in ("z", "filled")))
+
+
+def _terraces(spark, sf_dir):
     steps = F.expr("z + 150 * ((r div 6 * 7 + c div 6 * 5) % 4)").alias("z")
-    return filling.drain(view(spark, sf_dir, "a_cells").select("r", "c", steps)).select("r", "c", "z", "filled")
+    return view(spark, sf_dir, "a_cells").select("r", "c", steps)
+
+
+def filled_flow(spark, sf_dir):
+    """Directions and accumulation on the filled terraces, with a drain in the middle of every 25 x 25 cells."""
+    cells = _terraces(spark, sf_dir)
+    drains = cells.where("r % 25 = 12 and c % 25 = 12").select("r", "c")
+    return tiles.flow(cells, drains=drains).select("r", "c", F.col("filled").cast("long").alias("filled"), "down_r", "down_c", "acc")
 
 
 # Levels go down from cell to cell, for as long as some way there is lower than the ones before.
@@ -94,6 +106,23 @@ f(r, c, w) USING KEY (r, c) AS (SELECT r, c, z FROM t WHERE (SELECT count(*) FRO
   UNION SELECT r2, c2, min(greatest(n.z, f.w)) FROM f JOIN n USING (r, c) LEFT JOIN recurring.f k ON k.r = r2 AND k.c = c2 WHERE k.w IS NULL OR greatest(n.z, f.w) < k.w GROUP BY r2, c2)
 SELECT r, c, z, w AS filled FROM t JOIN f USING (r, c)"""
 
+# Then steepest descent, in flats the fewest steps to a cell with a way down or to an open one, and all cells upstream of each.
+_FLOWS = _LAKES.replace("WHERE z IS NOT NULL)", "WHERE z IS NOT NULL AND NOT (r % 25 = 12 AND c % 25 = 12))").replace(
+    "SELECT r, c, z, w AS filled FROM t JOIN f USING (r, c)",
+    f""", o(k, dr, dc) AS (VALUES {", ".join(str((k, *d)) for k, d in enumerate(raster.DIRECTIONS))}), s AS MATERIALIZED (SELECT r, c, r * 1000000 + c AS id, w FROM f),
+m AS MATERIALIZED (SELECT a.id, b.id AS nid, a.w, b.w AS nw, k FROM s a, o JOIN s b ON b.r = a.r + dr AND b.c = a.c + dc),
+low AS MATERIALIZED (SELECT id, nid FROM (SELECT id, nid, row_number() OVER (PARTITION BY id ORDER BY (w - nw) / CASE WHEN k % 2 = 1 THEN 1.414::DOUBLE ELSE 1.0::DOUBLE END DESC, k) AS n FROM m WHERE nw < w) WHERE n = 1),
+open AS (SELECT id FROM m GROUP BY id HAVING count(*) < 8 UNION SELECT id FROM s WHERE id NOT IN (SELECT id FROM m)),
+dist(id, d) USING KEY (id) AS (SELECT id, 0 FROM (SELECT id FROM low UNION SELECT id FROM open)
+  UNION SELECT m.nid, min(dist.d) + 1 FROM dist JOIN m ON m.id = dist.id AND m.w = m.nw LEFT JOIN recurring.dist q ON q.id = m.nid WHERE q.id IS NULL GROUP BY m.nid),
+dd AS MATERIALIZED (SELECT id, d FROM dist),
+side AS (SELECT m.id, arg_min(nid, k) AS nid FROM m JOIN dd x ON x.id = m.id JOIN dd y ON y.id = m.nid WHERE w = nw AND x.d > 0 AND y.d = x.d - 1 GROUP BY m.id),
+flow AS MATERIALIZED (SELECT s.id, w, coalesce(low.nid, side.nid) AS down FROM s LEFT JOIN low USING (id) LEFT JOIN side USING (id)),
+up(id, loc) AS (SELECT id, id FROM flow UNION ALL SELECT up.id, flow.down FROM up JOIN flow ON flow.id = up.loc WHERE flow.down IS NOT NULL),
+acc AS (SELECT loc AS id, count(*) AS acc FROM up GROUP BY loc)
+SELECT id // 1000000 AS r, id % 1000000 AS c, w AS filled, down // 1000000 AS down_r, down % 1000000 AS down_c, acc FROM flow JOIN acc USING (id)""",
+)
+
 
 def landcover_breakdown(spark, sf_dir):
     sheds = view(spark, sf_dir, "a_sheds").select("qid", *(F.col(c).alias("b" + c) for c in ("x0", "y0", "w", "h")))
@@ -164,6 +193,7 @@ QUERIES = {
     "fill_nearest": (fill_nearest, _FILLED),
     "sink_repair": (sink_repair, _SINKS),
     "fill_depressions": (fill_depressions, _LAKES),
+    "filled_flow": (filled_flow, _FLOWS),
     "landcover_breakdown": (landcover_breakdown, _BREAKDOWN),
     "mapped_streams_inside": (mapped_streams_inside, _INSIDE),
     "sheets_around": (sheets_around, f"{sql('a_stations')}, {sheets_sql(_MARKS)} SELECT DISTINCT id, code FROM t"),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rillflow.checkpoint import cut
+from rillflow.checkpoint import saved as cut
 from rillflow.functions.num import half_even
-from rillflow.operators import raster, stats
+from rillflow.operators import raster, stats, tiles
 from rillflow.operators.raster import DIRECTIONS, ROW
 from rillflow.plans.adapters import sql, view
 
@@ -106,12 +106,16 @@ acc AS MATERIALIZED (SELECT start AS id, count(*) AS acc FROM up GROUP BY start)
 
 
 def flow_accumulation(spark, sf_dir):
-    return _rc(raster.accumulation(_flow(spark, sf_dir)), "acc")
+    return _drained(spark, sf_dir).select("r", "c", "acc")
+
+
+def _drained(spark, sf_dir):
+    return tiles.flow(_cells(spark, sf_dir), filling=False)
 
 
 def twi(spark, sf_dir):
     cells = _cells(spark, sf_dir)
-    acc = _rc(raster.accumulation(_flow(spark, sf_dir)), "acc")
+    acc = _drained(spark, sf_dir).select("r", "c", "acc")
     slope = raster.gradients(cells.withColumn("z", F.col("z") / 100), CELL).select("r", "c", raster.slope_aspect(F.col("gx"), F.col("gy"))["slope"].alias("slope"))
     joined = acc.join(slope, ["r", "c"])
     return joined.select("r", "c", half_even(raster.twi(F.col("acc"), F.lit(CELL), F.col("slope")), 5).alias("twi"))
@@ -122,9 +126,9 @@ _TWI = _TWI[: _TWI.index("SELECT r, c, coalesce")] + "SELECT g.r, g.c, round_eve
 
 
 def _streams(spark, sf_dir):
-    flow = cut(_flow(spark, sf_dir))
-    streams = cut(raster.accumulation(flow).where(F.col("acc") >= STREAM).select("id"))
-    return flow, streams
+    c = F.col
+    flow = cut(_drained(spark, sf_dir).select(raster.cell_id(c("r"), c("c")).alias("id"), raster.cell_id(c("down_r"), c("down_c")).alias("down"), "acc"))
+    return flow.drop("acc"), cut(flow.where(c("acc") >= STREAM).select("id"))
 
 
 def headwaters(spark, sf_dir):
