@@ -24,14 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rillflow.checkpoint import forget, saved
-from rillflow.llm.common import slices, table
-from rillflow.llm.near import _light
+from rillflow.llm.common import cut, slices, table
+from rillflow.llm.near import BROADCAST_ROWS, _light
 
 #: Tokenizer files, read on the driver: a byte-level BPE and a piece model.
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -138,11 +139,39 @@ def align(tokens: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
     shared = F.when(c("a").isNotNull() & c("b").isNotNull(), 1).otherwise(0)
     on = [F.last(s, True).over(so_far).alias(f"on_{s}") for s in ("a", "b")]
     cuts = met.select(*keys, "start", "a", "b", *on, F.sum(shared).over(so_far).alias("grp"))
-    ids = lambda s: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c(s).isNotNull(), F.struct("start", s)))), lambda x: x[s].cast("string")), ",")
-    links = F.collect_list(F.struct(c("on_a").alias("a"), c("on_b").alias("b"))).alias("links")
-    group = cuts.groupBy(*keys, "grp").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), links, F.concat(ids("a"), F.lit("|"), ids("b")).alias("text"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("grp", "text"))), lambda x: x["text"]), ";")
-    return group.groupBy(*keys).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.flatten(F.collect_list("links")).alias("links"), text.alias("groups"))
+    # a token that begins a group begins on both sides
+    listed = cuts.groupBy(*keys).agg(F.max("grp").alias("n_groups"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.array_sort(F.collect_list(F.struct("start", "a", "b", "on_a", "on_b"))).alias("at"))
+    mark = lambda x: F.when(x["a"].isNotNull() & x["b"].isNotNull(), ";").otherwise(",")
+    side = lambda s: F.array_join(F.transform(F.filter("at", lambda x: x[s].isNotNull()), lambda x: F.concat(mark(x), x[s].cast("string"))), "")
+    parts_of = lambda s: F.split(F.substr(side(s), F.lit(2)), ";")
+    groups = F.array_join(F.zip_with(parts_of("a"), parts_of("b"), lambda p, q: F.concat(p, F.lit("|"), q)), ";")
+    links = F.transform("at", lambda x: F.struct(x["on_a"].alias("a"), x["on_b"].alias("b")))
+    return listed.select(*keys, "n_a", "n_b", "n_groups", links.alias("links"), groups.alias("groups"))
+
+
+def link_sums(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``known`` with n_links, n_best and count_sum of its links, from (a, b, pair_count, best).
+
+    Pairs up to a bound are looked up where the links lie; more are joined by a shuffle.
+    """
+    pairs = cut(pairs)
+    if pairs.count() > BROADCAST_ROWS:
+        link = known.select("key", F.explode("links").alias("l")).select("key", "l.a", "l.b").join(pairs, ["a", "b"])
+        return known.join(link.groupBy("key").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("pair_count").alias("count_sum")), "key")
+    held = pairs.toArrow()
+    code = (held.column("a").to_numpy().astype(np.int64) << 32) | held.column("b").to_numpy()
+    order = np.argsort(code)
+    given = known.sparkSession.sparkContext.broadcast((code[order], held.column("pair_count").to_numpy()[order], held.column("best").to_numpy()[order]))
+
+    def look(links: pa.Array) -> pa.Array:
+        codes, counts, best = given.value
+        flat, ends = links.flatten(), np.r_[0, np.cumsum(pc.list_value_length(links).to_numpy())]
+        at = np.searchsorted(codes, (flat.field("a").to_numpy().astype(np.int64) << 32) | flat.field("b").to_numpy())
+        total = lambda v: (s := np.r_[0, np.cumsum(v[at])])[ends[1:]] - s[ends[:-1]]
+        return pa.StructArray.from_arrays([pa.array(np.diff(ends)), pa.array(total(best)), pa.array(total(counts))], ["n_links", "n_best", "count_sum"])
+
+    sums = F.arrow_udf(look, "n_links long, n_best long, count_sum long")
+    return known.withColumn("s", sums("links")).select("*", "s.n_links", "s.n_best", "s.count_sum").drop("s")
 
 
 #: Of a stretch, a text or a document.
@@ -197,8 +226,7 @@ def aligned(df: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, frequ
     pairs = link.groupBy("a", "b").agg(F.sum("n").alias("pair_count"))
     top = F.max("pair_count").over(Window.partitionBy("b"))
     pairs = pairs.select("a", "b", "pair_count", (c("pair_count") == top).cast("long").alias("best"))
-    sums = link.join(_light(pairs), ["a", "b"]).groupBy("key").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("pair_count").alias("count_sum"))
-    info = saved(known.drop("links").join(sums, "key").select("seg", "n", *FIGURES, "groups"))
+    info = saved(link_sums(known, pairs).select("seg", "n", *FIGURES, "groups"))
     forget(found)
 
     # every distinct text by its stretches: copies go before the shuffle

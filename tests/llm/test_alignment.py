@@ -97,6 +97,11 @@ def test_alignment_of_rare_stretches_by_shuffle(spark):
     compare_alignment(spark, rows, frequent=0)
 
 
+def test_link_counts_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "BROADCAST_ROWS", 3)
+    compare_alignment(spark, [(i, t) for i, t in enumerate(odd_texts()[:60])])
+
+
 def test_alignment_without_separable_rules(spark, monkeypatch):
     monkeypatch.setattr(alignment, "separable", lambda a, b: False)
     compare_alignment(spark, [(i, t) for i, t in enumerate(odd_texts()[:60])])
