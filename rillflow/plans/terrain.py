@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from rillflow.checkpoint import saved as cut
 from rillflow.functions.num import half_even
-from rillflow.operators import raster, stats, tiles
+from rillflow.operators import polygons, raster, stats, streams, tiles
 from rillflow.operators.raster import DIRECTIONS, ROW
 from rillflow.plans.adapters import sql, view
+from rillflow.plans.shapes import _PARTS_END, _parts_sql
 
 CELL = 5.0
 #: Cells that drain through a stream cell, at least.
@@ -128,18 +129,19 @@ _TWI = _TWI[: _TWI.index("SELECT r, c, coalesce")] + "SELECT g.r, g.c, round_eve
 def _streams(spark, sf_dir):
     c = F.col
     flow = cut(_drained(spark, sf_dir).select(raster.cell_id(c("r"), c("c")).alias("id"), raster.cell_id(c("down_r"), c("down_c")).alias("down"), "acc"))
-    return flow.drop("acc"), cut(flow.where(c("acc") >= STREAM).select("id"))
+    return flow, cut(flow.where(c("acc") >= STREAM).select("id"))
 
 
 def headwaters(spark, sf_dir):
-    return _rc(raster.headwaters(*_streams(spark, sf_dir)), "n_up", "head")
+    flow, found = _streams(spark, sf_dir)
+    return _rc(raster.headwaters(flow.drop("acc"), found), "n_up", "head")
 
 
-def _order(flow, streams):
+def _order(flow, found):
     from rillflow.operators import forest
 
-    edges = flow.select("id", "down").join(streams, "id").join(streams.withColumnRenamed("id", "down"), "down").select("id", "down")
-    return forest.strahler(edges, streams)
+    edges = flow.select("id", "down").join(found, "id").join(found.withColumnRenamed("id", "down"), "down").select("id", "down")
+    return forest.strahler(edges, found)
 
 
 def strahler_order(spark, sf_dir):
@@ -149,17 +151,68 @@ def strahler_order(spark, sf_dir):
 def subcatchment_labels(spark, sf_dir):
     from rillflow.operators import forest
 
-    flow, streams = _streams(spark, sf_dir)
-    marked = flow.join(streams.withColumn("stop", F.lit(True)), "id", "left").select("id", "down", F.coalesce("stop", F.lit(False)).alias("stop"))
+    flow, found = _streams(spark, sf_dir)
+    marked = flow.join(found.withColumn("stop", F.lit(True)), "id", "left").select("id", "down", F.coalesce("stop", F.lit(False)).alias("stop"))
     return _rc(forest.first_downstream(marked), F.expr(f"label div {ROW}").alias("label_r"), F.expr(f"label % {ROW}").alias("label_c"))
 
 
+def _network(spark, sf_dir):
+    """(flow, stream cells by segment, lines) of the streams."""
+    cells, c = _cells(spark, sf_dir), F.col
+    flow, found = _streams(spark, sf_dir)
+    g = raster.gradients(cells.withColumn("z", c("z") / 100), CELL)
+    slope = g.select(raster.cell_id(c("r"), c("c")).alias("id"), raster.slope_aspect(c("gx"), c("gy"))["slope"].alias("slope"))
+    on = cut(streams.segment_cells(flow, _order(flow, found)))
+    return flow, on, streams.stream_lines(on, flow.select("id", "acc").join(slope, "id"), CELL)
+
+
+def _at(id, name):
+    return [F.expr(f"{id} div {ROW}").alias(f"{name}_r"), F.expr(f"{id} % {ROW}").alias(f"{name}_c")]
+
+
+def stream_lines(spark, sf_dir):
+    """Streams as lines from heads and junctions on, with the junction's cell at the end."""
+    _, _, lines = _network(spark, sf_dir)
+    text = F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["r"].cast("string"), p["c"].cast("string"))), ",")
+    return lines.select(*_at("segment", "head"), "strahler_order", F.size("points").alias("n_points"), half_even(F.col("length"), 1).alias("length"), "acc", half_even(F.col("slope"), 2).alias("slope"), text.alias("line"))
+
+
 def downstream_links(spark, sf_dir):
-    """Zones by the zone one step past each cell that drains out of its own."""
-    cells = _cells(spark, sf_dir).select(raster.cell_id(F.col("r"), F.col("c")).alias("id"), "label")
-    flow = _flow(spark, sf_dir).select("id", "down").join(cells, "id")
-    out = flow.join(cells.select(F.col("id").alias("down"), F.col("label").alias("next")), "down").where("next <> label")
-    return out.groupBy("label", "next").agg(F.count("*").alias("n_cells"))
+    """Each segment by the one that lies a step past its outlet; null if none does."""
+    _, _, lines = _network(spark, sf_dir)
+    return lines.select(*_at("segment", "head"), *_at("next", "next"))
+
+
+def subcatchment_polygons(spark, sf_dir):
+    """The catchment of each segment: polygons of its cells, heights, and its line's figures."""
+    flow, on, lines = _network(spark, sf_dir)
+    c = F.col
+    label = cut(streams.painted(flow, on, lines).where("segment is not null"))
+    cells = _cells(spark, sf_dir).where("z is not null").select(raster.cell_id(c("r"), c("c")).alias("id"), "r", "c", "z").join(label, "id").select("r", "c", c("segment").alias("label"), "z")
+    cells = cut(cells)
+    rings = polygons.polygonize(cells).withColumn("perimeter", polygons.perimeter(c("shell"), c("holes")))
+    parts = rings.groupBy("label").agg(F.count("*").alias("n_parts"), F.sum(F.size("holes")).alias("n_holes"), F.sum("perimeter").cast("long").alias("perimeter"))
+    stats_of = cells.groupBy("label").agg(F.count("*").alias("n_cells"), F.min("z").alias("z_min"), F.max("z").alias("z_max"), half_even(F.sum("z") / F.count("*"), 2).alias("z_mean"))
+    line = lines.select(c("segment").alias("label"), "strahler_order", half_even(c("length"), 1).alias("length"))
+    return parts.join(stats_of, "label").join(line, "label").select(*_at("label", "head"), "n_parts", "n_holes", "perimeter", "n_cells", "z_min", "z_max", "z_mean", "strahler_order", "length")
+
+
+_ORDER = f"""sm AS MATERIALIZED (SELECT id, acc FROM acc WHERE acc >= {STREAM}),
+e AS MATERIALIZED (SELECT f.id, f.down FROM flow f JOIN sm a ON a.id = f.id JOIN sm b ON b.id = f.down),
+so(id, o) USING KEY (id) AS (SELECT id, 1::BIGINT FROM sm UNION
+  SELECT id, o FROM (SELECT id, was, list_max(l) + (len(list_filter(l, lambda v: v = list_max(l))) > 1)::BIGINT AS o
+    FROM (SELECT x.down AS id, any_value(q.o) AS was, list(k.o) AS l FROM (SELECT DISTINCT e.down FROM so JOIN e ON e.id = so.id) x JOIN e ch ON ch.down = x.down JOIN recurring.so k ON k.id = ch.id JOIN recurring.so q ON q.id = x.down GROUP BY x.down)) WHERE o > was),
+ord AS MATERIALIZED (SELECT id, o FROM so)"""
+_LINES = f"""{_ORDER}, nu AS (SELECT down AS id, count(*) AS n FROM e GROUP BY down),
+ins AS MATERIALIZED (SELECT e.id, e.down FROM e JOIN nu ON nu.id = e.down AND n = 1 JOIN ord a ON a.id = e.id JOIN ord b ON b.id = e.down AND b.o = a.o),
+walk(head, id, k) AS (SELECT id, id, 1 FROM sm WHERE id NOT IN (SELECT down FROM ins) UNION ALL SELECT head, ins.down, k + 1 FROM walk JOIN ins ON ins.id = walk.id),
+own AS MATERIALIZED (SELECT * FROM walk), tip AS (SELECT head, arg_max(own.id, k) AS outlet, max(k) AS k FROM own GROUP BY head),
+jn AS MATERIALIZED (SELECT head, outlet, e.down AS jid, k FROM tip LEFT JOIN e ON e.id = outlet),
+pts AS MATERIALIZED (SELECT head, id, k FROM own UNION ALL SELECT head, jid, k + 1 FROM jn WHERE jid IS NOT NULL),
+ln AS MATERIALIZED (SELECT head, count(*) AS n_points, string_agg((id // 1000000) || ' ' || (id % 1000000), ',' ORDER BY k) AS line, sum(st) * 5 AS length
+  FROM (SELECT *, sqrt((pow(id // 1000000 - lag(id // 1000000) OVER w, 2) + pow(id % 1000000 - lag(id % 1000000) OVER w, 2))::DOUBLE) AS st FROM pts WINDOW w AS (PARTITION BY head ORDER BY k)) GROUP BY head HAVING count(*) > 1),
+sg AS MATERIALIZED (SELECT own.id, own.head FROM own JOIN ln USING (head)),
+nx AS (SELECT ln.head, sg.head AS next FROM ln JOIN jn USING (head) LEFT JOIN sg ON sg.id = jid)"""
 
 
 def connected_depressions(spark, sf_dir):
@@ -224,12 +277,27 @@ QUERIES = {
         headwaters,
         f"{_ACC}, s AS MATERIALIZED (SELECT id FROM acc WHERE acc >= {STREAM}), u AS (SELECT down AS id, count(*) AS n FROM flow WHERE id IN (FROM s) AND down IN (FROM s) GROUP BY down) SELECT s.id // 1000000 AS r, s.id % 1000000 AS c, coalesce(n, 0) AS n_up, n IS NULL AS head FROM s LEFT JOIN u ON u.id = s.id",
     ),
-    "strahler_order": (strahler_order, None),
+    "strahler_order": (strahler_order, f"{_ACC}, {_ORDER} SELECT id // 1000000 AS r, id % 1000000 AS c, o AS strahler_order FROM ord"),
+    "stream_lines": (
+        stream_lines,
+        _TWI[: _TWI.rindex("SELECT g.r, g.c")] + f""", {_LINES}, sl AS (SELECT r * 1000000 + c AS id, coalesce(100 * sqrt(gx * gx + gy * gy), 0) AS slope FROM g)
+SELECT ln.head // 1000000 AS head_r, ln.head % 1000000 AS head_c, o AS strahler_order, n_points::INT AS n_points, round_even(length * 10, 0) / 10 AS length, acc, round_even(slope * 100, 0) / 100 AS slope, line
+FROM ln JOIN ord ON ord.id = ln.head JOIN jn USING (head) JOIN acc ON acc.id = outlet JOIN (SELECT head, avg(slope) AS slope FROM own JOIN sl USING (id) GROUP BY head) USING (head)""",
+    ),
+    "subcatchment_polygons": (
+        subcatchment_polygons,
+        f"""{_ACC}, {_LINES}, w(id, loc, head) AS (SELECT flow.id, flow.id, sg.head FROM flow LEFT JOIN sg ON sg.id = flow.id UNION ALL
+  SELECT w.id, f.down, sg.head FROM w JOIN flow f ON f.id = w.loc LEFT JOIN sg ON sg.id = f.down WHERE w.head IS NULL AND f.down IS NOT NULL),
+lb AS MATERIALIZED (SELECT id, head AS label FROM w WHERE head IS NOT NULL), {_parts_sql('SELECT id // 1000000 AS r, id % 1000000 AS c, label FROM lb')[: -len(_PARTS_END)]},
+pt AS (SELECT label, count(*) AS n_parts, sum((1 - (q1 - q3 + 2 * qd) // 4))::BIGINT AS n_holes, sum(perimeter)::BIGINT AS perimeter FROM s2 JOIN q USING (label, root) GROUP BY label),
+st AS (SELECT lb.label, count(*) AS n_cells, min(z) AS z_min, max(z) AS z_max, round_even(sum(z)::BIGINT / count(*) * 100, 0) / 100 AS z_mean FROM lb JOIN a_cells ON r * 1000000 + c = id GROUP BY lb.label)
+SELECT label // 1000000 AS head_r, label % 1000000 AS head_c, n_parts, n_holes, perimeter, n_cells, z_min, z_max, z_mean, o AS strahler_order, round_even(length * 10, 0) / 10 AS length FROM pt JOIN st USING (label) JOIN ln ON ln.head = label JOIN ord ON ord.id = label""",
+    ),
     "subcatchment_labels": (
         subcatchment_labels,
         f"{_ACC}, s AS MATERIALIZED (SELECT id FROM acc WHERE acc >= {STREAM}), w(id, loc, stop) AS (SELECT id, id, id IN (FROM s) FROM flow UNION ALL SELECT w.id, f.down, f.down IN (FROM s) FROM w JOIN flow f ON f.id = w.loc WHERE NOT w.stop AND f.down IS NOT NULL) SELECT f.r, f.c, max(loc) FILTER (stop) // 1000000 AS label_r, max(loc) FILTER (stop) % 1000000 AS label_c FROM flow f JOIN w ON w.id = f.id GROUP BY f.r, f.c",
     ),
-    "downstream_links": (downstream_links, f"{_FLOW} SELECT a.label, b.label AS next, count(*) AS n_cells FROM flow f JOIN a_cells a ON a.r = f.r AND a.c = f.c JOIN a_cells b ON b.r = f.down_r AND b.c = f.down_c WHERE a.label <> b.label GROUP BY ALL"),
+    "downstream_links": (downstream_links, f"{_ACC}, {_LINES} SELECT head // 1000000 AS head_r, head % 1000000 AS head_c, next // 1000000 AS next_r, next % 1000000 AS next_c FROM nx"),
     "connected_depressions": (connected_depressions, _WET),
     "mosaic_first_valid": (mosaic_first_valid, _MOSAIC),
     "raster_resample": (raster_resample, f"{sql('a_cells')} SELECT r // 4 AS r, c // 4 AS c, round_even(sum(z)::BIGINT / count(z) * 10000, 0) / 10000 AS z FROM a_cells GROUP BY ALL"),
