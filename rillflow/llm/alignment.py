@@ -18,6 +18,7 @@ bounded number, by a broadcast, the others by a shuffle. For other tokenizers a
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -190,6 +191,30 @@ def _frequent(known: DataFrame, bound: int) -> int:
     return 0
 
 
+def _compose(given):
+    """Figures and digest of texts from their stretches: frequent ones are looked up, the others come with their places."""
+    held: list = []
+
+    def run(words: pa.Array, rest: pa.Array) -> pa.Array:
+        if not held:
+            table = given.value
+            held.extend([{w: i for i, w in enumerate(table.column("seg").to_pylist())}, table.column("groups").to_pylist(), np.stack([table.column(x).to_numpy() for x in FIGURES], axis=1)])
+        at, groups, figures = held
+        out = []
+        for i in range(len(words)):
+            places = [at.get(w, -1) for w in words[i].as_py()]
+            text = [groups[k] if k >= 0 else None for k in places]
+            total = figures[[k for k in places if k >= 0]].sum(axis=0).tolist()
+            for r in rest[i].as_py() or ():
+                text[r["pos"]] = r["groups"]
+                total = [x + r[f] for x, f in zip(total, FIGURES, strict=True)]
+            out.append((*total, hashlib.sha256(";".join(text).encode()).hexdigest()))
+        columns = list(zip(*out, strict=True)) or [[]] * (len(FIGURES) + 1)
+        return pa.StructArray.from_arrays([*(pa.array(v, pa.int64()) for v in columns[:-1]), pa.array(columns[-1], pa.string())], [*FIGURES, "groups_sha256"])
+
+    return run
+
+
 def aligned(df: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for each row of (doc_id, text) of ``df``.
 
@@ -233,18 +258,14 @@ def aligned(df: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, frequ
     texts = full.groupBy("h1", "h2").agg(F.first("text").alias("text"))
     if lost is not None:
         texts = texts.join(_light(lost), ["h1", "h2"], "left_anti")
-    parts = texts.select("h1", "h2", F.posexplode(_stretches(c("text"), whole)).alias("pos", "seg"))
     least = _frequent(info, frequent)
-    often = F.broadcast(info.where(c("n") >= least).drop("n"))
-    seldom = info.where(c("n") < least).drop("n")
-    figures = [F.sum(x).alias(x) for x in FIGURES]
-    piece = F.collect_list(F.when(c("groups").isNotNull(), F.struct("pos", "groups"))).alias("pieces")
-    base = parts.join(often, "seg", "left").groupBy("h1", "h2").agg(*figures, piece)
-    rest = parts.join(often.select("seg"), "seg", "left_anti").join(seldom, "seg").groupBy("h1", "h2").agg(*(F.sum(x).alias(f"{x}_2") for x in FIGURES), piece.alias("pieces_2"))
+    often, seldom = saved(info.where(c("n") >= least).drop("n")), info.where(c("n") < least).drop("n")
+    words = texts.select("h1", "h2", _stretches(c("text"), whole).alias("words"))
+    parts = words.select("h1", "h2", F.posexplode("words").alias("pos", "seg")).join(F.broadcast(often.select("seg")), "seg", "left_anti")
+    rest = parts.join(seldom, "seg").groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("pos", *FIGURES, "groups"))).alias("rest"))
+    compose = F.arrow_udf(_compose(spark.sparkContext.broadcast(often.toArrow())), ", ".join(f"{x} long" for x in FIGURES) + ", groups_sha256 string")
+    done = saved(words.join(rest, ["h1", "h2"], "left").select("h1", "h2", compose("words", "rest").alias("d")).select("h1", "h2", "d.*"))
     zero = lambda x: F.coalesce(x, F.lit(0).cast("long"))
-    order = F.array_sort(F.concat("pieces", F.coalesce("pieces_2", F.array().cast("array<struct<pos: int, groups: string>>"))))
-    digest = F.sha2(F.array_join(F.transform(order, lambda x: x["groups"]), ";"), 256)
-    done = saved(base.join(rest, ["h1", "h2"], "left").select("h1", "h2", *((zero(x) + zero(f"{x}_2")).alias(x) for x in FIGURES), digest.alias("groups_sha256")))
     return rows.select("doc_id", "h1", "h2").join(done, ["h1", "h2"], "left").select("doc_id", *(zero(x).alias(x) for x in FIGURES), F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
 
 
