@@ -197,19 +197,19 @@ def outline(cells: DataFrame) -> DataFrame:
     return each.groupBy("label").agg(best.alias("b")).select("label", "b.*")
 
 
-def ring_sides(polygons: DataFrame) -> DataFrame:
-    """(key, part, ax, ay, bx, by) of polygons (key, part, shell, holes), whose rings may turn either way."""
+def ring_sides(polygons: DataFrame, order: bool = False) -> DataFrame:
+    """(key, part, ax, ay, bx, by) of polygons (key, part, shell, holes), whose rings may turn either way; with ``order`` ring (0 the shell) and pos, too."""
     c = F.col
     turn = lambda p, left: F.when((twice_area(p) > 0) == F.lit(left), p).otherwise(F.reverse(p))
     rings = F.concat(F.array(turn(c("shell"), True)), F.transform("holes", lambda h: turn(h, False)))
-    each = polygons.select("key", "part", F.explode(rings).alias("p"))
+    each = polygons.select("key", "part", F.posexplode(rings).alias("ring", "p"))
     after = F.concat(F.slice("p", F.lit(2), F.size("p") - 1), F.slice("p", 1, 1))
-    pairs = each.select("key", "part", F.explode(F.arrays_zip(c("p").alias("a"), after.alias("b"))).alias("s"))
-    return pairs.select("key", "part", c("s.a.x").alias("ax"), c("s.a.y").alias("ay"), c("s.b.x").alias("bx"), c("s.b.y").alias("by")).where("ax <> bx or ay <> by")
+    pairs = each.select("key", "part", "ring", F.posexplode(F.arrays_zip(c("p").alias("a"), after.alias("b"))).alias("pos", "s"))
+    return pairs.select("key", "part", *(("ring", "pos") if order else ()), c("s.a.x").alias("ax"), c("s.a.y").alias("ay"), c("s.b.x").alias("bx"), c("s.b.y").alias("by")).where("ax <> bx or ay <> by")
 
 
-def noded(sides: DataFrame, size: int = TILE) -> DataFrame:
-    """``sides`` cut at the end points of the key's other sides that lie on them, so that neighbours share whole sides.
+def noded(sides: DataFrame, size: int = TILE, more: tuple[str, ...] = ()) -> DataFrame:
+    """``sides`` (key, part, ax, ay, bx, by, more) cut at the end points of the key's other sides that lie on them, so that neighbours share whole sides; with ``more``, nth tells the pieces of a side in order.
 
     Points meet sides in grid cells of ``size``; long sides pass many cells, so the size should follow their length.
     """
@@ -229,7 +229,8 @@ def noded(sides: DataFrame, size: int = TILE) -> DataFrame:
     way = F.concat(F.array(a), F.when(a < b, inner).otherwise(F.reverse(inner)), F.array(b))
     each = whole.join(cuts, "side", "left").withColumn("way", way)
     steps = F.arrays_zip(F.slice("way", F.lit(1), F.size("way") - 1).alias("a"), F.slice("way", F.lit(2), F.size("way") - 1).alias("b"))
-    return each.select("key", "part", F.explode(steps).alias("s")).select("key", "part", c("s.a.x").alias("ax"), c("s.a.y").alias("ay"), c("s.b.x").alias("bx"), c("s.b.y").alias("by"))
+    nth = ["nth"] if more else []
+    return each.select("key", "part", *more, F.posexplode(steps).alias("nth", "s")).select("key", "part", *more, *nth, c("s.a.x").alias("ax"), c("s.a.y").alias("ay"), c("s.b.x").alias("bx"), c("s.b.y").alias("by"))
 
 
 def dissolve(polygons: DataFrame, size: int = TILE) -> DataFrame:

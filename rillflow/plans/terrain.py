@@ -35,8 +35,8 @@ def hypsometric_cells(spark, sf_dir):
 
 
 _CURVE = f"""{sql("a_cells")}, v AS MATERIALIZED (SELECT label, z FROM a_cells WHERE z IS NOT NULL), t AS (SELECT label, min(z) AS low, max(z) AS high, count(*) AS total FROM v GROUP BY label),
-k AS (SELECT t.label, step, total, low, high FROM t, range(0, 21) AS r(step)),
-n AS (SELECT k.label, step, total, count(*) FILTER ((z - low) * 20 >= step * (high - low)) AS above FROM k JOIN v USING (label) GROUP BY ALL),
+k AS (SELECT t.label, step, total, low, high FROM t, range(0, 21) AS r(step) WHERE low < high OR step IN (0, 20)),
+n AS (SELECT k.label, step, total, count(*) FILTER ((z - low) * 20 >= step * (high - low) AND (low < high OR step = 0)) AS above FROM k JOIN v USING (label) GROUP BY ALL),
 curve AS (SELECT label, step::INT AS step, step / 20 AS height, above / total AS fraction FROM n)"""
 
 

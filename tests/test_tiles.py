@@ -83,7 +83,7 @@ def rough(rng, rows, cols, top, gaps=0.03):
     return {(r, c): None if rng.random() < gaps else float(rng.randrange(top)) for r in range(-3, rows) for c in range(-4, cols)}
 
 
-@pytest.mark.parametrize(("size", "top"), [(4, 1000), (5, 6), (512, 50)])
+@pytest.mark.parametrize(("size", "top"), [(4, 1000), (5, 6)])
 def test_flow_matches_whole_grid(spark, size, top):
     check(spark, rough(random.Random(size), 17, 23, top), size)
 
