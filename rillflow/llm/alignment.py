@@ -41,7 +41,7 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: What is broadcast has this size at most, each.
 MODEL_BYTES = 64 << 20
 #: Stretches whose results are broadcast, at most; the others are joined by a shuffle.
-FREQUENT = 400_000
+FREQUENT = 700_000
 #: Added to the ids of the second tokenizer.
 SIDE = 1 << 30
 #: Bytes of text encoded at once.
@@ -191,6 +191,12 @@ def _frequent(known: DataFrame, bound: int) -> int:
     return 0
 
 
+def _counts(groups: str) -> tuple[int, int, int]:
+    """Tokens of both sides and groups of a text of groups."""
+    sides = [g.split("|") for g in groups.split(";")]
+    return sum(a.count(",") + 1 for a, _ in sides), sum(b.count(",") + 1 for _, b in sides), len(sides)
+
+
 def _compose(given):
     """Figures and digest of texts from their stretches: frequent ones are looked up, the others come with their places."""
     held: list = []
@@ -207,7 +213,9 @@ def _compose(given):
             total = figures[[k for k in places if k >= 0]].sum(axis=0).tolist()
             for r in rest[i].as_py() or ():
                 text[r["pos"]] = r["groups"]
-                total = [x + r[f] for x, f in zip(total, FIGURES, strict=True)]
+                n_a, n_b, n_groups = _counts(r["groups"])
+                # each group begins with an end of both sides, and every end makes a link
+                total = [x + y for x, y in zip(total, (n_a, n_b, n_groups, n_a + n_b - n_groups, r["n_best"], r["count_sum"]), strict=True)]
             out.append((*total, hashlib.sha256(";".join(text).encode()).hexdigest()))
         columns = list(zip(*out, strict=True)) or [[]] * (len(FIGURES) + 1)
         return pa.StructArray.from_arrays([*(pa.array(v, pa.int64()) for v in columns[:-1]), pa.array(columns[-1], pa.string())], [*FIGURES, "groups_sha256"])
@@ -262,7 +270,7 @@ def aligned(df: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, frequ
     often, seldom = saved(info.where(c("n") >= least).drop("n")), info.where(c("n") < least).drop("n")
     words = texts.select("h1", "h2", _stretches(c("text"), whole).alias("words"))
     parts = words.select("h1", "h2", F.posexplode("words").alias("pos", "seg")).join(F.broadcast(often.select("seg")), "seg", "left_anti")
-    rest = parts.join(seldom, "seg").groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("pos", *FIGURES, "groups"))).alias("rest"))
+    rest = parts.join(seldom, "seg").groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("pos", "n_best", "count_sum", "groups"))).alias("rest"))
     compose = F.arrow_udf(_compose(spark.sparkContext.broadcast(often.toArrow())), ", ".join(f"{x} long" for x in FIGURES) + ", groups_sha256 string")
     done = saved(words.join(rest, ["h1", "h2"], "left").select("h1", "h2", compose("words", "rest").alias("d")).select("h1", "h2", "d.*"))
     zero = lambda x: F.coalesce(x, F.lit(0).cast("long"))
