@@ -52,6 +52,11 @@ def to_web(lon: Column, lat: Column) -> tuple[Column, Column]:
     return A * F.radians(lon), A * F.log(F.tan(math.pi / 4 + F.radians(lat) / 2))
 
 
+def from_web(x: Column, y: Column) -> tuple[Column, Column]:
+    """(lon, lat) of web Mercator metres."""
+    return F.degrees(x / A), F.degrees(2 * F.atan(F.exp(y / A)) - math.pi / 2)
+
+
 def tile_box(z: int, x: int, y: int) -> tuple[float, float, float, float]:
     """Web Mercator box of an XYZ tile."""
     half = math.pi * A

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from rillflow.checkpoint import saved as cut
 from rillflow.functions.num import half_even
-from rillflow.operators import polygons, raster, stats, streams, tiles
+from rillflow.functions import crs
+from rillflow.operators import polygons, raster, stats, streams, tiles, warp
 from rillflow.operators.raster import DIRECTIONS, ROW
 from rillflow.plans.adapters import sql, view
 from rillflow.plans.shapes import _PARTS_END, _parts_sql
@@ -256,7 +257,29 @@ _PROFILE = f"""{sql("a_cells")}, l AS (SELECT c_custkey AS id, c_custkey % 90 AS
 s AS (SELECT id, step::INT AS step, r1 + trunc((r2 - r1) * step / 10)::BIGINT AS r, c1 + trunc((c2 - c1) * step / 10)::BIGINT AS c FROM l, range(0, 11) AS q(step))
 SELECT id, step, coalesce(z, 0)::BIGINT AS z, z IS NULL AS missing FROM s LEFT JOIN a_cells a ON a.r = s.r AND a.c = s.c"""
 
+#: The cells as a raster in degrees, and its cells in web Mercator metres.
+DEGREE, METRES = 0.001, 170.0
+
+
+def tile_warp(spark, sf_dir):
+    """The raster, taken to lie in degrees, in web Mercator."""
+    cells = _cells(spark, sf_dir)
+    rows = cells.agg(F.max("r")).first()[0] + 1
+    source = warp.Grid(19.0, 52.0, DEGREE, rows, 100)
+    target = warp.target_grid(cells, source, crs.to_web, METRES)
+    return warp.warp(cells, source, target, crs.from_web).select("r", "c", half_even(F.col("z"), 3).alias("z"))
+
+
+_WEB = lambda lat: f"6378137.0::DOUBLE * ln(tan(pi() / 4 + radians(({lat})::DOUBLE) / 2))"
+_WARP = f"""{sql("a_cells")}, k AS (SELECT max(r) + 1 AS n, 6378137.0::DOUBLE * radians(19.0::DOUBLE) AS x0, 6378137.0::DOUBLE * radians(19.1::DOUBLE) AS x1, {_WEB('52')} AS y0, {_WEB('52 + (max(r) + 1) * 0.001::DOUBLE')} AS y1 FROM a_cells),
+g AS (SELECT *, ceil((y1 - y0) / 170)::BIGINT AS nr, ceil((x1 - x0) / 170)::BIGINT AS nc FROM k), t AS (SELECT tr, tc, n, x0 + (tc + 0.5) * 170 AS x, y0 + (nr - tr - 0.5) * 170 AS y FROM g, range(0, nr) AS a(tr), range(0, nc) AS b(tc)),
+p AS (SELECT tr, tc, n, (52 + n * 0.001::DOUBLE - degrees(2 * atan(exp(y / 6378137.0::DOUBLE)) - pi() / 2)) / 0.001::DOUBLE - 0.5 AS rr, (degrees(x / 6378137.0::DOUBLE) - 19) / 0.001::DOUBLE - 0.5 AS cc FROM t),
+q AS (SELECT tr, tc, rr - floor(rr) AS fr, cc - floor(cc) AS fc, floor(rr)::BIGINT AS r0, floor(cc)::BIGINT AS c0 FROM p WHERE rr >= 0 AND rr <= n - 1 AND cc >= 0 AND cc <= 99)
+SELECT tr AS r, tc AS c, round_even((sum(z * CASE WHEN a.r = r0 THEN 1 - fr ELSE fr END * CASE WHEN a.c = c0 THEN 1 - fc ELSE fc END)) * 1000, 0) / 1000 AS z FROM q JOIN a_cells a ON a.r IN (r0, r0 + 1) AND a.c IN (c0, c0 + 1) WHERE z IS NOT NULL GROUP BY tr, tc HAVING count(*) = 4"""
+
+
 QUERIES = {
+    "tile_warp": (tile_warp, _WARP),
     "zonal_stats": (zonal_stats, f"{sql('a_cells')} SELECT label, count(*) AS n_cells, count(z) AS n_valid, sum(z)::BIGINT AS z_sum, min(z) AS z_min, max(z) AS z_max, round_even(sum(z)::BIGINT / count(z) * 10000, 0) / 10000 AS z_mean FROM a_cells GROUP BY label"),
     "zonal_histogram": (
         zonal_histogram,
