@@ -46,6 +46,8 @@ FREQUENT = 700_000
 SIDE = 1 << 30
 #: Bytes of text encoded at once.
 CHUNK = 1 << 20
+#: Stretches of texts looked up at once.
+WORDS = 500_000
 #: Where texts are cut into stretches: between a letter or digit and a sign, space or control character, and after a line
 #: end inside a text without other white space beside it.
 _CUT = r"(?<=[\p{L}\p{Nd}])(?=[\p{P}\p{S}\p{Z}\p{Cc}])|(?<=[\p{L}\p{M}\p{N}\p{P}\p{S}]\n)(?=[\p{L}\p{N}\p{P}\p{S}])"
@@ -191,34 +193,39 @@ def _frequent(known: DataFrame, bound: int) -> int:
     return 0
 
 
-def _counts(groups: str) -> tuple[int, int, int]:
-    """Tokens of both sides and groups of a text of groups."""
-    sides = [g.split("|") for g in groups.split(";")]
-    return sum(a.count(",") + 1 for a, _ in sides), sum(b.count(",") + 1 for _, b in sides), len(sides)
-
-
 def _compose(given):
-    """Figures and digest of texts from their stretches: frequent ones are looked up, the others come with their places."""
-    held: list = []
+    """Figures and digest of texts from their stretches: frequent ones are looked up, the others come in the order of their places."""
 
     def run(words: pa.Array, rest: pa.Array) -> pa.Array:
-        if not held:
-            table = given.value
-            held.extend([{w: i for i, w in enumerate(table.column("seg").to_pylist())}, table.column("groups").to_pylist(), np.stack([table.column(x).to_numpy() for x in FIGURES], axis=1)])
-        at, groups, figures = held
-        out = []
-        for i in range(len(words)):
-            places = [at.get(w, -1) for w in words[i].as_py()]
-            text = [groups[k] if k >= 0 else None for k in places]
-            total = figures[[k for k in places if k >= 0]].sum(axis=0).tolist()
-            for r in rest[i].as_py() or ():
-                text[r["pos"]] = r["groups"]
-                n_a, n_b, n_groups = _counts(r["groups"])
-                # each group begins with an end of both sides, and every end makes a link
-                total = [x + y for x, y in zip(total, (n_a, n_b, n_groups, n_a + n_b - n_groups, r["n_best"], r["count_sum"]), strict=True)]
-            out.append((*total, hashlib.sha256(";".join(text).encode()).hexdigest()))
-        columns = list(zip(*out, strict=True)) or [[]] * (len(FIGURES) + 1)
-        return pa.StructArray.from_arrays([*(pa.array(v, pa.int64()) for v in columns[:-1]), pa.array(columns[-1], pa.string())], [*FIGURES, "groups_sha256"])
+        parts = slices(pc.list_value_length(words).to_pylist(), WORDS)
+        kind = pa.struct([*((x, pa.int64()) for x in FIGURES), ("groups_sha256", pa.string())])
+        return pa.concat_arrays([pa.array([], kind), *(some(words[part], rest[part]) for part in parts)])
+
+    def some(words: pa.Array, rest: pa.Array) -> pa.Array:
+        table = given.value
+        seg, groups = (table.column(x).combine_chunks() for x in ("seg", "groups"))
+        figures = np.stack([table.column(x).to_numpy() for x in FIGURES], axis=1)
+        flat, ends = words.flatten(), np.r_[0, np.cumsum(pc.list_value_length(words).to_numpy())]
+        at = pc.index_in(flat, value_set=seg)
+        seldom = pc.is_null(at)
+        more = rest.flatten()
+        text = pc.take(groups, at)
+        values = np.zeros((len(flat), len(FIGURES)), np.int64)
+        known = ~seldom.to_numpy(zero_copy_only=False)
+        values[known] = figures[pc.drop_null(at).to_numpy()]
+        if len(more):
+            own = more.field("groups")
+            text = pc.replace_with_mask(text, seldom, own)
+            n_groups = pc.add(pc.count_substring(own, ";"), 1).to_numpy()
+            n_a = pc.count_substring(pc.replace_substring_regex(own, r"\|[0-9,]*", ""), ",").to_numpy() + n_groups
+            n_b = pc.count_substring(own, ",").to_numpy() + 2 * n_groups - n_a
+            # each group begins with an end of both sides, and every end makes a link
+            values[~known] = np.stack([n_a, n_b, n_groups, n_a + n_b - n_groups, more.field("n_best").to_numpy(), more.field("count_sum").to_numpy()], axis=1)
+        total = np.r_[np.zeros((1, len(FIGURES)), np.int64), np.cumsum(values, axis=0)]
+        sums = total[ends[1:]] - total[ends[:-1]]
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), text), ";")
+        digests = pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in whole], pa.string())
+        return pa.StructArray.from_arrays([*(pa.array(sums[:, k]) for k in range(len(FIGURES))), digests], [*FIGURES, "groups_sha256"])
 
     return run
 

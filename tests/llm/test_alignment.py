@@ -98,6 +98,7 @@ def test_alignment_of_rare_stretches_by_shuffle(spark):
 
 
 def test_link_counts_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "WORDS", 50)
     monkeypatch.setattr(alignment, "BROADCAST_ROWS", 3)
     compare_alignment(spark, [(i, t) for i, t in enumerate(odd_texts()[:60])])
 
