@@ -3,8 +3,8 @@
 A page becomes the sequence of its leaf blocks. A block is described by its hashed tag path
 (tags with their classes and ids), its hashed words and a few measures; two numpy LSTMs read
 the sequence from both ends, so that each block is classified in the context of its page.
-The network is trained on a bounded sample of pages whose own markup tells main text from
-the rest, varied by hiding that markup and by adding the usual kinds of boilerplate.
+The network is trained on a bounded sample of sections of pages whose own markup tells main
+text from the rest, varied by hiding that markup and by adding the usual kinds of boilerplate.
 """
 
 from __future__ import annotations
@@ -21,19 +21,22 @@ from pyspark.sql import functions as F
 
 from rillflow.llm.common import bounded_sample, slices, table
 
-#: Pages that the network is trained on, at most; longer ones than so many characters are not picked.
-TRAIN_PAGES, TRAIN_CHARS = 240, 200_000
+#: Sections that the network is trained on, at most, and consecutive blocks of each.
+TRAIN_SECTIONS, TRAIN_BLOCKS = 240, 200
+#: Words of a training block that may stand in made-up boilerplate.
+SNIPPET = 60
 PATH, WORDS, MEASURES, HIDDEN = 96, 16, 6, 16
-EPOCHS, BATCH, RATE = 14, 24, 0.01
+#: Steps of training, however many pages there are to learn from.
+STEPS, BATCH, RATE = 420, 24, 0.01
 CHUNK = 1 << 21
 
 _BLOCK = frozenset(
-    "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose contents are no text of the page.
-_DROP = frozenset("script style noscript template title textarea select option button svg datalist".split())
-_CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
+_DROP = frozenset("script style template title textarea".split())
+_CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+[^>]*+)>?|[^<]++|<""", re.S)
 _NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
@@ -75,8 +78,8 @@ def leaves(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in _DROP:
             if not m["end"] and not m["attrs"].endswith("/"):
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                # a form control that is never closed hides no page
-                at = close.end() if close else len(page) if tag in ("script", "style", "title", "textarea") else at
+                # a template that is never closed hides no page
+                at = close.end() if close else at if tag == "template" else len(page)
             continue
         if tag not in _BLOCK:
             if tag == "a":
@@ -122,32 +125,44 @@ def guessed(block: tuple[tuple[str, ...], str, int]) -> int | None:
     return 1 if len(text) >= 60 and links < 0.3 * len(text) else None
 
 
-def describe(blocks: list[tuple[tuple[str, ...], str, int]], known: dict[str, int]) -> np.ndarray:
-    """Input rows of the network. known: cache of word hashes."""
-    x = np.zeros((len(blocks), PATH + WORDS + MEASURES))
-    for i, (path, text, links) in enumerate(blocks):
+def measures(text: str, links: int, known: dict[str, int]) -> np.ndarray:
+    """What the network reads of a block's whole text. known: cache of word hashes."""
+    words = text.split(" ")
+    hashes = []
+    for w in words:
+        h = known.get(w)
+        if h is None:
+            if len(known) > 200_000:
+                known.clear()
+            h = known[w] = zlib.crc32(w.lower().encode()) % (2 * WORDS)
+        hashes.append(h)
+    bag = np.bincount(hashes, minlength=2 * WORDS)
+    bag = (bag[:WORDS] - bag[WORDS:]).astype(float)
+    n = len(text)
+    return np.concatenate([bag / (1 + 2 * np.sqrt((bag**2).sum())), (np.log1p(n) / 5, links / n, text.count(".") / len(words), text.count(",") / len(words))])
+
+
+def inputs(rows: list[tuple[tuple[str, ...], np.ndarray]], first: int = 0, total: int | None = None) -> np.ndarray:
+    """Input rows of the network for consecutive (path, measures) of a page of ``total`` blocks, from its ``first`` on."""
+    x = np.zeros((len(rows), PATH + WORDS + MEASURES))
+    for i, (path, said) in enumerate(rows):
         for depth, p in enumerate(path):
             for key in (p, "leaf" + p if depth == len(path) - 1 else p):
                 h = zlib.crc32(key.encode())
                 x[i, h % PATH] += 1.0 if h & 1 << 20 else -1.0
-        words = text.split(" ")
-        hashes = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                if len(known) > 200_000:
-                    known.clear()
-                h = known[w] = zlib.crc32(w.lower().encode()) % (2 * WORDS)
-            hashes.append(h)
-        bag = np.bincount(hashes, minlength=2 * WORDS)
-        bag = (bag[:WORDS] - bag[WORDS:]).astype(float)
-        x[i, PATH : PATH + WORDS] = bag / (1 + 2 * np.sqrt((bag**2).sum()))
-        n = len(text)
-        x[i, PATH + WORDS :] = (np.log1p(n) / 5, links / n, text.count(".") / len(words), text.count(",") / len(words), i / 50 if i < 50 else 1.0, (len(blocks) - i) / 50 if len(blocks) - i < 50 else 1.0)
+        x[i, PATH:-2] = said
     np.clip(x[:, :PATH], -2, 2, out=x[:, :PATH])
+    at = first + np.arange(len(rows))
+    x[:, -2] = np.minimum(at / 50, 1.0)
+    x[:, -1] = np.minimum(((len(rows) if total is None else total) - at) / 50, 1.0)
     return x
 
 
+def describe(blocks: list[tuple[tuple[str, ...], str, int]], known: dict[str, int]) -> np.ndarray:
+    """Input rows of the network for all blocks of a page."""
+    return inputs([(path, measures(text, links, known)) for path, text, links in blocks])
+
+
 def start(seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     d = PATH + WORDS + MEASURES
@@ -233,43 +248,68 @@ def gradients(model: dict[str, np.ndarray], x: np.ndarray, live: np.ndarray, y:
     return out
 
 
-def lessons(pages: list[str], seed: int = 3) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(inputs, labels, weights) of training pages: as they are, with the telling tags hidden, and with boilerplate added."""
+#: A section: place of its first block, blocks of the page, and (path, measures, label, some words) of each.
+Section = tuple[int, int, list[tuple[tuple[str, ...], np.ndarray, int | None, str]]]
+
+
+def sections(page: str | None, pick: int = 0, count: int = 1, size: int = TRAIN_BLOCKS) -> list[Section]:
+    """``count`` sections of a page at most, from the ``pick``-th on and counted around: ``size`` blocks each, described by their whole texts."""
+    blocks, known = leaves(page), {}
+    labels = [told(b[0]) for b in blocks]
+    if 1 not in labels:
+        labels = [guessed(b) if y is None else y for b, y in zip(blocks, labels, strict=True)]
+    every, out = -(-len(blocks) // size), []
+    for k in range(min(count, every)):
+        first = (pick + k) % every * size
+        part = slice(first, first + size)
+        rows = [(path, measures(text, links, known), y, " ".join(text.split(" ", SNIPPET)[:SNIPPET])) for (path, text, links), y in zip(blocks[part], labels[part], strict=True)]
+        out.append((first, len(blocks), rows))
+    return out
+
+
+def lessons(taught: list[Section], seed: int = 3) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(inputs, labels, weights) of training sections: as they are, with the telling tags hidden, and with boilerplate added.
+
+    If no block of all is told or guessed to be main text, all are that aren't known to be the rest.
+    """
     rng = np.random.default_rng(seed)
     found, known = [], {}
-    parsed = [[(b, told(b[0])) for b in leaves(p)] for p in pages]
-    parsed = [page if any(y == 1 for _, y in page) else [(b, guessed(b) if y is None else y) for b, y in page] for page in parsed]
-    prose = [b[1] for page in parsed for b, y in page if y == 1] or [b[1] for page in parsed for b, _ in page]
+    if not any(y == 1 for *_, rows in taught for _, _, y, _ in rows):
+        taught = [(first, total, [(path, said, 1 if y is None else y, some) for path, said, y, some in rows]) for first, total, rows in taught]
+    prose = [r[3] for *_, rows in taught for r in rows if r[2] == 1] or [r[3] for *_, rows in taught for r in rows]
     names = sorted(_REST_NAMES)
 
-    def extra() -> tuple[tuple[tuple[str, ...], str, int], int]:
-        text = " ".join(prose[rng.integers(len(prose))].split(" ")[: int(rng.integers(2, 60))])
+    def extra() -> tuple[tuple[str, ...], np.ndarray, int]:
+        text = " ".join(prose[rng.integers(len(prose))].split(" ")[: int(rng.integers(2, SNIPPET))])
         kind = rng.integers(3)
         tag = ("<aside", "<form", "<header", "<nav", "<footer")[rng.integers(5)] if kind == 0 else "<div"
         path = ("<html", "<body", *(("<article",) if rng.random() < 0.3 else ()), tag, *((names[rng.integers(len(names))],) if kind else ()), ("<p", "<div", "<li")[rng.integers(3)])
-        return (path, text, len(text) if rng.random() < 0.4 else 0), 0
+        return path, measures(text, len(text) if rng.random() < 0.4 else 0, known), 0
 
-    for page in parsed:
+    for first, total, blocks in taught:
         for style in range(3):
-            rows = list(page)
+            rows = [(path, said, y) for path, said, y, _ in blocks]
             if style and prose:
                 hide = {"<article": ("<div", _MAIN_NAMES[rng.integers(len(_MAIN_NAMES))]) if rng.random() < 0.7 else ("<div",), "<main": ("<div",)} if style == 2 else {}
-                rows = [((tuple(q for p in b[0] for q in hide.get(p, (p,))), b[1], b[2]), y) for b, y in rows]
-                for _ in range(int(rng.integers(1, 7))):
+                rows = [(tuple(q for p in path for q in hide.get(p, (p,))), said, y) for path, said, y in rows]
+                for _ in range(int(rng.integers(1, max(7, len(rows) // 8)))):
                     rows.insert(int(rng.integers(len(rows) + 1)), extra())
             if not rows:
                 continue
-            x = describe([b for b, _ in rows], known)
-            y = np.array([float(t or 0) for _, t in rows])
-            found.append((x, y, np.array([float(t is not None) for _, t in rows])))
+            x = inputs([r[:2] for r in rows], first, total + len(rows) - len(blocks))
+            y = np.array([float(t or 0) for *_, t in rows])
+            found.append((x, y, np.array([float(t is not None) for *_, t in rows])))
     return found
 
 
-def learn(pages: list[str], epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.ndarray]:
-    model, data, rng = start(), lessons(pages), np.random.default_rng(seed)
+def learn(taught: list[Section], steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
+    model, data, rng = start(), lessons(taught), np.random.default_rng(seed)
+    if not data:
+        return model
     first, second, step = {k: np.zeros_like(v) for k, v in model.items()}, {k: np.zeros_like(v) for k, v in model.items()}, 0
+    epochs = -(-steps // -(-len(data) // BATCH))
     for epoch in range(epochs):
-        # pages of like length share a batch, batches are shuffled
+        # sections of like length share a batch, batches are shuffled
         order = sorted(range(len(data)), key=lambda i: (len(data[i][0]), i))
         groups = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
         for g in rng.permutation(len(groups)):
@@ -319,18 +359,53 @@ def _extract(model):
     return run
 
 
-def extract_text(pages: DataFrame, sample: int = TRAIN_PAGES) -> DataFrame:
+def _cut_sections(count: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sections of each different page of a task, packed."""
+        seen: set[int] = set()
+        for batch in batches:
+            for key, page in zip(batch.column("key").to_pylist(), batch.column("html"), strict=True):
+                if key in seen:
+                    continue
+                seen.add(key)
+                for first, total, rows in sections(page.as_py(), key, count):
+                    paths, labels, some = [" ".join(r[0]) for r in rows], [r[2] for r in rows], [r[3] for r in rows]
+                    said = np.array([r[1] for r in rows], np.float32).tobytes()
+                    columns = [pa.array([key], pa.int64()), pa.array([first], pa.int64()), pa.array([total], pa.int64()), pa.array([paths], pa.list_(pa.string())), pa.array([said], pa.binary()), pa.array([labels], pa.list_(pa.int32())), pa.array([some], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "first", "total", "paths", "said", "labels", "some"])
+
+    return run
+
+
+def training_sections(pages: DataFrame, sample: int = TRAIN_SECTIONS) -> list[Section]:
+    """``sample`` sections at most of the different pages with the smallest hashes, whatever their length.
+
+    One of each page, more where there are fewer pages. Pages are parsed where they lie; the
+    driver gets sections of TRAIN_BLOCKS described blocks.
+    """
+    keyed = pages.where("html is not null").select(F.xxhash64("html").alias("key"), "html")
+    keys = [r["key"] for r in bounded_sample(keyed.select("key").distinct(), ["key"], sample).collect()]
+    schema = "key long, first long, total long, paths array<string>, said binary, labels array<int>, some array<string>"
+    parts = keyed.where(F.col("key").isin(keys)).mapInArrow(_cut_sections(sample // len(keys)), schema).dropDuplicates(["key", "first"]).collect() if keys else []
+    found = []
+    for r in sorted(parts, key=lambda r: (r["key"], r["first"])):
+        said = np.frombuffer(bytes(r["said"]), np.float32).reshape(len(r["paths"]), -1).astype(float)
+        found.append((r["first"], r["total"], [(tuple(p.split()), m, y, t) for p, m, y, t in zip(r["paths"], said, r["labels"], r["some"], strict=True)]))
+    return found
+
+
+def extract_text(pages: DataFrame, sample: int = TRAIN_SECTIONS) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of (page_id, url, html) of ``pages``.
 
     Main-text blocks in page order, joined by one space; the whole page is read. A null or
     empty html, and one without main text, gives an empty text. The network is trained on the
-    ``sample`` pages with the smallest hash, on the driver; it has a fixed size, and so has what
+    driver, on ``sample`` of ``training_sections``; it has a fixed size, and so has what
     is broadcast. Where a training page's markup tells no main text, its long blocks with few
-    links are taken for it. Repeated rows are kept.
+    links are taken for it, and if there are none in all of the sample, all blocks whose markup
+    doesn't call them boilerplate. Repeated rows are kept.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    chosen = rows.where("html is not null").select("page_id", "url", "html").where(F.char_length("html") <= TRAIN_CHARS)
-    model = learn([r["html"] for r in bounded_sample(chosen, ["page_id", "url"], sample).collect()])
+    model = learn(training_sections(rows, sample))
     kind = rows.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(model)), f"page_id {kind}, url string, text string, n_chars long")
 

@@ -513,7 +513,7 @@ def test_leaves_decode_and_split():
 
 def test_gradients_are_right():
     pages = ["<article><h1>A b</h1><p>One, two. Three.</p></article><footer>x</footer>", "<nav><a>m</a></nav><main><p>Some prose</p></main>"]
-    lessons = html.lessons(pages)[:3]
+    lessons = html.lessons([s for p in pages for s in html.sections(p)])[:3]
     model = html.start()
     x, live = html._stack([s[0] for s in lessons])
     y, weight = np.zeros(live.shape), np.zeros(live.shape)
@@ -543,6 +543,34 @@ def test_pages_whose_markup_tells_nothing(spark):
     assert sum(r.text == whole(r.page_id) for r in got if r.page_id < 40) >= 39
 
 
+def test_controls_and_fallbacks_keep_their_text():
+    page = "<article><p>Read <button>this</button> word <svg><title>Icon</title><text>label</text></svg></p><noscript><p>Second paragraph</p></noscript><select><option>One<option>Two</select></article><template><p>no</p></template>"
+    assert [b[1] for b in html.leaves(page)] == ["Read this word label", "Second paragraph", "One", "Two"]
+
+
+def test_few_long_pages_are_extracted_whole(spark):
+    """A sample of long pages only, of one block or of thousands."""
+    one, many = prose(61, 40_000), [prose(70_000 + k, 12) for k in range(3000)]
+    rows = [(1, "u", f"<nav><a href='/'>Home page</a></nav><article>{one}</article>"), (2, "u", "<article>" + "".join(f"<p>{t}</p>" for t in many) + "</article><footer>About this site</footer>")]
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: one, 2: " ".join(many)}
+
+
+def test_short_pages_without_telling_markup(spark):
+    """Nothing in the sample is told or guessed to be main text: what no markup calls boilerplate is."""
+    rows = [(i, "u", f"<div class=menu>Home {i}</div><div>Short note {i}.</div>") for i in range(12)] + [(12, "u", "<p></p>")]
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Short note {i}." for i in range(12)} | {12: ""}
+
+
+def test_sections_of_long_pages():
+    page = "<article>" + "".join(f"<p>Block {k} here.</p>" for k in range(450)) + "</article>"
+    assert [(f, t, len(r)) for f, t, r in html.sections(page, 4, 9)] == [(200, 450, 200), (400, 450, 50), (0, 450, 200)]
+    whole = html.describe(html.leaves(page), {})
+    assert np.array_equal(html.inputs([r[:2] for r in html.sections(page, 1)[0][2]], 200, 450), whole[200:400])
+    assert html.sections(None, 5) == []
+
+
 def test_extraction_of_held_out_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     odd = spark.createDataFrame([(-1, None, None), (-2, "u", ""), (-3, "u", "<p></p>")], "page_id long, url string, html string")
