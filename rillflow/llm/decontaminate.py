@@ -5,8 +5,10 @@ similarity with the item is s shares 2 s / (1 + s) of the item's k shingles or m
 document is shorter), so every start is laid whose window holds that many positions with one
 of the item's shingles; this loses no window and spares fingerprints of all others. A window's
 fingerprint is compared through a multi-index: its 64 bits are cut into RADIUS + 1 blocks,
-two fingerprints within RADIUS bits agree in one block at least, so a join on (length, block
-number, block) finds all of them. Every pair within the radius is then verified exactly.
+two fingerprints within RADIUS bits agree in one block at least, so a join on (item, block
+number, block) finds all of them. A window meets only the item it was laid for: 64 bits cut
+into 20 blocks are 3 or 4 bits each, which alone would pair most windows with most items of a
+length. Every pair within the radius is then verified exactly.
 """
 
 from __future__ import annotations
@@ -106,17 +108,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         hits = found if hits is None else hits.union(found)
     held = hits.groupBy("doc_id", "item_id", "n", "k").agg(F.array_sort(F.collect_set("at")).alias("at"))
     held = held.where(F.size("at") >= F.col("k") * similarity - 1e-9)
-    asked = held.groupBy("doc_id").agg(F.collect_set(F.struct("n", "k", "at")).alias("asked"))
+    asked = held.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "n", "k", "at")).alias("asked"))
     laid = texts.join(asked, "doc_id").select("doc_id", words("text").alias("w"), F.explode("asked").alias("a"))
-    laid = laid.select("doc_id", "w", "a.n", "a.k", "a.at")
+    laid = laid.select("doc_id", "w", "a.item_id", "a.n", "a.k", "a.at")
     share = F.when(F.size("w") < F.col("n"), F.lit(similarity)).otherwise(F.lit(2 * similarity / (1 + similarity)))
     needed = F.greatest(F.ceil(share * F.col("k") - 1e-9).cast("int"), F.lit(1))
     starts = _starts(F.col("at"), F.col("k"), needed, F.greatest(F.size("w") - F.col("n"), F.lit(0)))
-    laid = laid.select("doc_id", "w", "n", F.explode(starts).alias("start")).select("doc_id", "n", "start", F.slice("w", F.col("start") + 1, F.col("n")).alias("w"))
-    laid = laid.select("doc_id", "n", "start", shingles(F.col("w"), SHINGLE).alias("s")).dropDuplicates(["doc_id", "n", "start", "s"])
-    windows = laid.withColumn("fp", fingerprint(F.col("s"))).select("doc_id", "n", "start", "s", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b"))
-    index = items.select("item_id", F.col("n").alias("item_n"), F.col("s").alias("item_s"), F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"), radius)).alias("item_b"))
-    near = windows.join(index, (F.col("n") == F.col("item_n")) & (F.col("b.number") == F.col("item_b.number")) & (F.col("b.bits") == F.col("item_b.bits")))
+    laid = laid.select("doc_id", "item_id", "w", "n", F.explode(starts).alias("start")).select("doc_id", "item_id", "n", "start", F.slice("w", F.col("start") + 1, F.col("n")).alias("w"))
+    laid = laid.select("doc_id", "item_id", "n", "start", shingles(F.col("w"), SHINGLE).alias("s")).dropDuplicates(["doc_id", "item_id", "n", "start", "s"])
+    windows = laid.withColumn("fp", fingerprint(F.col("s"))).select("doc_id", "item_id", "n", "start", "s", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b"))
+    index = items.select(F.col("item_id").alias("item"), F.col("n").alias("item_n"), F.col("s").alias("item_s"), F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"), radius)).alias("item_b"))
+    near = windows.join(index, (F.col("item_id") == F.col("item")) & (F.col("n") == F.col("item_n")) & (F.col("b.number") == F.col("item_b.number")) & (F.col("b.bits") == F.col("item_b.bits")))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     # of the blocks that agree, the first stands for the pair
     first = F.array_position(F.zip_with(blocks(F.col("fp"), radius), blocks(F.col("item_fp"), radius), lambda x, y: x == y), True) - 1

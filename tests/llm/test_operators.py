@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -75,6 +76,26 @@ def test_windows_of_reordered_items(spark):
     assert got == {0: (200, 0.92), 1: (0, 0.92)}
 
 
+def test_many_items_of_one_length(spark):
+    """Windows meet their own item only: candidates grow as the input, not as its square."""
+    items = [prose(5000 + i, 40, 4000) for i in range(1600)]
+    texts = [f"{prose(9000 + i, 12, 4000)} {t} {prose(12000 + i, 9, 4000)}" for i, t in enumerate(items)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    begun = time.time()
+    got = {(r.doc_id, r.item_id, r.start, r.similarity) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    assert got == {(i, i, 12, 1.0) for i in range(1600)}
+    assert time.time() - begun < 60
+
+
+def test_long_texts_and_shared_ids(spark):
+    """An item in the middle of a very long text; rows that share an id give one row together."""
+    item, other = prose(21, 30, 4000), prose(22, 30, 4000)
+    rows = [(1, f"{prose(23, 60_000, 4000)} {item} {prose(24, 60_000, 4000)}"), (2, other), (2, f"x y {item}"), (2, f"x y {item}"), (None, item)]
+    bench = spark.createDataFrame([(7, item), (7, other), (None, item)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start, r.similarity) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 7, 60_000, 1.0), (2, 7, 0, 1.0)}
+
+
 # 2: nearest neighbours
 
 
