@@ -12,7 +12,8 @@ The relation's unit is a stretch of text rather than a document. Where a letter
 both tokenizers end a token, if their rules say so (``separable`` reads them), and what follows is tokenized as if the
 text began there; so a stretch between two such places has the same tokens wherever it stands. Each distinct
 stretch is aligned once, weighed by its occurrences, and the documents join the results of their stretches: frequent ones, a
-bounded number, by a broadcast, the others by a shuffle. For other tokenizers a stretch is a whole text.
+bounded number, by a broadcast, the others by a shuffle. Texts are read twice: for the counts of their stretches, and to
+become numbers of frequent stretches, which is what moves. For other tokenizers a stretch is a whole text.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -46,11 +47,13 @@ FREQUENT = 700_000
 SIDE = 1 << 30
 #: Bytes of text encoded at once.
 CHUNK = 1 << 20
-#: Stretches of texts looked up at once.
+#: Bytes of text whose stretches are counted or looked up at once.
+TEXTS = 32 << 20
+#: Stretches of texts that become figures at once, one that is not frequent enough for a short number counts twice.
 WORDS = 500_000
-#: Where texts are cut into stretches: between a letter or digit and a sign, space or control character, and after a line
-#: end inside a text without other white space beside it.
-_CUT = r"(?<=[\p{L}\p{Nd}])(?=[\p{P}\p{S}\p{Z}\p{Cc}])|(?<=[\p{L}\p{M}\p{N}\p{P}\p{S}]\n)(?=[\p{L}\p{N}\p{P}\p{S}])"
+#: Texts are cut into stretches between a character of the first categories and one of the second, and after a line
+#: end between one of the third and one of the fourth.
+_CUT = ("L Nd", "P S Z Cc", "L M N P S", "L N P S")
 #: Set before a stretch so that B encodes it as inside a text: no piece holds a line end.
 _LEAD = "\n"
 
@@ -78,7 +81,7 @@ def piece_tokenizer(raw: bytes) -> tuple[sentencepiece.SentencePieceProcessor, l
 
 
 def separable(a: bytes, b: bytes) -> bool:
-    """Whether both tokenizers end a token wherever ``_CUT`` cuts, and go on as if the text began there.
+    """Whether both tokenizers end a token wherever ``stretches`` cuts, and go on as if the text began there.
 
     A does if it splits by the byte-level pattern before it merges: a letter or digit is followed by a sign or white
     space in another part of that pattern, and a single line end is a part. B does if no piece has such
@@ -120,9 +123,109 @@ def vocabulary(spark: SparkSession, a: bytes, b: bytes) -> DataFrame:
     return spark.createDataFrame(pa.table({"t": pa.array(list(sizes), pa.int32()), "size": pa.array(list(sizes.values()), pa.int32())}))
 
 
-def _stretches(text: Column, whole: bool) -> Column:
-    spaced = F.concat(F.lit(" "), text)
-    return F.array(spaced) if whole else F.split(spaced, _CUT)
+@functools.lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """The parts of ``_CUT`` that each character belongs to, as bits.
+
+    Only where old and new tables of Unicode agree, since tokenizers have tables of their own; characters beyond the first plane belong to none.
+    """
+
+    def bits(kind: str) -> int:
+        return sum(1 << k for k, part in enumerate(_CUT) if {kind, kind[0]} & set(part.split()))
+
+    out = np.zeros(0x110000, np.uint8)
+    out[:0x10000] = [bits(unicodedata.ucd_3_2_0.category(c)) & bits(unicodedata.category(c)) for c in map(chr, range(0x10000))]
+    return out
+
+
+def stretches(texts: pa.Array, whole: bool) -> tuple[pa.Array, np.ndarray]:
+    """(stretches of all texts in order, where those of each text end). Texts begin with a space; null or empty ones have none."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    _, where, held = texts.buffers()
+    offsets = np.frombuffer(where, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    sizes = np.diff(offsets)
+    if whole or not sizes.any():
+        return texts.filter(pa.array(sizes > 0)), np.cumsum(sizes > 0)
+    data, kinds, found = np.frombuffer(held, np.uint8), _classes(), []
+    for part in slices(sizes.tolist(), CHUNK):
+        low, high = offsets[part.start], offsets[part.stop]
+        raw, first = data[low:high], offsets[part][sizes[part] > 0] - low
+        chars, at = raw, None
+        if len(raw) and raw.max() > 127:
+            chars, at = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32), np.flatnonzero((raw & 0xC0) != 0x80)
+            first = np.searchsorted(at, first)
+        kind = kinds[chars]
+        cuts = np.zeros(len(kind), bool)
+        cuts[1:] = (kind[:-1] << 1) & kind[1:] & 2
+        line = np.flatnonzero(chars[1:-1] == 10) + 1
+        cuts[line[(kind[line - 1] & 4 != 0) & (kind[line + 1] & 8 != 0)] + 1] = True
+        # the space at a text's begin keeps its neighbours' characters out
+        cuts[first] = True
+        cuts = np.flatnonzero(cuts)
+        found.append(low + (cuts if at is None else at[cuts]))
+    starts = np.concatenate([*found, offsets[-1:]]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), held), np.searchsorted(starts[:-1], offsets[1:])
+
+
+def _counted(whole: bool):
+    """(seg, n): distinct stretches of some texts of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0)
+            for part in slices(pc.binary_length(texts).to_pylist(), TEXTS):
+                found = pc.value_counts(stretches(texts[part], whole)[0])
+                yield pa.record_batch([found.field(0), found.field(1)], ["seg", "n"])
+
+    return run
+
+
+def _listed(whole: bool):
+    def run(texts: pa.Array) -> pa.Array:
+        words, ends = stretches(texts, whole)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), words)
+
+    return run
+
+
+def packed(numbers: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 to 2^30 as 16-bit units, one for those below 2^15 and else two, of which only the first has its highest bit set; and ``ends`` in units."""
+    wide = numbers >= 1 << 15
+    at = np.cumsum(1 + wide) - 1 - wide
+    out = np.empty(len(numbers) + np.count_nonzero(wide), np.uint16)
+    out[at] = np.where(wide, 1 << 15 | numbers >> 15, numbers)
+    out[at[wide] + 1] = numbers[wide] & 0x7FFF
+    return out, np.r_[at, len(out)][ends]
+
+
+def unpacked(units: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers and ends that ``packed`` was given."""
+    wide = np.flatnonzero(units >> 15)
+    first = np.ones(len(units), bool)
+    first[wide + 1] = False
+    numbers = units.astype(np.int32)
+    numbers[wide] = (numbers[wide] & 0x7FFF) << 15 | numbers[wide + 1]
+    return numbers[first], np.r_[0, np.cumsum(first)][ends]
+
+
+def _look(given, whole: bool):
+    """Numbers of the stretches of each text, packed: places from 1 in the list of frequent ones, 0 for seldom ones, which follow in order."""
+    kind = pa.struct([("numbers", pa.binary()), ("seldom", pa.list_(pa.string()))])
+
+    def run(texts: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        return pa.concat_arrays([pa.array([], kind), *(some(texts[part]) for part in slices(sizes, TEXTS))]) if any(sizes) else pa.array([{"numbers": b"", "seldom": []}] * len(texts), kind)
+
+    def some(texts: pa.Array) -> pa.Array:
+        words, ends = stretches(texts, whole)
+        at = pc.index_in(words, value_set=given.value)
+        other = pc.is_null(at)
+        units, stops = packed(pc.fill_null(at, -1).to_numpy() + 1, ends)
+        numbers = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((2 * np.r_[0, stops]).astype(np.int32)), pa.py_buffer(units)])
+        until = np.r_[0, np.cumsum(other.to_numpy(zero_copy_only=False))][np.r_[0, ends]].astype(np.int32)
+        return pa.StructArray.from_arrays([numbers, pa.ListArray.from_arrays(pa.array(until), words.filter(other))], fields=list(kind))
+
+    return run
 
 
 def align(tokens: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,8 +235,8 @@ def align(tokens: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
     tokens have n_a 0.
     """
     c = F.col
-    # one shuffle of ids: all windows and groups below keep to the first key
-    each = tokens.repartition(keys[0]).select(*keys, F.posexplode_outer("tokens").alias("pos", "t")).join(F.broadcast(sizes), "t", "left")
+    # one shuffle of ids: all windows and groups below keep to the first key; their sorts find the keys in order
+    each = tokens.repartition(keys[0]).sortWithinPartitions(*keys).select(*keys, F.posexplode_outer("tokens").alias("pos", "t")).join(F.broadcast(sizes), "t", "left")
     parts = {"side": (c("t") >= SIDE).cast("int"), "id": c("t").bitwiseAND(F.lit(SIDE - 1))}
     ends = F.sum("size").over(Window.partitionBy(*keys, "side").orderBy("pos"))
     starts = each.withColumns(parts).select(*keys, "side", "id", (ends - c("size")).alias("start"))
@@ -194,38 +297,38 @@ def _frequent(known: DataFrame, bound: int) -> int:
 
 
 def _compose(given):
-    """Figures and digest of texts from their stretches: frequent ones are looked up, the others come in the order of their places."""
-
-    def run(words: pa.Array, rest: pa.Array) -> pa.Array:
-        parts = slices(pc.list_value_length(words).to_pylist(), WORDS)
-        kind = pa.struct([*((x, pa.int64()) for x in FIGURES), ("groups_sha256", pa.string())])
-        return pa.concat_arrays([pa.array([], kind), *(some(words[part], rest[part]) for part in parts)])
-
-    def some(words: pa.Array, rest: pa.Array) -> pa.Array:
-        table = given.value
-        seg, groups = (table.column(x).combine_chunks() for x in ("seg", "groups"))
-        figures = np.stack([table.column(x).to_numpy() for x in FIGURES], axis=1)
-        flat, ends = words.flatten(), np.r_[0, np.cumsum(pc.list_value_length(words).to_numpy())]
-        at = pc.index_in(flat, value_set=seg)
-        seldom = pc.is_null(at)
-        more = rest.flatten()
-        text = pc.take(groups, at)
-        values = np.zeros((len(flat), len(FIGURES)), np.int64)
-        known = ~seldom.to_numpy(zero_copy_only=False)
-        values[known] = figures[pc.drop_null(at).to_numpy()]
+    """Figures and digest of texts from the numbers of their stretches: frequent ones are looked up, the others come in the order of their places."""
+    kind = pa.struct([*((x, pa.int64()) for x in FIGURES), ("groups_sha256", pa.string())])
+
+    def run(numbers: pa.Array, rest: pa.Array) -> pa.Array:
+        parts = slices(pc.divide(pc.binary_length(numbers), 2).to_pylist(), WORDS)
+        done = [some(numbers[part], rest[part]) for part in parts]
+        return pa.concat_arrays([pa.array([], kind), *done])
+
+    def some(numbers: pa.Array, rest: pa.Array) -> pa.Array:
+        figures, groups = given.value
+        stops = np.r_[0, np.cumsum(pc.binary_length(numbers).to_numpy())] // 2
+        at, ends = unpacked(np.frombuffer(b"".join(numbers.to_pylist()), np.uint16), stops)
+        seldom, more = at == 0, rest.flatten()
+        text, mine = pc.take(groups, pa.array(at)), {}
         if len(more):
             own = more.field("groups")
-            text = pc.replace_with_mask(text, seldom, own)
+            text = pc.replace_with_mask(text, pa.array(seldom), own)
             n_groups = pc.add(pc.count_substring(own, ";"), 1).to_numpy()
             n_a = pc.count_substring(pc.replace_substring_regex(own, r"\|[0-9,]*", ""), ",").to_numpy() + n_groups
             n_b = pc.count_substring(own, ",").to_numpy() + 2 * n_groups - n_a
             # each group begins with an end of both sides, and every end makes a link
-            values[~known] = np.stack([n_a, n_b, n_groups, n_a + n_b - n_groups, more.field("n_best").to_numpy(), more.field("count_sum").to_numpy()], axis=1)
-        total = np.r_[np.zeros((1, len(FIGURES)), np.int64), np.cumsum(values, axis=0)]
-        sums = total[ends[1:]] - total[ends[:-1]]
+            mine = {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_a + n_b - n_groups, **{x: more.field(x).to_numpy() for x in ("n_best", "count_sum")}}
+        filled, sums = np.flatnonzero(np.diff(ends)), []
+        for x in FIGURES:
+            values, total = figures[x][at], np.zeros(len(numbers), np.int64)
+            if mine:
+                values[seldom] = mine[x]
+            total[filled] = np.add.reduceat(values, ends[filled]) if len(filled) else 0
+            sums.append(pa.array(total))
         whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), text), ";")
-        digests = pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in whole], pa.string())
-        return pa.StructArray.from_arrays([*(pa.array(sums[:, k]) for k in range(len(FIGURES))), digests], [*FIGURES, "groups_sha256"])
+        digests = pa.array([hashlib.sha256(x.as_buffer()).hexdigest() if k else "" for x, k in zip(whole, np.diff(ends), strict=True)], pa.string())
+        return pa.StructArray.from_arrays([*sums, digests], fields=list(kind))
 
     return run
 
@@ -243,23 +346,26 @@ def aligned(df: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, frequ
     if max(map(len, models)) > MODEL_BYTES:
         raise ValueError("a tokenizer file is larger than what may be broadcast")
     whole = not separable(*models)
-    keys = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
-    rows = df.select(c("doc_id").cast("long").alias("doc_id"), c("text").cast("string").alias("text")).select("doc_id", "text", *keys)
-    full = rows.where("text <> ''")
-    stretch = F.explode(_stretches(c("text"), whole)).alias("seg")
+    rows = df.select(c("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8(c("text").cast("string")).alias("text"))
+    rows = rows.select("doc_id", F.when(c("text") != "", F.concat(F.lit(" "), "text")).alias("text"))
+    full = rows.where("text is not null").select("text")
+    count = lambda texts: texts.select("text").mapInArrow(_counted(whole), "seg string, n long").groupBy("seg").agg(F.sum("n").alias("n"))
 
     # each distinct stretch once: tokens, groups and links in the stage that counts it
     encode = F.arrow_udf(_encode(*models, whole), "array<int>")
-    counts = full.select(stretch).groupBy("seg").agg(F.count("*").alias("n")).select(F.xxhash64("seg").alias("key"), "seg", "n", encode("seg").alias("tokens"))
+    counts = count(full).select(F.xxhash64("seg").alias("key"), "seg", "n", encode("seg").alias("tokens"))
     found = align(counts, vocabulary(spark, *models), ["key", "seg", "n"]).drop("key")
     found = saved(found.withColumn("key", F.monotonically_increasing_id()))
     bad = saved(found.where("n_a = 0").select("seg"))
-    known, lost = found.where("n_a > 0"), None
+    known = found.where("n_a > 0")
     if not bad.isEmpty():
         # texts with a stretch that does not come back have no tokens, and their stretches do not count
-        lost = saved(full.select("h1", "h2", stretch).join(_light(bad), "seg").select("h1", "h2").distinct())
-        less = full.join(lost, ["h1", "h2"], "left_semi").select(stretch).groupBy("seg").agg(F.count("*").alias("less"))
+        keys = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+        listed = F.arrow_udf(_listed(whole), "array<string>")
+        lost = saved(full.select(*keys, F.explode(listed("text")).alias("seg")).join(_light(bad), "seg").select("h1", "h2").distinct())
+        less = count(full.select("text", *keys).join(lost, ["h1", "h2"], "left_semi")).withColumnRenamed("n", "less")
         known = known.join(_light(less), "seg", "left").withColumn("n", c("n") - F.coalesce("less", F.lit(0))).drop("less").where("n > 0")
+        rows = rows.select("*", *keys).join(lost.withColumn("lost", F.lit(True)), ["h1", "h2"], "left").select("doc_id", F.when(c("lost").isNull(), c("text")).alias("text"))
 
     # counts of id pairs over the corpus, and what they make of each stretch
     link = known.select("key", "n", F.explode("links").alias("l")).select("key", "n", "l.a", "l.b")
@@ -269,19 +375,18 @@ def aligned(df: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, frequ
     info = saved(link_sums(known, pairs).select("seg", "n", *FIGURES, "groups"))
     forget(found)
 
-    # every distinct text by its stretches: copies go before the shuffle
-    texts = full.groupBy("h1", "h2").agg(F.first("text").alias("text"))
-    if lost is not None:
-        texts = texts.join(_light(lost), ["h1", "h2"], "left_anti")
+    # every text as numbers of its stretches; a seldom stretch has fewer occurrences than each frequent one
     least = _frequent(info, frequent)
-    often, seldom = saved(info.where(c("n") >= least).drop("n")), info.where(c("n") < least).drop("n")
-    words = texts.select("h1", "h2", _stretches(c("text"), whole).alias("words"))
-    parts = words.select("h1", "h2", F.posexplode("words").alias("pos", "seg")).join(F.broadcast(often.select("seg")), "seg", "left_anti")
-    rest = parts.join(seldom, "seg").groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("pos", "n_best", "count_sum", "groups"))).alias("rest"))
-    compose = F.arrow_udf(_compose(spark.sparkContext.broadcast(often.toArrow())), ", ".join(f"{x} long" for x in FIGURES) + ", groups_sha256 string")
-    done = saved(words.join(rest, ["h1", "h2"], "left").select("h1", "h2", compose("words", "rest").alias("d")).select("h1", "h2", "d.*"))
-    zero = lambda x: F.coalesce(x, F.lit(0).cast("long"))
-    return rows.select("doc_id", "h1", "h2").join(done, ["h1", "h2"], "left").select("doc_id", *(zero(x).alias(x) for x in FIGURES), F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
+    often, seldom = info.where(c("n") >= least).toArrow().sort_by([("n", "descending")]), info.where(c("n") < least).drop("n")
+    first = {x: np.r_[0, often.column(x).to_numpy()] for x in FIGURES}
+    groups = pa.concat_arrays([pa.array([""], pa.string()), *(x.cast(pa.string()) for x in often.column("groups").chunks)])
+    segs = pa.concat_arrays([pa.array([], pa.string()), *(x.cast(pa.string()) for x in often.column("seg").chunks)])
+    look = F.arrow_udf(_look(spark.sparkContext.broadcast(segs), whole), "numbers binary, seldom array<string>")
+    texts = saved(rows.select("doc_id", look("text").alias("t")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "t.*"))
+    parts = texts.select("row", F.posexplode("seldom").alias("pos", "seg"))
+    rest = parts.join(seldom, "seg").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "n_best", "count_sum", "groups"))).alias("rest"))
+    compose = F.arrow_udf(_compose(spark.sparkContext.broadcast((first, groups))), ", ".join(f"{x} long" for x in FIGURES) + ", groups_sha256 string")
+    return texts.select("row", "doc_id", "numbers").join(rest, "row", "left").select("doc_id", compose("numbers", "rest").alias("d")).select("doc_id", "d.*")
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,12 @@
 import hashlib
 import json
 import random
+import re
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from rillflow.llm import alignment, minhash, whitening
@@ -118,6 +120,47 @@ def test_alignment_of_no_rows_and_rules(spark):
     assert not alignment.separable(json.dumps(rules).encode(), b)
 
 
+def test_stretches_end_where_both_tokenizers_do():
+    texts = [None if t is None else " " + t if t else t for t in odd_texts()]
+    cut = re.compile(r"(?<=[^\W_])(?=[!-/:-@\[-`{-~\x00-\x20])|(?<=[!-~]\n)(?=[!-~])", re.ASCII)
+    for some in (texts, texts[7:], [], [None], ["", None]):
+        words, ends = alignment.stretches(pa.array([None, *some], pa.string())[1:], False)
+        words, ends = words.to_pylist(), [0, *ends.tolist()]
+        assert len(ends) == len(some) + 1 and ends[-1] == len(words)
+        for t, low, high in zip(some, ends, ends[1:], strict=False):
+            assert "".join(words[low:high]) == (t or "") and all(words[low:high])
+            if t and t.isascii():
+                assert words[low:high] == cut.split(t)
+        whole, ends = alignment.stretches(pa.array(some, pa.string()), True)
+        assert whole.to_pylist() == [t for t in some if t] and len(ends) == len(some)
+    # beside characters that old tables do not know, and beyond the first plane, nothing is cut
+    assert alignment.stretches(pa.array([" a\U0001f600.\ua7ae. b"]), False)[0].to_pylist() == [" a\U0001f600.\ua7ae. b"]
+
+
+def test_numbers_of_stretches_come_back():
+    rng = np.random.default_rng(4)
+    numbers = np.r_[0, 32767, 32768, (1 << 30) - 1, rng.integers(0, 1 << 17, 500)].astype(np.int32)
+    ends = np.array([0, 0, 1, 3, 250, 250, 504])
+    units, stops = alignment.packed(numbers, ends)
+    back, same = alignment.unpacked(units, np.r_[0, stops])
+    assert (back == numbers).all() and same.tolist() == [0, *ends]
+
+
+def test_texts_are_not_read_again_for_the_result(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    rows = [(i, t) for i, t in enumerate([*odd_texts()[:40], "x y " * 20_000])]
+    docs(spark, rows).write.parquet(path)
+    found = alignment.aligned(spark.read.parquet(path), frequent=10)
+    assert not [x for x in found.inputFiles() if path in x]
+    assert found.count() == len(rows)
+
+
+def test_texts_with_broken_characters(spark):
+    broken = spark.createDataFrame([(1,), (2,)], "doc_id long").selectExpr("doc_id", "cast(x'612062ff2e' as string) text")
+    want = docs(spark, [(1, "a b\ufffd."), (2, "a b\ufffd.")])
+    assert sorted(map(tuple, alignment.aligned(broken).collect())) == sorted(map(tuple, alignment.aligned(want).collect()))
+
+
 def test_alignment_of_the_given_documents(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     compare_alignment(spark, rows)
