@@ -1,8 +1,10 @@
 """The small forest of four catchments: 1 and 2 flow to 3, 3 to 4."""
 
+import functools
+
 import pytest
 from pyspark.sql import functions as F
-from rillflow.operators import forest, stats
+from rillflow.operators import forest, stats, streams
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +78,32 @@ def test_whole_queries_start_from_every_node(spark, sf_dir):
     assert {r.start for r in run["upstream_closure"].collect()} == ids
     assert {r.start for r in run["main_channel"].collect()} == ids
     assert {r.id for r in run["threshold_cascade"].collect()} == {r.id for r in levels(spark, sf_dir).select("id").collect()}
+
+
+def test_strahler_of_long_combs_and_cycles(spark, monkeypatch):
+    # a chain of 300 cells with a tributary at every third, and tributaries of those near its end
+    down = {i: i + 1 for i in range(300)} | {1000 + i: i for i in range(1, 300, 3)} | {2000 + i: 1000 + i for i in range(200, 300, 3)} | {3000 + i: 1000 + i for i in range(200, 300, 3)} | {5000: None}
+    names = set(down) | {d for d in down.values() if d is not None}
+    up = {n: [k for k, d in down.items() if d == n] for n in names}
+
+    @functools.cache
+    def order(n):
+        below = sorted((order(k) for k in up[n]), reverse=True)
+        return 1 if not below else below[0] + (below[:2] == [below[0]] * 2)
+
+    edges = spark.createDataFrame([(k, d) for k, d in down.items() if d is not None], "id long, down long")
+    nodes = spark.createDataFrame([(n,) for n in names], "id long")
+    rows, save = [], streams.saved
+
+    def counted(df):
+        out = save(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(forest, "cut", counted)
+    monkeypatch.setattr(streams, "saved", counted)
+    assert {r["id"]: r["strahler_order"] for r in forest.strahler(edges, nodes).collect()} == {n: order(n) for n in sorted(names, reverse=True)}
+    assert sum(rows) < 16 * len(names)  # the whole forest isn't doubled again for each order
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "id long, down long")
+    with pytest.raises(ValueError):
+        forest.strahler(ring, spark.range(1, 5))
